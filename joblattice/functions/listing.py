@@ -55,9 +55,8 @@ def salary_parts(salary: Column) -> Column:
         reversed(fixed.CURRENCY_SIGNS),
         F.lit(None).cast("string"),
     )
-    period = F.when(F.size(pieces) == 0, F.lit(None)).otherwise(
-        F.when(salary.endswith("/hr"), F.lit("hour")).otherwise(F.lit("year"))
-    )
+    unit = F.when(salary.endswith("/hr"), F.lit("hour")).otherwise(F.lit("year"))
+    period = F.when(F.size(pieces) > 0, unit)
     return F.struct(
         F.array_min(F.slice(amounts, 1, 2)).alias("lo"),
         F.array_max(F.slice(amounts, 1, 2)).alias("hi"),

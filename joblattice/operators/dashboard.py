@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from joblattice.functions import fixed_values as fixed
 from joblattice.functions.listing import initial, score_tier
 
-_COUNTS = [
-    F.count("*").alias("total"),
-    F.count_if(F.col("score") >= fixed.SCORE_HIGH).alias("top_matches"),
-    F.count_if(F.col("bookmarked")).alias("bookmarked"),
-]
+def _counts() -> list[Column]:
+    return [
+        F.count("*").alias("total"),
+        F.count_if(F.col("score") >= fixed.SCORE_HIGH).alias("top_matches"),
+        F.count_if(F.col("bookmarked")).alias("bookmarked"),
+    ]
 
 
 def stats(listings: DataFrame) -> DataFrame:
@@ -21,7 +22,7 @@ def stats(listings: DataFrame) -> DataFrame:
     ``sources`` is the length of the fixed source list, as the dashboard shows
     it; ``sources_seen`` counts what is in the data.
     """
-    return listings.agg(*_COUNTS, F.count_distinct("source").alias("sources_seen")).select(
+    return listings.agg(*_counts(), F.count_distinct("source").alias("sources_seen")).select(
         "total",
         "top_matches",
         "bookmarked",
@@ -32,7 +33,7 @@ def stats(listings: DataFrame) -> DataFrame:
 
 def user_stats(jobs: DataFrame) -> DataFrame:
     """The same totals per user over the stored matches."""
-    return jobs.groupBy("user_id").agg(*_COUNTS)
+    return jobs.groupBy("user_id").agg(*_counts())
 
 
 def jobs_per_user(users: DataFrame, profiles: DataFrame, jobs: DataFrame) -> DataFrame:

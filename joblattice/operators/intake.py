@@ -42,7 +42,9 @@ def classify(raw: DataFrame) -> DataFrame:
     workPreference, field and skills must be truthy and skills not empty (400).
     Blank text passes, enum values are not checked, a text as skills passes.
     """
-    parsed = raw.withColumn("request", F.try_parse_json("body"))
+    # As a generator the parse is a step of its own. As a plain column it would
+    # be copied into every filter on the status, once per mention.
+    parsed = raw.select("*", F.explode(F.array(F.try_parse_json("body"))).alias("request"))
     request, skills = F.col("request"), F.col("_skills")
     taken = parsed.withColumns({c: v.member(request, path) for c, path in _MEMBERS.items()})
     # A truthy value has length 0 as an empty array, or as an object that

@@ -2,20 +2,22 @@
 
 A naive join of profiles and listings on (field, place) grows with users times
 listings, and one key (all remote listings of a field) may hold a third of all
-rows. The jobs here never build that product. They use three facts:
+rows. The jobs here never build that product. They use these facts:
 
 * The score of a pair depends on few values of each side. Listings that agree
   in field, place, work mode, band and title words form a *class* and score
-  equal for every profile, so a class is one row with a count, or its k best
-  listings, before anything is joined. Both are map-side reductions.
-* On the profile side the skills part depends on (field, skills) only, the
-  *interest*. Interests meet classes on (field, word); the result is reduced
-  again to *cells* (interest, place, work mode, band, hits).
+  equal for every profile. A class is cut to its count, or to its k newest
+  listings, before anything is joined; both are map-side reductions.
+* The skills part of a score depends on the distinct title and on the distinct
+  skill list (the *interest*) only. Titles meet interests on (field, word),
+  once each, not once per listing or user.
+* Per interest, listings equal in place, mode, band and number of hits form a
+  *cell* and again score equal, so k of them are enough.
 * Profiles equal in all scored values share one *signature*: it is scored and
   ranked once and its result handed to each of its users.
 
-A listing that is not among the k best of its class or cell has k listings
-above it in the ranking of every profile, so the reductions are exact.
+A listing that is not among the k newest of its class, word or cell has k
+listings above it in every ranking it could be in, so the cuts are exact.
 
 Profiles: user_id, field, skills, work_preference, country, experience.
 Listings: id_num, title, field, work_mode, country, band, posted_on.
@@ -56,6 +58,7 @@ def profile_places(work_preference: Column, country: Column) -> Column:
 
 
 def _listing_side(listings: DataFrame, scope: Sequence[str]) -> DataFrame:
+    """``title`` becomes the sorted set of its words, as one text."""
     return listings.select(
         "id_num",
         "posted_on",
@@ -64,28 +67,29 @@ def _listing_side(listings: DataFrame, scope: Sequence[str]) -> DataFrame:
         listing_place(F.col("work_mode"), F.col("country")).alias("place"),
         "work_mode",
         F.coalesce(F.col("band").cast("int"), F.lit(NO_BAND)).alias("band"),
-        title_tokens(F.col("title")).alias("words"),
+        F.array_join(title_tokens(F.col("title")), " ").alias("title"),
     )
 
 
 def _profile_side(
     profiles: DataFrame, scope: Sequence[str], keep: Sequence[str] = ()
 ) -> DataFrame:
+    """``interest`` is the lower-case skill set as JSON text: one short key."""
     skills = F.array_sort(F.array_distinct(F.transform("skills", lambda s: F.lower(s))))
-    return profiles.select(
+    return profiles.where(F.size("skills") > 0).select(
         "user_id",
         *scope,
         *keep,
         "field",
-        skills.alias("skills"),
+        F.to_json(skills).alias("interest"),
         F.coalesce("work_preference", F.lit("")).alias("work_preference"),
         F.coalesce("country", F.lit("")).alias("country"),
         F.coalesce(experience_band(F.col("experience")), F.lit(NO_BAND)).alias("own_band"),
-    ).where(F.size("skills") > 0)
+    )
 
 
 def _signature(scope: Sequence[str]) -> list[str]:
-    return [*scope, "field", "skills", "work_preference", "country", "own_band"]
+    return [*scope, "field", "interest", "work_preference", "country", "own_band"]
 
 
 def _signatures(side: DataFrame, scope: Sequence[str]) -> DataFrame:
@@ -95,69 +99,90 @@ def _signatures(side: DataFrame, scope: Sequence[str]) -> DataFrame:
 
 
 def _class_keys(scope: Sequence[str]) -> list[str]:
-    return [*scope, "field", "place", "work_mode", "band", "words"]
+    return [*scope, "field", "place", "work_mode", "band", "title"]
 
 
 def _cell_keys(scope: Sequence[str]) -> list[str]:
-    return [*scope, "field", "skills", "place", "work_mode", "band", "hits"]
-
+    return [*scope, "field", "interest", "n_skills", "place", "work_mode", "band", "hits"]
 
-# --- skills: interests meet listings ----------------------------------------
 
+def _best(df: DataFrame, keys: list[str], order: list[Column], k: int) -> DataFrame:
+    """First k rows per key. The literal bound cuts groups before the shuffle."""
+    window = Window.partitionBy(*keys).orderBy(*order)
+    return df.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= k)
 
-def _interests(side: DataFrame, scope: Sequence[str]) -> DataFrame:
-    return side.select(*scope, "field", "skills").distinct().withColumn("probe", F.col("skills"))
 
+# --- skills: interests meet titles ------------------------------------------
 
-def _needing(interests: DataFrame, skill_points: int, settings: MatchSettings) -> DataFrame:
-    """Shorten the probe words when only high skill points are wanted.
 
-    With h of m skills needed, a listing holding none of the first m - h + 1
-    cannot qualify, in whatever order the skills stand.
-    """
-    size = F.size("skills")
-    needed = F.ceil(F.lit(skill_points) * size / settings.skill_points)
-    keep = F.greatest(size - F.greatest(needed, F.lit(1)) + 1, F.lit(0)).cast("int")
-    return interests.withColumn("probe", F.slice("probe", 1, keep))
+def _interests(side: DataFrame, scope: Sequence[str]) -> DataFrame:
+    skills = F.from_json("interest", "array<string>")
+    return (
+        side.select(*scope, "field", "interest")
+        .distinct()
+        .withColumn("skills", skills)
+        .withColumn("n_skills", F.size("skills"))
+    )
 
 
-def _rare_first(interests: DataFrame, classes: DataFrame) -> DataFrame:
-    """Order probe words by how many listing classes hold them, rarest first."""
+def _rare_first(interests: DataFrame, titles: DataFrame) -> DataFrame:
+    """Order the skills by how many titles hold them, rarest first."""
     seen = (
-        classes.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+        titles.select(F.explode(F.split("title", " ")).alias("word"))
+        .groupBy("word")
+        .agg(F.count("*").alias("n"))
     )
-    keys = [c for c in interests.columns if c != "probe"]
-    ordered = F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word")))
+    keys = [c for c in interests.columns if c != "skills"]
+    counted = F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word")
     return (
-        interests.select(*keys, F.explode("probe").alias("word"))
+        interests.select(*keys, F.explode("skills").alias("word"))
         .join(seen, "word", "left")
         .groupBy(*keys)
-        .agg(F.transform(ordered, lambda w: w["word"]).alias("probe"))
+        .agg(F.transform(F.array_sort(F.collect_list(counted)), lambda c: c["word"]).alias("skills"))
     )
 
 
-def _meet(rows: DataFrame, interests: DataFrame, scope: Sequence[str]) -> DataFrame:
-    """Join rows with a ``words`` column to the interests that share a word.
+def _meet(
+    titles: DataFrame, interests: DataFrame, scope: Sequence[str], needed: Column
+) -> DataFrame:
+    """Pairs (title, interest) with at least ``needed`` hits, each once.
 
-    A pair sharing several words arrives once per word; only the arrival on
-    the first shared probe word is kept, so no aggregate is needed after.
+    With h of m skills needed, a title holding none of the first m - h + 1
+    cannot qualify, in whatever order the skills stand; only those are looked
+    up. A pair sharing several of them arrives once per word, and only the
+    arrival on the first is kept, so no aggregate follows the join.
     """
-    keys = [*scope, "field", "word"]
-    probes = interests.withColumn("word", F.explode("probe"))
-    met = rows.withColumn("word", F.explode("words")).join(probes, keys)
-    first = F.get(F.array_intersect("probe", "words"), F.lit(0))
+    probe = F.slice("skills", 1, F.greatest(F.col("n_skills") - needed + 1, F.lit(0)))
+    probes = interests.withColumn("probe", probe).withColumn("word", F.explode("probe"))
+    words = titles.select(*scope, "field", "title", F.split("title", " ").alias("words"))
+    met = words.withColumn("word", F.explode("words")).join(probes, [*scope, "field", "word"])
     return (
-        met.where(F.col("word") == first)
+        met.where(F.col("word") == F.get(F.array_intersect("probe", "words"), F.lit(0)))
         .withColumn("hits", F.size(F.array_intersect("skills", "words")))
-        .drop("word", "words", "probe")
+        .where(F.col("hits") >= needed)
+        .select(*scope, "field", "title", "interest", "n_skills", "hits")
     )
 
 
-# --- score -------------------------------------------------------------------
+def _looks(
+    rows: DataFrame,
+    interests: DataFrame,
+    signatures: DataFrame,
+    scope: Sequence[str],
+    needed: Column,
+    rare_first: bool = False,
+) -> DataFrame:
+    """Rows with a title, joined to the interests that hit it and look there."""
+    titles = rows.select(*scope, "field", "title").distinct()
+    if rare_first:
+        interests = _rare_first(interests, titles)
+    pairs = _meet(titles, interests, scope, needed)
+    places = signatures.select(*scope, "field", "interest", "place").distinct()
+    wanted = pairs.join(places, [*scope, "field", "interest"])
+    return rows.join(wanted, [*scope, "field", "title", "place"])
 
 
-def skill_points(hits: Column, skills: Column, settings: MatchSettings = MATCH) -> Column:
-    return F.floor(F.lit(settings.skill_points) * hits / F.size(skills)).cast("int")
+# --- score -------------------------------------------------------------------
 
 
 def _scored(df: DataFrame, settings: MatchSettings) -> DataFrame:
@@ -172,8 +197,9 @@ def _scored(df: DataFrame, settings: MatchSettings) -> DataFrame:
     mode = F.when(F.col("work_mode") == F.col("work_preference"), settings.mode_points).otherwise(0)
     near = (F.col("place") == ANYWHERE) | (F.col("place") == F.col("country"))
     place = F.when(near, settings.place_points).otherwise(0)
+    skill = F.floor(F.lit(settings.skill_points) * F.col("hits") / F.col("n_skills")).cast("int")
     return (
-        df.withColumn("skill_points", skill_points(F.col("hits"), F.col("skills"), settings))
+        df.withColumn("skill_points", skill)
         .withColumn("experience_points", experience)
         .withColumn("location_points", mode + place)
         .withColumn(
@@ -185,7 +211,7 @@ def _scored(df: DataFrame, settings: MatchSettings) -> DataFrame:
 def _score_signatures(
     signatures: DataFrame, cells: DataFrame, scope: Sequence[str], settings: MatchSettings
 ) -> DataFrame:
-    return _scored(signatures.join(cells, [*scope, "field", "skills", "place"]), settings)
+    return _scored(signatures.join(cells, [*scope, "field", "interest", "place"]), settings)
 
 
 # --- queries -----------------------------------------------------------------
@@ -219,14 +245,12 @@ def score_counts(
 ) -> DataFrame:
     """Number of relevant listings per user and score, over all pairs."""
     side = _profile_side(profiles, ())
+    signatures = _signatures(side, ())
     classes = _listing_side(listings, ()).groupBy(*_class_keys(())).agg(F.count("*").alias("n"))
-    cells = (
-        _meet(classes, _interests(side, ()), ())
-        .groupBy(*_cell_keys(()))
-        .agg(F.sum("n").alias("n"))
-    )
+    met = _looks(classes, _interests(side, ()), signatures, (), F.lit(1))
+    cells = met.groupBy(*_cell_keys(())).agg(F.sum("n").alias("n"))
     per_signature = (
-        _score_signatures(_signatures(side, ()), cells, (), settings)
+        _score_signatures(signatures, cells, (), settings)
         .groupBy(*_signature(()), *PARTS)
         .agg(F.sum("n").alias("listings"))
     )
@@ -259,52 +283,66 @@ def top_matches(
 ) -> DataFrame:
     """The k best listings of every user with their rank.
 
-    ``keep`` names further profile columns to hand through.
+    Order: score, then newest, then lowest id. ``keep`` names further profile
+    columns to hand through.
 
-    Order: score, then newest, then lowest id. ``k`` has to be a plain number:
-    the literal bound lets Spark cut every group map-side before each shuffle.
+    Listings with one hit come from the k newest per (field, place, mode, band,
+    word): what is not among them has k listings with that word, so with at
+    least one hit, above it. Only titles with two hits or more are looked up
+    title by title.
     """
-    side = _profile_side(profiles, scope, keep)
     newest = [F.col("posted_on").desc_nulls_last(), F.col("id_num").asc()]
+    side = _profile_side(profiles, scope, keep)
+    signatures, interests = _signatures(side, scope), _interests(side, scope)
+    classes = _best(_listing_side(listings, scope), _class_keys(scope), newest, k).drop("rank")
+
+    probes = interests.withColumn("word", F.explode("skills"))
+    vocabulary = probes.select(*scope, "field", "word").distinct()
+    by_word = classes.withColumn("word", F.explode(F.split("title", " ")))
+    by_word = by_word.join(vocabulary, [*scope, "field", "word"], "left_semi")
+    by_word = _best(by_word, [*scope, "field", "place", "work_mode", "band", "word"], newest, k)
+    places = signatures.select(*scope, "field", "interest", "place").distinct()
+    wanted = probes.join(places, [*scope, "field", "interest"])
+    hits = F.size(F.array_intersect("skills", F.split("title", " ")))
+    one_hit = by_word.join(wanted, [*scope, "field", "word", "place"]).where(hits == 1)
+    more = _looks(classes, interests, signatures, scope, F.lit(2))
+
+    columns = [*_cell_keys(scope), "id_num", "posted_on"]
+    met = one_hit.withColumn("hits", F.lit(1)).select(*columns).unionByName(more.select(*columns))
+    cells = _best(met, _cell_keys(scope), newest, k).drop("rank")
+    cells = cells.groupBy(*_cell_keys(scope)).agg(
+        F.collect_list(F.struct("id_num", "posted_on")).alias("rows")
+    )
 
-    def best(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-        window = Window.partitionBy(*keys).orderBy(*order)
-        return df.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= k)
-
-    per_class = best(_listing_side(listings, scope), _class_keys(scope), newest).drop("rank")
-    met = _meet(per_class, _interests(side, scope), scope)
-    cells = best(met, _cell_keys(scope), newest).drop("rank")
-    scored = _score_signatures(_signatures(side, scope), cells, scope, settings)
-    ranked = best(scored, _signature(scope), [F.col("score").desc(), *newest])
+    # A score level is needed only while the levels above it hold fewer than k.
+    levels = Window.partitionBy(*_signature(scope)).orderBy(F.col("score").desc())
+    above = F.coalesce(
+        F.sum(F.size("rows")).over(levels.rangeBetween(Window.unboundedPreceding, -1)), F.lit(0)
+    )
+    scored = _score_signatures(signatures, cells, scope, settings)
+    needed = scored.withColumn("above", above).where(F.col("above") < k)
+    expanded = needed.select(*_signature(scope), *PARTS, F.inline("rows"))
+    ranked = _best(expanded, _signature(scope), [F.col("score").desc(), *newest], k)
     return side.join(ranked, _signature(scope)).select(
         "user_id", *scope, *keep, "id_num", "posted_on", *PARTS, "rank"
     )
 
 
 def matches_at_least(
-    listings: DataFrame,
-    profiles: DataFrame,
-    score: int,
-    settings: MatchSettings = MATCH,
-    order_probes: bool = True,
+    listings: DataFrame, profiles: DataFrame, score: int, settings: MatchSettings = MATCH
 ) -> DataFrame:
     """Every (user, listing) pair scoring at least ``score``.
 
     Skills carry most points, so a high bound needs most skills in the title;
-    pairs short of that are not formed. ``order_probes`` looks words up rarest
-    first (it aggregates the listings, so a stream leaves it off).
+    pairs short of that are not formed. Skills are looked up rarest first.
     """
     side = _profile_side(profiles, ())
-    rows = _listing_side(listings, ())
+    signatures = _signatures(side, ())
     least = max(score - settings.points_beside_skills, 1)
-    interests = _interests(side, ())
-    if order_probes:
-        interests = _rare_first(interests, rows)
-    met = _meet(rows, _needing(interests, least, settings), ())
-    met = met.where(skill_points(F.col("hits"), F.col("skills"), settings) >= least)
-    wanted = _score_signatures(_signatures(side, ()), met, (), settings).where(
-        F.col("score") >= score
-    )
+    needed = F.ceil(F.lit(least) * F.col("n_skills") / settings.skill_points).cast("int")
+    rows = _listing_side(listings, ())
+    met = _looks(rows, _interests(side, ()), signatures, (), needed, rare_first=True)
+    wanted = _score_signatures(signatures, met, (), settings).where(F.col("score") >= score)
     return side.join(wanted, _signature(())).select("user_id", "id_num", "posted_on", *PARTS)
 
 

@@ -1,0 +1,163 @@
+"""Request bodies: status, defaults, payload and normalised form."""
+
+import json
+
+import pytest
+from golden import SAMPLE_REQUEST
+from pyspark.sql import functions as F
+
+from joblattice.operators import intake
+from joblattice.sources import requests as source
+
+TS = "2024-03-01 10:20:30.456789"
+BASE = {"workPreference": "remote", "field": "x", "skills": ["a"]}
+
+
+def classify(spark, *bodies):
+    rows = [(i, b) for i, b in enumerate(bodies)]
+    raw = spark.createDataFrame(rows, "n int, body string").withColumn("ts", F.lit(TS).cast("timestamp"))
+    return intake.classify(raw.coalesce(1))
+
+
+def body(**changes):
+    kept = {k: v for k, v in {**BASE, **changes}.items() if v != "absent"}
+    return json.dumps(kept)
+
+
+CASES = [
+    (SAMPLE_REQUEST, 200),
+    (body(), 200),
+    (body(skills=[]), 400),
+    (body(skills=""), 400),
+    (body(skills="absent"), 400),
+    (body(skills=None), 400),
+    (body(skills="React"), 200),
+    (body(skills=5), 200),
+    (body(skills=0), 400),
+    (body(skills=True), 200),
+    (body(skills={}), 200),
+    (body(skills={"length": 0}), 400),
+    (body(skills={"length": "0"}), 200),
+    (body(skills=[[]]), 200),
+    (body(skills=["length", 0]), 200),
+    (body(field="  "), 200),
+    (body(field=""), 400),
+    (body(field=0), 400),
+    (body(field="0"), 200),
+    (body(field=False), 400),
+    (body(field="false"), 200),
+    (body(field=[]), 200),
+    (body(field=0.0), 400),
+    (body(field=-0.5), 200),
+    (body(workPreference=None), 400),
+    (body(workPreference="anything"), 200),
+    (body(userId=0), 200),
+    (body(userId=""), 200),
+    (body(location="absent"), 200),
+    ("{bad", 500),
+    ("", 500),
+    ("null", 500),
+    ("[]", 400),
+    ("3", 400),
+    ('"text"', 400),
+    ("true", 400),
+    (None, 500),
+]
+
+
+def test_status(spark):
+    rows = classify(spark, *[b for b, _ in CASES]).orderBy("n").select("status").collect()
+    got = [(b, r["status"]) for (b, _), r in zip(CASES, rows)]
+    assert got == CASES
+
+
+def test_answers(spark):
+    rows = intake.responses(classify(spark, body(), body(skills=[]), "{bad", "null")).orderBy("n").collect()
+    assert [r["status"] for r in rows] == [200, 400, 500, 500]
+    assert rows[0]["success"] and rows[0]["message"] == "Onboarding completed. Job search initiated."
+    assert rows[1]["error"] == "Missing required fields" and rows[1]["details"] is None
+    assert rows[2]["error"] == "Failed to process onboarding data" and rows[2]["details"]
+    assert not rows[3]["success"]
+
+
+def payload(spark, text):
+    return json.loads(intake.payloads(classify(spark, text)).first()["payload"])
+
+
+def test_payload_defaults(spark):
+    assert payload(spark, body()) == {
+        "userId": "user_1709288430456",
+        "workPreference": "remote",
+        "location": {"country": "", "city": ""},
+        "field": "x",
+        "skills": ["a"],
+        "experience": 0,
+        "jobType": [],
+        "seniority": "mid",
+        "salary": {"min": 0, "max": 0, "currency": "USD"},
+        "timestamp": "2024-03-01T10:20:30.456Z",
+    }
+
+
+def test_payload_keeps_given_values_and_types(spark):
+    given = {
+        "userId": 7, "skills": "React", "experience": "3", "jobType": "Full-time", "seniority": "Mid",
+        "location": {"country": "Egypt"}, "salary": {"min": 5, "max": 0, "currency": ""},
+    }
+    out = payload(spark, body(**given))
+    assert out["userId"] == 7 and out["skills"] == "React" and out["experience"] == "3"
+    assert out["jobType"] == "Full-time" and out["seniority"] == "Mid"
+    assert out["location"] == {"country": "Egypt", "city": ""}
+    assert out["salary"] == {"min": 5, "max": 0, "currency": "USD"}
+
+
+def test_payload_never_carries_the_key(spark):
+    text = intake.payloads(classify(spark, SAMPLE_REQUEST)).first()["payload"]
+    assert "SECRET" not in text and "apiKey" not in text
+
+
+@pytest.mark.parametrize("location", [None, "text", 3, [], {"country": None}])
+def test_optional_paths(spark, location):
+    assert payload(spark, body(location=location))["location"] == {"country": "", "city": ""}
+
+
+def test_normalised_sample(spark):
+    row = intake.normalized(classify(spark, SAMPLE_REQUEST)).first()
+    assert row["user_id"] == "123" and row["work_preference"] == "remote"
+    assert tuple(row["location"]) == ("Egypt", "Cairo")
+    assert row["skills"] == ["JavaScript", "React", ".NET"]
+    assert row["job_type"] == ["full-time"] and row["seniority"] == "mid" and row["experience"] == 2
+    assert tuple(row["salary"]) == (0, 0, "USD")
+    assert row["api_key"] == "SECRET"
+
+
+def test_normalised_lists_and_numbers(spark):
+    rows = (
+        intake.normalized(
+            classify(
+                spark,
+                body(jobType=[], experience="3 years", userId=0),
+                body(jobType=["Contract ", "FREELANCE"], skills="Go", workPreference=" Hybrid"),
+                body(salary={"min": "50,000", "max": 90000, "currency": "EUR"}),
+            )
+        )
+        .orderBy("n")
+        .collect()
+    )
+    assert rows[0]["job_type"] == [] and rows[0]["experience"] == 3
+    assert rows[0]["user_id"] == "user_1709288430456"
+    assert rows[1]["job_type"] == ["contract", "freelance"] and rows[1]["skills"] == ["Go"]
+    assert rows[1]["work_preference"] == "hybrid"
+    assert tuple(rows[2]["salary"]) == (50, 90_000, "EUR")
+
+
+def test_repeated_key_keeps_the_last(spark):
+    text = '{"workPreference":"","workPreference":"remote","field":"x","skills":["a"]}'
+    assert classify(spark, text).first()["status"] == 200
+
+
+def test_text_source(spark, tmp_path):
+    (tmp_path / "r.txt").write_text(body() + "\n{bad\nnull\n")
+    rows = intake.classify(source.read_requests(spark, str(tmp_path))).collect()
+    assert sorted(r["status"] for r in rows) == [200, 500, 500]
+    assert all(r["ts"] is not None for r in rows)
