@@ -81,8 +81,8 @@ def test_rate_limit_drops_late_rows(spark, run, tmp_path):
     day = lambda d, h: dt.datetime(2024, 1, d, h)
     batches = [
         [(1, day(1, h), h) for h in range(4)] + [(1, day(2, 5), 50)],
-        [(1, day(1, 23), 60), (2, day(1, 23), 61)] + [(2, day(2, h), 70 + h) for h in range(5)],
-        [(3, day(5, 1), 90)],
+        [(2, day(2, h), 70 + h) for h in range(5)],
+        [(1, day(1, 23), 60), (2, day(1, 23), 61), (3, day(5, 1), 90)],
     ]
     for i, rows in enumerate(batches):
         spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / f"in{i}"))
