@@ -30,8 +30,8 @@ def display_line(company: Column, location: Column) -> Column:
 
 def title_tokens(title: Column) -> Column:
     """Distinct lower-case words of a title, sorted, so equal sets are equal."""
-    words = F.split(F.lower(title), " ")
-    return F.array_sort(F.array_distinct(F.filter(words, lambda w: w != "")))
+    words = F.array_remove(F.split(F.lower(title), " "), "")
+    return F.sort_array(F.array_distinct(words))
 
 
 def salary_parts(salary: Column) -> Column:
@@ -41,15 +41,13 @@ def salary_parts(salary: Column) -> Column:
     One number is both ends; no number gives nulls.
     """
     plain = F.regexp_replace(salary, ",(?=[0-9]{3})", "")
-    pattern = F.lit("[0-9]+(?:\\.[0-9]+)?k?")
-    pieces = F.regexp_extract_all(plain, pattern, F.lit(0))
-    amounts = F.transform(
-        pieces,
-        lambda p: (
-            F.rtrim(p, F.lit("k")).try_cast("decimal(18,3)")
-            * F.when(p.endswith("k"), F.lit(1000)).otherwise(F.lit(1))
-        ).cast("bigint"),
-    )
+    pieces = F.regexp_extract_all(plain, F.lit("[0-9]+(?:\\.[0-9]+)?k?"), F.lit(0))
+
+    def amount(position: int) -> Column:
+        piece = F.get(pieces, F.lit(position))
+        unit = F.when(piece.endswith("k"), F.lit(1000)).otherwise(F.lit(1))
+        return (F.rtrim(piece, F.lit("k")).try_cast("decimal(18,3)") * unit).cast("bigint")
+
     currency = reduce(
         lambda rest, sign: F.when(salary.startswith(sign[0]), F.lit(sign[1])).otherwise(rest),
         reversed(fixed.CURRENCY_SIGNS),
@@ -58,8 +56,8 @@ def salary_parts(salary: Column) -> Column:
     unit = F.when(salary.endswith("/hr"), F.lit("hour")).otherwise(F.lit("year"))
     period = F.when(F.size(pieces) > 0, unit)
     return F.struct(
-        F.array_min(F.slice(amounts, 1, 2)).alias("lo"),
-        F.array_max(F.slice(amounts, 1, 2)).alias("hi"),
+        F.least(amount(0), amount(1)).alias("lo"),
+        F.greatest(amount(0), amount(1)).alias("hi"),
         currency.alias("currency"),
         period.alias("period"),
     )

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # White space as JavaScript's trim sees it (Spark's trim drops U+0020 only).
-_JS_SPACE = r"[\s\p{Z}\x{FEFF}\x{000B}]"
+_JS_SPACE = r"[\s\p{Z}\x{FEFF}]"
 
 
 def js_trim(text: Column) -> Column:

@@ -58,7 +58,11 @@ def profile_places(work_preference: Column, country: Column) -> Column:
 
 
 def _listing_side(listings: DataFrame, scope: Sequence[str]) -> DataFrame:
-    """``title`` becomes the sorted set of its words, as one text."""
+    """``title`` becomes the sorted set of its words, as one text.
+
+    Rows that can match nothing are dropped here, in one place: filters the
+    optimizer adds to single branches would keep them from sharing a shuffle.
+    """
     return listings.select(
         "id_num",
         "posted_on",
@@ -68,13 +72,14 @@ def _listing_side(listings: DataFrame, scope: Sequence[str]) -> DataFrame:
         "work_mode",
         F.coalesce(F.col("band").cast("int"), F.lit(NO_BAND)).alias("band"),
         F.array_join(title_tokens(F.col("title")), " ").alias("title"),
-    )
+    ).where("title <> '' AND field IS NOT NULL AND place IS NOT NULL")
 
 
 def _profile_side(
     profiles: DataFrame, scope: Sequence[str], keep: Sequence[str] = ()
 ) -> DataFrame:
     """``interest`` is the lower-case skill set as JSON text: one short key."""
+    # As for listings, rows that match nothing are dropped in one place.
     skills = F.array_sort(F.array_distinct(F.transform("skills", lambda s: F.lower(s))))
     return profiles.where(F.size("skills") > 0).select(
         "user_id",
@@ -85,7 +90,7 @@ def _profile_side(
         F.coalesce("work_preference", F.lit("")).alias("work_preference"),
         F.coalesce("country", F.lit("")).alias("country"),
         F.coalesce(experience_band(F.col("experience")), F.lit(NO_BAND)).alias("own_band"),
-    )
+    ).where("field IS NOT NULL AND interest IS NOT NULL")
 
 
 def _signature(scope: Sequence[str]) -> list[str]:
@@ -107,9 +112,15 @@ def _cell_keys(scope: Sequence[str]) -> list[str]:
 
 
 def _best(df: DataFrame, keys: list[str], order: list[Column], k: int) -> DataFrame:
-    """First k rows per key. The literal bound cuts groups before the shuffle."""
-    window = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= k)
+    """First k rows per key, with their ``rank`` and the ``hash`` of the key.
+
+    The literal bound cuts groups before the shuffle. The hash leads the sort,
+    where one number settles most comparisons of long keys; the keys stay in
+    the partitioning, so equal hashes do no harm.
+    """
+    window = Window.partitionBy("hash", *keys).orderBy(*order)
+    hashed = df.withColumn("hash", F.xxhash64(*keys))
+    return hashed.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= k)
 
 
 # --- skills: interests meet titles ------------------------------------------
@@ -120,8 +131,7 @@ def _interests(side: DataFrame, scope: Sequence[str]) -> DataFrame:
     return (
         side.select(*scope, "field", "interest")
         .distinct()
-        .withColumn("skills", skills)
-        .withColumn("n_skills", F.size("skills"))
+        .select(*scope, "field", "interest", skills.alias("skills"), F.size(skills).alias("n_skills"))
     )
 
 
@@ -138,7 +148,7 @@ def _rare_first(interests: DataFrame, titles: DataFrame) -> DataFrame:
         interests.select(*keys, F.explode("skills").alias("word"))
         .join(seen, "word", "left")
         .groupBy(*keys)
-        .agg(F.transform(F.array_sort(F.collect_list(counted)), lambda c: c["word"]).alias("skills"))
+        .agg(F.sort_array(F.collect_list(counted)).getField("word").alias("skills"))
     )
 
 
@@ -153,15 +163,13 @@ def _meet(
     arrival on the first is kept, so no aggregate follows the join.
     """
     probe = F.slice("skills", 1, F.greatest(F.col("n_skills") - needed + 1, F.lit(0)))
-    probes = interests.withColumn("probe", probe).withColumn("word", F.explode("probe"))
-    words = titles.select(*scope, "field", "title", F.split("title", " ").alias("words"))
-    met = words.withColumn("word", F.explode("words")).join(probes, [*scope, "field", "word"])
-    return (
-        met.where(F.col("word") == F.get(F.array_intersect("probe", "words"), F.lit(0)))
-        .withColumn("hits", F.size(F.array_intersect("skills", "words")))
-        .where(F.col("hits") >= needed)
-        .select(*scope, "field", "title", "interest", "n_skills", "hits")
-    )
+    words = F.split("title", " ")
+    hits = F.size(F.array_intersect("skills", words))
+    probes = interests.select("*", F.explode(probe).alias("word"))
+    met = titles.select("*", F.explode(words).alias("word")).join(probes, [*scope, "field", "word"])
+    return met.where(
+        (F.col("word") == F.get(F.array_intersect(probe, words), F.lit(0))) & (hits >= needed)
+    ).select(*scope, "field", "title", "interest", "n_skills", hits.alias("hits"))
 
 
 def _looks(
@@ -294,23 +302,25 @@ def top_matches(
     newest = [F.col("posted_on").desc_nulls_last(), F.col("id_num").asc()]
     side = _profile_side(profiles, scope, keep)
     signatures, interests = _signatures(side, scope), _interests(side, scope)
-    classes = _best(_listing_side(listings, scope), _class_keys(scope), newest, k).drop("rank")
+    classes = _best(_listing_side(listings, scope), _class_keys(scope), newest, k)
+    classes = classes.drop("hash", "rank")
 
-    probes = interests.withColumn("word", F.explode("skills"))
-    vocabulary = probes.select(*scope, "field", "word").distinct()
-    by_word = classes.withColumn("word", F.explode(F.split("title", " ")))
-    by_word = by_word.join(vocabulary, [*scope, "field", "word"], "left_semi")
+    by_word = classes.select("*", F.explode(F.split("title", " ")).alias("word"))
     by_word = _best(by_word, [*scope, "field", "place", "work_mode", "band", "word"], newest, k)
     places = signatures.select(*scope, "field", "interest", "place").distinct()
-    wanted = probes.join(places, [*scope, "field", "interest"])
-    hits = F.size(F.array_intersect("skills", F.split("title", " ")))
-    one_hit = by_word.join(wanted, [*scope, "field", "word", "place"]).where(hits == 1)
+    probes = interests.select("*", F.explode("skills").alias("word"))
+    wanted = probes.withColumn("others", F.array_remove("skills", F.col("word"))).join(
+        places, [*scope, "field", "interest"]
+    )
+    one_hit = by_word.join(wanted, [*scope, "field", "word", "place"]).where(
+        ~F.arrays_overlap("others", F.split("title", " "))
+    )
     more = _looks(classes, interests, signatures, scope, F.lit(2))
 
     columns = [*_cell_keys(scope), "id_num", "posted_on"]
     met = one_hit.withColumn("hits", F.lit(1)).select(*columns).unionByName(more.select(*columns))
-    cells = _best(met, _cell_keys(scope), newest, k).drop("rank")
-    cells = cells.groupBy(*_cell_keys(scope)).agg(
+    cells = _best(met, _cell_keys(scope), newest, k)
+    cells = cells.groupBy("hash", *_cell_keys(scope)).agg(
         F.collect_list(F.struct("id_num", "posted_on")).alias("rows")
     )
 
@@ -367,10 +377,6 @@ def cut_by_plan(ranked: DataFrame, plan_limits: DataFrame) -> DataFrame:
 
 def result_documents(matches: DataFrame) -> DataFrame:
     """One JSON document per user, jobs in rank order (at most k each)."""
-    jobs = F.array_sort(
-        F.collect_list(F.struct("rank", "title", "company", "location", "score", "link"))
-    )
-    job = lambda j: F.struct(*[j[c].alias(c) for c in ("title", "company", "location", "score", "link")])
-    return matches.groupBy("user_id").agg(
-        F.to_json(F.struct(F.transform(jobs, job).alias("jobs"))).alias("document")
-    )
+    job = F.struct("title", "company", "location", "score", "link").alias("job")
+    jobs = F.sort_array(F.collect_list(F.struct("rank", job))).getField("job")
+    return matches.groupBy("user_id").agg(F.to_json(F.struct(jobs.alias("jobs"))).alias("document"))
