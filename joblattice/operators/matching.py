@@ -9,8 +9,9 @@ rows. The jobs here never build that product. They use these facts:
   equal for every profile. A class is cut to its count, or to its k newest
   listings, before anything is joined; both are map-side reductions.
 * The skills part of a score depends on the distinct title and on the distinct
-  skill list (the *interest*) only. Titles meet interests on (field, word),
-  once each, not once per listing or user.
+  skill list (the *interest*) only. Most pairs of them share a single word, and
+  one-hit listings are found word by word, without forming such pairs. Only
+  pairs with two hits or more are formed, looked up by the rarer skills.
 * Per interest, listings equal in place, mode, band and number of hits form a
   *cell* and again score equal, so k of them are enough.
 * Profiles equal in all scored values share one *signature*: it is scored and
@@ -178,18 +179,32 @@ def _looks(
     signatures: DataFrame,
     scope: Sequence[str],
     needed: Column,
-    rare_first: bool = False,
 ) -> DataFrame:
-    """Rows with a title, joined to the interests that hit it and look there."""
+    """Rows with a title, joined to the interests that look at their place and
+    hit the title at least ``needed`` times."""
     titles = rows.select(*scope, "field", "title").distinct()
-    if rare_first:
-        interests = _rare_first(interests, titles)
-    pairs = _meet(titles, interests, scope, needed)
+    pairs = _meet(titles, _rare_first(interests, titles), scope, needed)
     places = signatures.select(*scope, "field", "interest", "place").distinct()
     wanted = pairs.join(places, [*scope, "field", "interest"])
     return rows.join(wanted, [*scope, "field", "title", "place"])
 
 
+def _words(rows: DataFrame) -> DataFrame:
+    return rows.select("*", F.explode(F.split("title", " ")).alias("word"))
+
+
+def _word_looks(
+    by_word: DataFrame, interests: DataFrame, signatures: DataFrame, scope: Sequence[str]
+) -> DataFrame:
+    """Rows of a word, joined to the interests with it that look at their place;
+    ``others`` are the further skills of the interest."""
+    others = F.array_remove("skills", F.col("word"))
+    probes = interests.select("*", F.explode("skills").alias("word"))
+    places = signatures.select(*scope, "field", "interest", "place").distinct()
+    wanted = probes.withColumn("others", others).join(places, [*scope, "field", "interest"])
+    return by_word.join(wanted, [*scope, "field", "word", "place"])
+
+
 # --- score -------------------------------------------------------------------
 
 
@@ -251,12 +266,35 @@ def candidate_counts(listings: DataFrame, profiles: DataFrame) -> DataFrame:
 def score_counts(
     listings: DataFrame, profiles: DataFrame, settings: MatchSettings = MATCH
 ) -> DataFrame:
-    """Number of relevant listings per user and score, over all pairs."""
+    """Number of relevant listings per user and score, over all pairs.
+
+    One-hit counts come from counts per word. There a listing with h hits is
+    counted h times, so h times the count of each h > 1 is taken off again.
+    """
     side = _profile_side(profiles, ())
-    signatures = _signatures(side, ())
+    signatures, interests = _signatures(side, ()), _interests(side, ())
     classes = _listing_side(listings, ()).groupBy(*_class_keys(())).agg(F.count("*").alias("n"))
-    met = _looks(classes, _interests(side, ()), signatures, (), F.lit(1))
-    cells = met.groupBy(*_cell_keys(())).agg(F.sum("n").alias("n"))
+    # Always true; it has every branch below read the same shuffled counts.
+    classes = classes.where("n > 0")
+
+    word_keys = ["field", "place", "work_mode", "band", "word"]
+    by_word = _words(classes).groupBy(*word_keys).agg(F.sum("n").alias("n"))
+    once = _word_looks(by_word, interests, signatures, ()).withColumn("hits", F.lit(1))
+    more = _looks(classes, interests, signatures, (), F.lit(2))
+    more = more.groupBy(*_cell_keys(())).agg(F.sum("n").alias("n"))
+    entries = F.array(
+        F.struct("hits", "n"), F.struct(F.lit(1).alias("hits"), (-F.col("hits") * F.col("n")).alias("n"))
+    )
+    more = more.withColumn("entry", F.explode(entries)).select(
+        *[F.col("entry.hits") if c == "hits" else F.col(c) for c in _cell_keys(())], "entry.n"
+    )
+    cells = (
+        once.select(*_cell_keys(()), "n")
+        .unionByName(more)
+        .groupBy(*_cell_keys(()))
+        .agg(F.sum("n").alias("n"))
+        .where("n > 0")
+    )
     per_signature = (
         _score_signatures(signatures, cells, (), settings)
         .groupBy(*_signature(()), *PARTS)
@@ -305,14 +343,10 @@ def top_matches(
     classes = _best(_listing_side(listings, scope), _class_keys(scope), newest, k)
     classes = classes.drop("hash", "rank")
 
-    by_word = classes.select("*", F.explode(F.split("title", " ")).alias("word"))
-    by_word = _best(by_word, [*scope, "field", "place", "work_mode", "band", "word"], newest, k)
-    places = signatures.select(*scope, "field", "interest", "place").distinct()
-    probes = interests.select("*", F.explode("skills").alias("word"))
-    wanted = probes.withColumn("others", F.array_remove("skills", F.col("word"))).join(
-        places, [*scope, "field", "interest"]
+    by_word = _best(
+        _words(classes), [*scope, "field", "place", "work_mode", "band", "word"], newest, k
     )
-    one_hit = by_word.join(wanted, [*scope, "field", "word", "place"]).where(
+    one_hit = _word_looks(by_word, interests, signatures, scope).where(
         ~F.arrays_overlap("others", F.split("title", " "))
     )
     more = _looks(classes, interests, signatures, scope, F.lit(2))
@@ -351,7 +385,7 @@ def matches_at_least(
     least = max(score - settings.points_beside_skills, 1)
     needed = F.ceil(F.lit(least) * F.col("n_skills") / settings.skill_points).cast("int")
     rows = _listing_side(listings, ())
-    met = _looks(rows, _interests(side, ()), signatures, (), needed, rare_first=True)
+    met = _looks(rows, _interests(side, ()), signatures, (), needed)
     wanted = _score_signatures(signatures, met, (), settings).where(F.col("score") >= score)
     return side.join(wanted, _signature(())).select("user_id", "id_num", "posted_on", *PARTS)
 
