@@ -79,7 +79,7 @@ def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def number_in_props(props) -> F.Column:
-    return F.regexp_extract(props, "[0-9]+", 0).cast("bigint")
+    return F.regexp_extract(props, "[0-9]+", 0).try_cast("bigint")
 
 
 def events_of(raw: DataFrame) -> DataFrame:

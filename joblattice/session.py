@@ -12,6 +12,10 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # A repeated key in a JSON body keeps its last value, as JavaScript does.
     "spark.sql.variant.allowDuplicateKeys": "true",
+    # Bookmark and profile state outgrows executor heaps; it is kept on disk.
+    "spark.sql.streaming.stateStore.providerClass": (
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    ),
     # Keys of aes_encrypt/aes_decrypt never reach explain output or event logs.
     "spark.sql.redaction.string.regex": r"(?i)aes_(en|de)crypt\(.*",
 }
