@@ -22,11 +22,12 @@ def _pick(texts, position) -> F.Column:
     return F.get(F.array(*[F.lit(t) for t in texts]), position.cast("int"))
 
 
-def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One listing per order; title and company come from a part."""
+def listings_of(orders: DataFrame, parts: DataFrame) -> DataFrame:
+    """One listing per order; title and company come from a part. The orders
+    may be a stream."""
     k = F.col("o_orderkey")
-    orders = table(spark, sf_dir, "orders").withColumn("p_partkey", k % 200)
-    parts = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type", "p_brand")
+    orders = orders.withColumn("p_partkey", k % 200)
+    parts = parts.select("p_partkey", "p_name", "p_type", "p_brand")
     k_text = k.cast("string")
     country = F.concat(F.lit("NATION_"), (k % 25).cast("string"))
     low = F.concat(F.lit("$"), (20 + k % 100).cast("string"), F.lit("k"))
@@ -57,6 +58,10 @@ def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return listings_of(table(spark, sf_dir, "orders"), table(spark, sf_dir, "part"))
+
+
 def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One profile per customer with one or two distinct skills."""
     c = F.col("c_custkey")
@@ -98,7 +103,7 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events_of(table(spark, sf_dir, "events"))
 
 
-def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+def requests_of(events: DataFrame) -> DataFrame:
     """One raw webhook body per event, some of them broken or incomplete."""
     k, kind = F.col("k"), F.col("event_type")
     preference = (
@@ -119,11 +124,15 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.format_string(',"field":"F%d","skills":', k % 5), skills, job_type,
         F.format_string(',"experience":%d}', k % 6),
     )
-    return events(spark, sf_dir).select(
+    return events.select(
         "event_id", "ts", F.when(kind == "error", "{bad").when(k == 50, "null").otherwise(body).alias("body")
     )
 
 
+def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return requests_of(events(spark, sf_dir))
+
+
 def toggles_of(events: DataFrame) -> DataFrame:
     return events.select("user_id", (F.col("k") % 10).alias("id_num"), "ts", "event_id")
 

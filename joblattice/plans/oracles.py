@@ -39,11 +39,17 @@ SELECT event_id, ts, user_id, event_type, value, props,
   CAST(regexp_extract(props, '[0-9]+', 0) AS BIGINT) AS k FROM events""",
     "T": "SELECT user_id, k % 10 AS id_num, ts, event_id FROM E",
     "R": """
-SELECT *, CASE WHEN event_type = 'error' OR k = 50 THEN 500 WHEN event_type = 'signup' OR k % 10 = 0 THEN 400
-    ELSE 200 END AS status,
-  CASE WHEN k % 4 = 0 THEN 'user_' || CAST(epoch_us(ts) // 1000 AS VARCHAR) ELSE CAST(user_id AS VARCHAR) END AS sender,
-  strftime(ts, '%Y-%m-%dT%H:%M:%S.%g') || 'Z' AS stamp
-FROM E""",
+SELECT *, '{"userId":"' || sender || '","workPreference":"'
+    || CASE event_type WHEN 'view' THEN 'remote' WHEN 'click' THEN 'on-site' ELSE 'Hybrid' END
+    || '","location":{"country":"","city":""},"field":"F' || CAST(k % 5 AS VARCHAR) || '","skills":'
+    || CASE WHEN k % 10 = 1 THEN '"React"' ELSE '["a","b"]' END || ',"experience":' || CAST(k % 6 AS VARCHAR)
+    || ',"jobType":' || CASE k % 7 WHEN 0 THEN '"Full-time"' WHEN 1 THEN '["contract"]' ELSE '[]' END
+    || ',"seniority":"mid","salary":{"min":0,"max":0,"currency":"USD"},"timestamp":"' || stamp || '"}' AS payload
+FROM (SELECT *,
+    CASE WHEN event_type = 'error' OR k = 50 THEN 500 WHEN event_type = 'signup' OR k % 10 = 0 THEN 400 ELSE 200 END AS status,
+    CASE WHEN k % 4 = 0 THEN 'user_' || CAST(epoch_us(ts) // 1000 AS VARCHAR) ELSE CAST(user_id AS VARCHAR) END AS sender,
+    strftime(ts, '%Y-%m-%dT%H:%M:%S.%g') || 'Z' AS stamp
+  FROM E)""",
     # every relevant (user, listing) pair with the parts of its score
     "P": """
 SELECT *, skill_points + experience_points + location_points AS score FROM (
@@ -123,14 +129,7 @@ ORACLES: dict[str, str] = {
           CASE WHEN status = 500 THEN CASE WHEN event_type = 'error' THEN 'body is not valid JSON' ELSE 'body is null' END END AS details,
           status = 200 AS success,
           CASE WHEN status = 200 THEN 'Onboarding completed. Job search initiated.' END AS message FROM R"""),
-    "request_payload": _with("R", """
-        SELECT event_id, '{"userId":"' || sender || '","workPreference":"'
-          || CASE event_type WHEN 'view' THEN 'remote' WHEN 'click' THEN 'on-site' ELSE 'Hybrid' END
-          || '","location":{"country":"","city":""},"field":"F' || CAST(k % 5 AS VARCHAR) || '","skills":'
-          || CASE WHEN k % 10 = 1 THEN '"React"' ELSE '["a","b"]' END || ',"experience":' || CAST(k % 6 AS VARCHAR)
-          || ',"jobType":' || CASE k % 7 WHEN 0 THEN '"Full-time"' WHEN 1 THEN '["contract"]' ELSE '[]' END
-          || ',"seniority":"mid","salary":{"min":0,"max":0,"currency":"USD"},"timestamp":"' || stamp || '"}' AS payload
-        FROM R WHERE status = 200"""),
+    "request_payload": _with("R", "SELECT event_id, payload FROM R WHERE status = 200"),
     "request_normalized": _with("R", """
         SELECT event_id, sender AS user_id,
           CASE event_type WHEN 'view' THEN 'remote' WHEN 'click' THEN 'on-site' ELSE 'hybrid' END AS work_preference,
@@ -263,3 +262,18 @@ ORACLES: dict[str, str] = {
         JOIN E v ON v.user_id = s.user_id AND v.event_type = 'view' AND epoch_us(v.ts) >= s.started
         GROUP BY s.user_id, s.started"""),
 }
+
+ORACLES |= {
+    "stream_intake": _with("R", """
+        SELECT 'payload' AS kind, payload AS content FROM R WHERE status = 200
+        UNION ALL SELECT 'reject', CAST(event_id AS VARCHAR) || CASE status WHEN 400 THEN ' 400 Missing required fields'
+          ELSE ' 500 Failed to process onboarding data' END FROM R WHERE status <> 200"""),
+    "stream_bookmarks": _with("FLIPS", "SELECT user_id, id_num, toggles, flipped FROM FLIPS"),
+    "stream_profiles": ORACLES["profile_fold"],
+    # the windows closed by the watermark of the last row
+    "stream_rate_limit": _with("E", """
+        SELECT user_id, CAST(ts AS DATE) AS day, count(*) AS requests FROM E
+        WHERE CAST(ts AS DATE) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM E)
+        GROUP BY ALL HAVING count(*) > 3"""),
+    "stream_alerts": _with("P", "SELECT user_id, id_num, CAST(score AS INT) AS score FROM P WHERE score >= 90"),
+}

@@ -32,6 +32,19 @@ def query(build: Query) -> Query:
     return run
 
 
+def profile_fields(updates: DataFrame) -> dict:
+    """Seed of the fields the test updates carry."""
+    return {f: v for f, v in state.profile_seed().items() if f in updates.columns}
+
+
+def flat_profile(folded: DataFrame) -> DataFrame:
+    return folded.select(
+        "user_id", "work_preference", "field", "experience",
+        F.col("salary.min").alias("salary_min"), F.col("salary.max").alias("salary_max"),
+        F.col("salary.currency").alias("currency"),
+    )
+
+
 # --- listings ----------------------------------------------------------------
 
 
@@ -376,12 +389,7 @@ def bookmark_overlay(spark, sf):
 @query
 def profile_fold(spark, sf):
     updates = b.profile_updates(spark, sf)
-    seed = {f: v for f, v in state.profile_seed().items() if f in updates.columns}
-    return state.fold_profile(updates, seed).select(
-        "user_id", "work_preference", "field", "experience",
-        F.col("salary.min").alias("salary_min"), F.col("salary.max").alias("salary_max"),
-        F.col("salary.currency").alias("currency"),
-    )
+    return flat_profile(state.fold_profile(updates, profile_fields(updates)))
 
 
 @query
