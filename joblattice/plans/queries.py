@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from joblattice.config import SECRET_CONF
 from joblattice.functions import dimensions, secrets, skills, values
 from joblattice.functions import fixed_values as fixed
-from joblattice.functions.listing import display_line, initial, salary_parts
+from joblattice.functions.listing import display_line, salary_parts
 from joblattice.operators import alerts, dashboard, filters, intake, matching, searches, state
 from joblattice.plans import bindings as b
 from joblattice.session import apply_settings

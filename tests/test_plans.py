@@ -1,0 +1,72 @@
+"""Plans stay as they are meant to be."""
+
+import re
+
+import pytest
+
+from joblattice.plans.queries import QUERIES
+
+BATCH = sorted(name for name in QUERIES if not name.startswith("stream_"))
+NARROW = [
+    "listings_scan", "salary_parsed", "page_extract", "option_labels", "search_listings", "dashboard_filter",
+    "filter_facets", "intake_status", "request_normalized", "request_payload", "skills_clean", "experience_band",
+]
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.fixture(scope="module")
+def plan(spark, sf):
+    plans = {}
+
+    def get(name):
+        if name not in plans:
+            plans[name] = plan_of(QUERIES[name](spark, sf))
+        return plans[name]
+
+    return get
+
+
+@pytest.mark.parametrize("name", BATCH)
+def test_no_pairwise_joins_and_no_python(plan, name):
+    for node in ("CartesianProduct", "NestedLoopJoin", "EvalPython", "InPandas", "Scan ExistingRDD"):
+        assert node not in plan(name)
+
+
+@pytest.mark.parametrize("name", NARROW)
+def test_row_wise_queries_do_not_shuffle(plan, name):
+    assert not re.search(r"Exchange (hash|range|single|round)", plan(name).replace("hashpartitioning", "hash"))
+
+
+def read_columns(text, table):
+    schema = re.search(rf"{table}\.parquet\].*?ReadSchema: struct<([^\n]*)>", text, re.S).group(1)
+    return {c.split(":")[0] for c in schema.split(",")}
+
+
+def test_scans_read_only_what_is_used(plan):
+    assert read_columns(plan("score_tier_counts"), "orders") == {"o_orderkey"}
+    assert read_columns(plan("rate_limited"), "events") == {"ts", "user_id"}
+    assert read_columns(plan("match_candidates"), "orders") == {"o_orderkey", "o_orderstatus"}
+
+
+def test_the_body_is_parsed_once(plan):
+    for name in ("intake_status", "request_normalized", "request_payload"):
+        assert plan(name).count("parseJson") == 1
+
+
+def test_top_report_never_sorts_the_whole_table(plan):
+    assert "TakeOrderedAndProject" in plan("global_top")
+
+
+@pytest.mark.parametrize("name", ["listings_refresh", "search_quota", "matches_topk"])
+def test_ranked_groups_are_cut_map_side(plan, name):
+    text = plan(name)
+    assert "Partial" in text and text.count("WindowGroupLimit") >= 2
+
+
+def test_branches_of_the_flagship_share_their_shuffles(spark, sf):
+    df = QUERIES["matches_topk"](spark, sf)
+    df.collect()
+    assert plan_of(df).count("ReusedExchange") >= 5

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from joblattice.operators import intake, matching, state
 from joblattice.plans import bindings as b
+from joblattice.sources.requests import stream_requests
 from joblattice.streaming import jobs
 
 FILES = 4
@@ -115,6 +116,18 @@ def test_intake(spark, run, tmp_path):
     )
 
 
+def test_intake_from_text_files(spark, run, tmp_path):
+    """Requests without an event time take the time of their file."""
+    source = tmp_path / "in"
+    source.mkdir()
+    (source / "a.txt").write_text(json.dumps({"workPreference": "remote", "field": "x", "skills": ["a"]}) + "\n")
+    os.utime(source / "a.txt", (1_700_000_000, 1_700_000_000))
+    jobs.run_intake(stream_requests(spark, str(source)), str(tmp_path / "out"), **run).awaitTermination()
+    payload = json.loads(spark.read.text(str(tmp_path / "out/payloads")).first()["value"])
+    assert payload["userId"] == "user_1700000000000"
+    assert payload["timestamp"] == "2023-11-14T22:13:20.000Z"
+
+
 def test_alerts_once_per_user_and_listing(spark, sf, run, tmp_path):
     listings, profiles = b.listings(spark, sf), b.profiles(spark, sf)
     columns = ["id_num", "title", "field", "work_mode", "country", "band", "posted_on"]
