@@ -7,11 +7,14 @@ projections: no shuffle, batch and stream alike.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from joblattice.functions import fixed_values as fixed
 from joblattice.functions import values as v
+from joblattice.functions.skills import clean_skills
 
 OK, BAD_REQUEST, FAILED = 200, 400, 500
 
@@ -147,6 +150,30 @@ def normalized(classified: DataFrame) -> DataFrame:
     )
 
 
+def latest_profiles(requests: DataFrame, order: Sequence[str] = ("stamp",)) -> DataFrame:
+    """Profile of each user from their latest normalised request.
+
+    ``order`` names the columns that put the requests of a user in time. The
+    literal bound of one row has Spark drop older requests map-side.
+    """
+    newest = Window.partitionBy("user_id").orderBy(*[F.col(c).desc() for c in order])
+    latest = requests.withColumn("nth", F.row_number().over(newest)).where(F.col("nth") <= 1)
+    return latest.select(
+        "user_id",
+        "work_preference",
+        "location.country",
+        "location.city",
+        "field",
+        clean_skills(F.col("skills")).alias("skills"),
+        "experience",
+        "job_type",
+        "seniority",
+        F.col("salary.min").alias("want_min"),
+        F.col("salary.max").alias("want_max"),
+        "salary.currency",
+    )
+
+
 def _keys(df: DataFrame) -> list[str]:
     """Columns the caller brought along, apart from the body and its parse."""
     return [c for c in df.columns if c not in _INTERNAL]

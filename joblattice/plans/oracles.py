@@ -50,6 +50,14 @@ FROM (SELECT *,
     CASE WHEN k % 4 = 0 THEN 'user_' || CAST(epoch_us(ts) // 1000 AS VARCHAR) ELSE CAST(user_id AS VARCHAR) END AS sender,
     strftime(ts, '%Y-%m-%dT%H:%M:%S.%g') || 'Z' AS stamp
   FROM E)""",
+    "N": """
+SELECT event_id, sender AS user_id,
+  CASE event_type WHEN 'view' THEN 'remote' WHEN 'click' THEN 'on-site' ELSE 'hybrid' END AS work_preference,
+  '' AS country, '' AS city, 'F' || CAST(k % 5 AS VARCHAR) AS field,
+  CASE WHEN k % 10 = 1 THEN 'React' ELSE 'a|b' END AS skills, CAST(k % 6 AS INT) AS experience,
+  CASE k % 7 WHEN 0 THEN 'full-time' WHEN 1 THEN 'contract' ELSE '' END AS job_type, 'mid' AS seniority,
+  CAST(0 AS BIGINT) AS salary_min, CAST(0 AS BIGINT) AS salary_max, 'USD' AS currency, stamp
+FROM R WHERE status = 200""",
     # every relevant (user, listing) pair with the parts of its score
     "P": """
 SELECT *, skill_points + experience_points + location_points AS score FROM (
@@ -73,7 +81,7 @@ SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, posted_on
     "FLIPS": "SELECT user_id, id_num, count(*) AS toggles, count(*) % 2 = 1 AS flipped FROM T GROUP BY ALL",
 }
 _NEEDS = {
-    "T": ["E"], "R": ["E"], "P": ["L", "U"], "K": ["P"], "TOP": ["K"], "FLIPS": ["T"],
+    "T": ["E"], "R": ["E"], "N": ["R"], "P": ["L", "U"], "K": ["P"], "TOP": ["K"], "FLIPS": ["T"],
 }
 
 
@@ -130,14 +138,10 @@ ORACLES: dict[str, str] = {
           status = 200 AS success,
           CASE WHEN status = 200 THEN 'Onboarding completed. Job search initiated.' END AS message FROM R"""),
     "request_payload": _with("R", "SELECT event_id, payload FROM R WHERE status = 200"),
-    "request_normalized": _with("R", """
-        SELECT event_id, sender AS user_id,
-          CASE event_type WHEN 'view' THEN 'remote' WHEN 'click' THEN 'on-site' ELSE 'hybrid' END AS work_preference,
-          '' AS country, '' AS city, 'F' || CAST(k % 5 AS VARCHAR) AS field,
-          CASE WHEN k % 10 = 1 THEN 'React' ELSE 'a|b' END AS skills, CAST(k % 6 AS INT) AS experience,
-          CASE k % 7 WHEN 0 THEN 'full-time' WHEN 1 THEN 'contract' ELSE '' END AS job_type, 'mid' AS seniority,
-          CAST(0 AS BIGINT) AS salary_min, CAST(0 AS BIGINT) AS salary_max, 'USD' AS currency, stamp
-        FROM R WHERE status = 200"""),
+    "request_normalized": _with("N", "SELECT * FROM N"),
+    "request_profiles": _with("N", """
+        SELECT user_id, work_preference, country, field, skills, experience, job_type, seniority, currency
+        FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY stamp DESC, event_id DESC) AS nth FROM N) WHERE nth = 1"""),
     "lenient_int": _with("E L", """
         SELECT 'props' AS origin, event_id AS id_num, props AS text, CAST(0 AS BIGINT) AS number FROM E
         UNION ALL SELECT 'number', event_id, CAST(k AS VARCHAR) || '}', k FROM E

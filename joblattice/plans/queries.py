@@ -127,6 +127,15 @@ def request_normalized(spark, sf):
     )
 
 
+@query
+def request_profiles(spark, sf):
+    valid = intake.normalized(intake.classify(b.requests(spark, sf)))
+    return intake.latest_profiles(valid, ["stamp", "event_id"]).select(
+        "user_id", "work_preference", "country", "field", F.array_join("skills", "|").alias("skills"),
+        "experience", F.array_join("job_type", "|").alias("job_type"), "seniority", "currency",
+    )
+
+
 @query
 def lenient_int(spark, sf):
     props = b.table(spark, sf, "events").select(F.col("event_id").alias("id_num"), "props")

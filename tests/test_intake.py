@@ -3,10 +3,10 @@
 import json
 
 import pytest
-from golden import SAMPLE_REQUEST
+from golden import LISTINGS, SAMPLE_REQUEST
 from pyspark.sql import functions as F
 
-from joblattice.operators import intake
+from joblattice.operators import intake, matching
 from joblattice.sources import requests as source
 
 TS = "2024-03-01 10:20:30.456789"
@@ -161,3 +161,28 @@ def test_text_source(spark, tmp_path):
     rows = intake.classify(source.read_requests(spark, str(tmp_path))).collect()
     assert sorted(r["status"] for r in rows) == [200, 500, 500]
     assert all(r["ts"] is not None for r in rows)
+
+
+def test_requests_become_profiles_and_get_matches(spark):
+    """From raw bodies to one result document per user."""
+    first = body(userId="7", field="QA", skills=["Go"], workPreference="remote")
+    last = body(userId="7", field="Software Engineering", skills=[" React", "JavaScript", "React"], experience="3")
+    rows = [(1, first, "2024-01-01 10:00:00"), (2, last, "2024-01-02 10:00:00"), (3, "{bad", "2024-01-03 10:00:00")]
+    raw = spark.createDataFrame(rows, "n int, body string, t string").selectExpr("body", "cast(t AS timestamp) AS ts")
+    profiles = intake.latest_profiles(intake.normalized(intake.classify(raw)))
+    assert [r["skills"] for r in profiles.collect()] == [["React", "JavaScript"]]
+
+    listings = spark.createDataFrame(
+        [(i, r[1], r[2], r[3], r[8], "Software Engineering", "remote", "Egypt", 1) for i, r in enumerate(LISTINGS, 1)],
+        "id_num bigint, title string, company string, location string, link string, field string, work_mode string, "
+        "country string, band int",
+    ).withColumn("posted_on", F.lit("2024-01-01").cast("date"))
+    top = matching.top_matches(listings, profiles, 2)
+    full = matching.with_listing(top, listings, ["title", "company", "location", "link"])
+    document = json.loads(matching.result_documents(full).first()["document"])
+    assert document == {
+        "jobs": [
+            {"title": "React Developer", "company": "Linear", "location": "Remote", "score": 70, "link": "#"},
+            {"title": "JavaScript Engineer", "company": "Shopify", "location": "Remote", "score": 70, "link": "#"},
+        ]
+    }
