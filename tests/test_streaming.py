@@ -143,7 +143,29 @@ def test_alerts_once_per_user_and_listing(spark, sf, run, tmp_path):
     jobs.run_alerts(new, profiles, out, **run).awaitTermination()
     sent = spark.read.parquet(out)
     assert sent.select(jobs.BATCH).distinct().count() == 3
-    same(sent.drop(jobs.BATCH), matching.matches_at_least(listings, profiles, 90).select("user_id", "id_num", "score"))
+    expected = matching.matches_at_least(listings, profiles, 90).select("user_id", "id_num", "score")
+    assert expected.count() > 0
+    same(sent.drop("job", jobs.BATCH), expected)
+
+    # another job, with no progress of its own, finds everything sent already
+    other = {**run, "job": f"{run['job']}_other"}
+    again = spark.readStream.schema(schema).parquet(str(tmp_path / "in*"))
+    jobs.run_alerts(again, profiles, out, **other).awaitTermination()
+    same(spark.read.parquet(out).drop("job", jobs.BATCH), expected)
+
+
+def test_a_repeated_alert_batch_writes_the_same_rows(spark, sf, tmp_path, monkeypatch):
+    """The batch function run twice with one number, as after a lost driver."""
+    captured = {}
+    monkeypatch.setattr(jobs, "_start", lambda stream, job, write, *rest: captured.update(write=write))
+    out = str(tmp_path / "out")
+    listings, profiles = b.listings(spark, sf), b.profiles(spark, sf)
+    jobs.run_alerts(listings, profiles, out, job="j")
+    for number in (0, 1, 1, 0):
+        captured["write"](listings if number == 0 else listings.where("id_num < 0"), number)
+    sent = spark.read.parquet(f"{out}/job=j/batch=0")
+    same(sent, matching.matches_at_least(listings, profiles, 90).select("user_id", "id_num", "score"))
+    assert spark.read.parquet(f"{out}/job=j/batch=1").isEmpty()
 
 
 def test_checkpoint_location_prefers_the_session(spark):
