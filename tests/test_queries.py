@@ -29,10 +29,10 @@ def rows(columns, records):
 
 
 def test_every_query_has_sql():
-    assert set(entry_point.queries()) == set(entry_point.oracle_sql())
+    assert set(entry_point.QUERIES) == set(entry_point.ORACLES)
 
 
-@pytest.mark.parametrize("name", sorted(entry_point.queries()))
+@pytest.mark.parametrize("name", sorted(entry_point.QUERIES))
 def test_query(spark, sf, duck, name):
     result = entry_point.queries()[name](spark, sf)
     expected = duck.sql(entry_point.oracle_sql()[name])
