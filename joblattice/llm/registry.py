@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from joblattice.llm import packing, quality_rules
+from joblattice.llm import packing, quality_rules, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": packing.op1_packing,
     "op2_quality_rules": quality_rules.op2_quality_rules,
+    "op5_simhash": simhash.op5_simhash,
 }
 
 ORACLES: dict[str, str] = {

@@ -1,0 +1,73 @@
+"""SimHash groups against a plain recomputation."""
+
+import random
+
+import pytest
+import xxhash
+
+from joblattice.llm import simhash
+
+
+def plain_fingerprint(text):
+    words = [w for w in "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "").replace("\n", " ").split(" ") if w]
+    shingles = [" ".join(words[i : i + 4]) for i in range(max(1, len(words) - 3))] if words else []
+    hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def plain_components(fps):
+    """fps: (doc_id, fingerprint); the least id reachable, by doc_id."""
+    root = {d: d for d, _ in fps}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, (a, f) in enumerate(fps):
+        for b, g in fps[:i]:
+            if (f ^ g).bit_count() <= 4:
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    return {d: find(d) for d in root}
+
+
+def test_given_documents(spark, sf):
+    rows = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
+    expected = [(r.doc_id, plain_fingerprint(r.text)) for r in rows]
+    classes = plain_components(expected)
+    found = {r.doc_id: (r.fingerprint, r.component_id) for r in simhash.op5_simhash(spark, sf).collect()}
+    assert found == {d: (f"{f:016x}", classes[d]) for d, f in expected}
+    assert len(set(classes.values())) < len(classes)
+
+
+@pytest.mark.parametrize("crowd", [64, 2])
+@pytest.mark.parametrize("total", [100, 1 << 22, 1 << 30])
+def test_links_join_what_all_pairs_join(spark, crowd, total):
+    rng = random.Random(total + crowd)
+    base = [rng.getrandbits(64) for _ in range(12)]
+    values = set(base)
+    for b in base:
+        for _ in range(8):
+            x = b
+            for bit in rng.sample(range(64), rng.randint(1, 7)):
+                x ^= 1 << bit
+            values.add(x)
+    signed = [v - (1 << 64) if v >> 63 else v for v in values]
+    df = spark.createDataFrame([(v,) for v in signed], "fp bigint")
+    found = {r.node: r.root for r in simhash.components(simhash.links(df, total, crowd)).collect()}
+    expected = plain_components([(v, v % (1 << 64)) for v in sorted(signed)])
+    assert {v: found.get(v, v) for v in signed} == expected
+
+
+def test_odd_rows(spark):
+    rows = [(None, "a b c d e f"), (1, None), (2, ""), (3, " \n\t "), (4, "a B c D E f"), (4, "a b c d e f"), (5, "x " * 50_000)]
+    docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id bigint, text string, fp int")
+    found = sorted((r.doc_id or 0, r.component_id) for r in simhash.grouped(docs).collect())
+    assert found == [(0, 4), (1, 1), (2, 1), (3, 1), (4, 4), (4, 4), (5, 5)]
+    assert simhash.grouped(docs.limit(0)).count() == 0
+
+
+def test_chain(spark):
+    edges = spark.createDataFrame([(i + 1, i) for i in range(60)], "a bigint, b bigint")
+    assert {r.root for r in simhash.components(edges).collect()} == {0}
