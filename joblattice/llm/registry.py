@@ -6,16 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from joblattice.llm import media, packing, quality_classifier, quality_rules, simhash
+from joblattice.llm import media, packing, quality_classifier, quality_rules, simhash, substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": packing.op1_packing,
     "op2_quality_rules": quality_rules.op2_quality_rules,
     "op5_simhash": simhash.op5_simhash,
+    "op8_substring_dedup": substring_dedup.op8_substring_dedup,
     "op9_gif_columns": media.op9_gif_columns,
     "op10_quality_classifier": quality_classifier.op10_quality_classifier,
 }
 
 ORACLES: dict[str, str] = {
     "op2_quality_rules": quality_rules.SQL,
+    "op8_substring_dedup": substring_dedup.SQL,
 }
