@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from joblattice.llm import media, packing, quality_classifier, quality_rules, simhash, substring_dedup
+from joblattice.llm import licenses, media, packing, quality_classifier, quality_rules, simhash, substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": packing.op1_packing,
     "op2_quality_rules": quality_rules.op2_quality_rules,
     "op5_simhash": simhash.op5_simhash,
+    "op7_license_scan": licenses.op7_license_scan,
     "op8_substring_dedup": substring_dedup.op8_substring_dedup,
     "op9_gif_columns": media.op9_gif_columns,
     "op10_quality_classifier": quality_classifier.op10_quality_classifier,
@@ -19,5 +20,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op2_quality_rules": quality_rules.SQL,
+    "op7_license_scan": licenses.SQL,
     "op8_substring_dedup": substring_dedup.SQL,
 }

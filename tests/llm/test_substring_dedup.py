@@ -9,7 +9,7 @@ def run(spark, rows, **kwargs):
     docs = spark.createDataFrame([(*r, 1, "s") for r in rows], "doc_id bigint, text string, removed int, kept string")
     found = dedup.dedup(docs, **kwargs).collect()
     assert {(r.row.removed, r.row.kept) for r in found} <= {(1, "s")}
-    return sorted(((r.row.doc_id, r.kept, [tuple(s) for s in r.removed]) for r in found), key=lambda r: (r[0] is None, r[0] or 0, r[1] or ""))
+    return sorted(((r.row.doc_id, r.kept, [tuple(s) for s in r.removed]) for r in found), key=lambda r: (r[0] is None, r[0] or 0, r[1] is not None, r[1] or ""))
 
 
 def test_earliest_stays(spark):
