@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from joblattice.llm import licenses, media, packing, quality_classifier, quality_rules, simhash, substring_dedup
+from joblattice.llm import byte_bpe, licenses, media, packing, quality_classifier, quality_rules, simhash, substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": packing.op1_packing,
     "op2_quality_rules": quality_rules.op2_quality_rules,
+    "op4_byte_bpe": byte_bpe.op4_byte_bpe,
     "op5_simhash": simhash.op5_simhash,
     "op7_license_scan": licenses.op7_license_scan,
     "op8_substring_dedup": substring_dedup.op8_substring_dedup,
