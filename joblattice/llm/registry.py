@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from joblattice.llm import byte_bpe, licenses, media, packing, quality_classifier, quality_rules, simhash, substring_dedup
+from joblattice.llm import byte_bpe, licenses, line_dedup, media, packing, quality_classifier, quality_rules, simhash, substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": packing.op1_packing,
     "op2_quality_rules": quality_rules.op2_quality_rules,
+    "op3_line_dedup": line_dedup.op3_line_dedup,
     "op4_byte_bpe": byte_bpe.op4_byte_bpe,
     "op5_simhash": simhash.op5_simhash,
     "op7_license_scan": licenses.op7_license_scan,
@@ -21,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op2_quality_rules": quality_rules.SQL,
+    "op3_line_dedup": line_dedup.SQL,
     "op7_license_scan": licenses.SQL,
     "op8_substring_dedup": substring_dedup.SQL,
 }
