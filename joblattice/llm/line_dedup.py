@@ -299,9 +299,9 @@ sized AS (SELECT node, line, length(line) AS size, length(line) + unnest([0, 1,
 edges AS (
   SELECT a.node AS a, b.node AS b FROM sized a JOIN nodes b ON length(b.line) = a.reach
   WHERE a.node <> b.node AND levenshtein(a.line, b.line) <= 2),
-both AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges),
+two_way AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges),
 reach(node, root) AS (
-  SELECT node, node FROM nodes UNION SELECT both.b, reach.root FROM reach JOIN both ON both.a = reach.node),
+  SELECT node, node FROM nodes UNION SELECT two_way.b, reach.root FROM reach JOIN two_way ON two_way.a = reach.node),
 classes AS (SELECT node, min(root) AS root FROM reach GROUP BY node),
 ranked AS (
   SELECT doc_id, place, row_number() OVER (PARTITION BY root ORDER BY doc_id, place) > 1 AS again
