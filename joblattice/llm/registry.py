@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from joblattice.llm import byte_bpe, licenses, line_dedup, media, packing, quality_classifier, quality_rules, simhash, substring_dedup
+from joblattice.llm import byte_bpe, licenses, line_dedup, media, packing, quality_classifier, quality_rules, simhash, substring_dedup, suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": packing.op1_packing,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_line_dedup": line_dedup.op3_line_dedup,
     "op4_byte_bpe": byte_bpe.op4_byte_bpe,
     "op5_simhash": simhash.op5_simhash,
+    "op6_suffix_dedup": suffix_dedup.op6_suffix_dedup,
     "op7_license_scan": licenses.op7_license_scan,
     "op8_substring_dedup": substring_dedup.op8_substring_dedup,
     "op9_gif_columns": media.op9_gif_columns,
