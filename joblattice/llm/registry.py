@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from joblattice.llm import byte_bpe, licenses, line_dedup, media, packing, quality_classifier, quality_rules, simhash, substring_dedup, suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -19,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring_dedup": substring_dedup.op8_substring_dedup,
     "op9_gif_columns": media.op9_gif_columns,
     "op10_quality_classifier": quality_classifier.op10_quality_classifier,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES: dict[str, str] = {

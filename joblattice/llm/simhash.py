@@ -35,7 +35,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from joblattice.llm.common import documents, ship, stored
@@ -71,16 +71,16 @@ def fingerprint(text: str | None, width: int = SHINGLE, seed: int = SEED) -> byt
 
 
 def fingerprints(docs: DataFrame, width: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """``doc_id`` and ``fp``, the fingerprint as a signed number."""
+    """``doc_id``, ``h`` (a hash of the text) and ``fp``, the fingerprint as a signed number."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw = b"".join([fingerprint(t.as_py(), width, seed) for t in batch.column(1)])
+            raw = b"".join([fingerprint(t.as_py(), width, seed) for t in batch.column(2)])
             fps = pa.array(np.frombuffer(raw, dtype=">i8").astype(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), fps], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], fps], names=["doc_id", "h", "fp"])
 
-    narrow = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
-    return narrow.mapInArrow(rows, "doc_id bigint, fp bigint")
+    narrow = docs.select(F.col("doc_id").cast("bigint"), F.xxhash64("text").alias("h"), F.col("text").cast("string"))
+    return narrow.mapInArrow(rows, "doc_id bigint, h bigint, fp bigint")
 
 
 def pivot_values(n: int = PIVOTS) -> list[int]:
@@ -188,7 +188,10 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def grouped(docs: DataFrame, width: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """Every row's ``doc_id``, fingerprint number ``fp`` and ``component_id``."""
+    """Every row's ``doc_id``, ``h``, fingerprint number ``fp`` and ``component_id``.
+
+    ``root`` names the component; no two have the same, with or without ids.
+    """
     fps = stored(fingerprints(docs, width, seed), "fingerprints")
     distinct = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "fingerprints")
     found = components(links(distinct, distinct.count()))
@@ -196,8 +199,25 @@ def grouped(docs: DataFrame, width: int = SHINGLE, seed: int = SEED) -> DataFram
         "fp", "first", F.coalesce("root", "fp").alias("root")
     )
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    of_fp = rooted.join(least, "root").select(F.col("fp").alias("_fp"), "component_id")
-    return fps.join(of_fp, F.col("fp") == F.col("_fp")).select("doc_id", "fp", "component_id")
+    of_fp = rooted.join(least, "root").select(F.col("fp").alias("_fp"), "component_id", "root")
+    return fps.join(of_fp, F.col("fp") == F.col("_fp")).select("doc_id", "h", "fp", "component_id", "root")
+
+
+def representatives(docs: DataFrame, width: int = SHINGLE, seed: int = SEED) -> DataFrame:
+    """The rows of ``docs`` without near-duplicates: one of each component stays.
+
+    It is the one of the least id (rows without id last, then by the hash of the text);
+    of rows equal in id and text one stays.
+    """
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")
+    first = grouped(docs, width, seed).groupBy("root").agg(F.min(rank).alias("r"))
+    first = first.select(F.col("r.doc_id").alias("_id"), F.col("r.h").alias("_h"))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    given = docs.select(row.alias("row"), F.col("doc_id").cast("bigint").alias("id"), F.xxhash64("text").alias("h"))
+    same = F.col("id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h"))
+    stay = given.join(first, same, "left_semi")
+    number = F.row_number().over(Window.partitionBy("id", "h").orderBy(F.lit(0)))
+    return stay.withColumn("number", number).where("number = 1").select("row.*")
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
