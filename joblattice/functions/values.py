@@ -32,9 +32,43 @@ def utc_stamp(ts: Column) -> Column:
     return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
 
 
-def generated_user_id(ts: Column) -> Column:
-    """Id for a request without one, from its event time, so a re-run agrees."""
-    return F.concat(F.lit("user_"), F.unix_millis(ts.cast("timestamp")).cast("string"))
+def int_fits(text: Column) -> Column:
+    """False where ``lenient_int`` gives 0 for digits that do not fit a BIGINT."""
+    digits = F.regexp_extract(text, rf"^{_JS_SPACE}*([+-]?[0-9]+)", 1)
+    return F.coalesce((digits == "") | digits.try_cast("bigint").isNotNull(), F.lit(True))
+
+
+def generated_user_id(ts: Column, same_time: Column | None = None) -> Column:
+    """Id for a request without one, from its event time, so a re-run agrees.
+
+    ``same_time``: a number that tells apart requests that share a time, or null.
+    """
+    parts = [F.unix_millis(ts.cast("timestamp")).cast("string")]
+    if same_time is not None:
+        parts.append(F.lower(F.hex(same_time)))
+    return F.concat(F.lit("user_"), F.concat_ws("_", *parts))
+
+
+def strict_json(body: Column) -> Column:
+    """VARIANT of a text that is one JSON value and nothing else; null otherwise.
+
+    The parser stops after the first value and takes no notice of what follows. The text
+    is therefore parsed as first of two elements of an array, the other its own hash: text
+    behind the value moves the hash, closes the array before it or is no JSON.
+    A leading U+FEFF is stripped, as a web server's JSON reader does.
+    """
+    text = F.regexp_replace(body, "^\\x{FEFF}", "")
+    mark = F.xxhash64(text).cast("string")
+    return F.try_parse_json(F.concat(F.lit("["), text, F.lit(',"'), mark, F.lit('"]')))
+
+
+def strict_json_value(parsed: Column, body: Column) -> Column:
+    """The value that ``strict_json`` has parsed, if it stood alone."""
+    text = F.regexp_replace(body, "^\\x{FEFF}", "")
+    alone = (F.try_variant_get(parsed, "$[1]", "string") == F.xxhash64(text).cast("string")) & F.try_variant_get(
+        parsed, "$[2]", "variant"
+    ).isNull()
+    return F.when(alone, F.try_variant_get(parsed, "$[0]", "variant"))
 
 
 # --- JSON values held as VARIANT ---------------------------------------------

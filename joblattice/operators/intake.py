@@ -1,13 +1,16 @@
 """Webhook intake: classify request bodies, fill defaults, build the payload.
 
 Input of every function is a table with a text column ``body`` and an event
-time ``ts`` (plus any key columns, which are kept). All steps are narrow
-projections: no shuffle, batch and stream alike.
+time ``ts`` (plus any key columns, which are kept). A column ``own_time``, if there, is
+false where ``ts`` is not the request's own time but its file's: an id made
+from such a time gets a hash of the body. All steps are narrow projections: no
+shuffle, batch and stream alike.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -35,19 +38,23 @@ _MEMBERS = {
     "_currency": "$.salary.currency",
     "_api_key": "$.apiKey",
 }
-_INTERNAL = {"body", "request", "status", "ts", *_MEMBERS}
+_NUMBERS = ("_experience", "_pay_min", "_pay_max")
+_INTERNAL = {"body", "request", "status", "ts", "own_time", "_made_id", *_MEMBERS}
 
 
 def classify(raw: DataFrame) -> DataFrame:
     """Parse each body once; add ``status`` and the members of the request.
 
-    Text that is not JSON, and the JSON value null, fail (500). Otherwise
+    Text that is not one JSON value, and the JSON value null, fail (500). Otherwise
     workPreference, field and skills must be truthy and skills not empty (400).
     Blank text passes, enum values are not checked, a text as skills passes.
     """
     # As a generator the parse is a step of its own. As a plain column it would
     # be copied into every filter on the status, once per mention.
-    parsed = raw.select("*", F.explode(F.array(F.try_parse_json("body"))).alias("request"))
+    parsed = raw.select("*", F.explode(F.array(v.strict_json(F.col("body")))).alias("request"))
+    parsed = parsed.withColumn("request", v.strict_json_value(F.col("request"), F.col("body")))
+    shared = F.when(~F.col("own_time"), F.xxhash64("body")) if "own_time" in raw.columns else None
+    parsed = parsed.withColumn("_made_id", v.generated_user_id(F.col("ts"), shared))
     request, skills = F.col("request"), F.col("_skills")
     taken = parsed.withColumns({c: v.member(request, path) for c, path in _MEMBERS.items()})
     # A truthy value has length 0 as an empty array, or as an object that
@@ -91,7 +98,7 @@ def payloads(classified: DataFrame) -> DataFrame:
     """
     nothing = F.array().cast("array<string>")
     document = F.struct(
-        v.json_or(F.col("_user"), v.generated_user_id(F.col("ts"))).alias("userId"),
+        v.json_or(F.col("_user"), F.col("_made_id")).alias("userId"),
         F.col("_preference").alias("workPreference"),
         F.struct(
             v.json_or(F.col("_country"), F.lit("")).alias("country"),
@@ -117,7 +124,9 @@ def normalized(classified: DataFrame) -> DataFrame:
     """Typed, cleaned requests, valid ones only.
 
     Defaults as in the payload; enum codes trimmed and lower-case; a single
-    job type or skill becomes a list; numbers are read leniently.
+    job type or skill becomes a list; numbers are read leniently, and
+    ``numbers_fit`` is false where one was too long for a BIGINT and became 0.
+    ``request_hash`` orders requests of one user and time.
     """
 
     def code(text: Column) -> Column:
@@ -129,7 +138,7 @@ def normalized(classified: DataFrame) -> DataFrame:
     valid = classified.where(F.col("status") == OK)
     return valid.select(
         *_keys(classified),
-        v.json_text_or(F.col("_user"), v.generated_user_id(F.col("ts"))).alias("user_id"),
+        v.json_text_or(F.col("_user"), F.col("_made_id")).alias("user_id"),
         code(v.json_text(F.col("_preference"))).alias("work_preference"),
         F.struct(
             v.json_text_or(F.col("_country"), "").alias("country"),
@@ -137,7 +146,7 @@ def normalized(classified: DataFrame) -> DataFrame:
         ).alias("location"),
         v.json_text(F.col("_field")).alias("field"),
         v.json_list(F.col("_skills")).alias("skills"),
-        number("_experience").cast("int").alias("experience"),
+        number("_experience").alias("experience"),
         F.transform(v.json_list(F.col("_job_type")), code).alias("job_type"),
         code(v.json_text_or(F.col("_seniority"), fixed.DEFAULT_SENIORITY)).alias("seniority"),
         F.struct(
@@ -147,13 +156,18 @@ def normalized(classified: DataFrame) -> DataFrame:
         ).alias("salary"),
         v.json_text(F.col("_api_key")).alias("api_key"),
         v.utc_stamp(F.col("ts")).alias("stamp"),
+        reduce(Column.__and__, [v.int_fits(v.json_text(F.col(c))) for c in _NUMBERS]).alias("numbers_fit"),
+        F.xxhash64("body").alias("request_hash"),
     )
 
 
-def latest_profiles(requests: DataFrame, order: Sequence[str] = ("stamp",)) -> DataFrame:
+def latest_profiles(
+    requests: DataFrame, order: Sequence[str] = ("stamp", "request_hash")
+) -> DataFrame:
     """Profile of each user from their latest normalised request.
 
-    ``order`` names the columns that put the requests of a user in time. The
+    ``order`` names the columns that put the requests of a user in time; the last
+    must tell any two that differ apart, so that a re-run takes the same one. The
     literal bound of one row has Spark drop older requests map-side.
     """
     newest = Window.partitionBy("user_id").orderBy(*[F.col(c).desc() for c in order])

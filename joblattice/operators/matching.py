@@ -71,7 +71,7 @@ def _listing_side(listings: DataFrame, scope: Sequence[str]) -> DataFrame:
         "field",
         listing_place(F.col("work_mode"), F.col("country")).alias("place"),
         "work_mode",
-        F.coalesce(F.col("band").cast("int"), F.lit(NO_BAND)).alias("band"),
+        F.coalesce(F.col("band").try_cast("int"), F.lit(NO_BAND)).alias("band"),
         F.array_join(title_tokens(F.col("title")), " ").alias("title"),
     ).where("title <> '' AND field IS NOT NULL AND place IS NOT NULL")
 

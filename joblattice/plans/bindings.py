@@ -112,6 +112,18 @@ def requests_of(events: DataFrame) -> DataFrame:
         .when(kind == "click", ',"workPreference":"on-site"')
         .otherwise(',"workPreference":"Hybrid"')
     )
+    place = F.when(k % 3 == 0, F.format_string(',"location":{"country":"C%d","city":" Oslo "}', k % 5)).when(
+        k % 3 == 1, ',"location":{"country":"C9"}'
+    )
+    pay = F.when(k % 9 == 0, F.format_string(',"salary":{"min":"%d,500","max":%d,"currency":"EUR"}', k, k * 1000)).when(
+        k % 9 == 1, ',"salary":{"min":99999999999999999999}'
+    )
+    more = F.concat(
+        F.coalesce(place, F.lit("")),
+        F.coalesce(pay, F.lit("")),
+        F.when(k % 8 == 0, ',"seniority":" Senior "').otherwise(""),
+    )
+    years = F.when(k == 7, F.lit(99_999_999_999)).otherwise(k % 6)
     skills = F.when(k % 10 == 0, "[]").when(k % 10 == 1, '"React"').otherwise('["a","b"]')
     job_type = (
         F.when(k % 7 == 0, ',"jobType":"Full-time"')
@@ -122,10 +134,19 @@ def requests_of(events: DataFrame) -> DataFrame:
     body = F.concat(
         F.lit('{"userId":'), user, preference,
         F.format_string(',"field":"F%d","skills":', k % 5), skills, job_type,
-        F.format_string(',"experience":%d}', k % 6),
+        more,
+        F.format_string(',"experience":%d}', years),
     )
+    behind = _pick((" trailing", "}", '{"a":1}', "] x"), k % 4)
+    broken = F.when(k % 2 == 0, "{bad").otherwise(F.concat(body, behind))
     return events.select(
-        "event_id", "ts", F.when(kind == "error", "{bad").when(k == 50, "null").otherwise(body).alias("body")
+        "event_id",
+        "ts",
+        F.when(kind == "error", broken)
+        .when(k == 50, "null")
+        .when(k == 51, F.concat(F.lit("\ufeff"), body))
+        .otherwise(body)
+        .alias("body"),
     )
 
 

@@ -41,22 +41,31 @@ SELECT event_id, ts, user_id, event_type, value, props,
     "R": """
 SELECT *, '{"userId":"' || sender || '","workPreference":"'
     || CASE event_type WHEN 'view' THEN 'remote' WHEN 'click' THEN 'on-site' ELSE 'Hybrid' END
-    || '","location":{"country":"","city":""},"field":"F' || CAST(k % 5 AS VARCHAR) || '","skills":'
-    || CASE WHEN k % 10 = 1 THEN '"React"' ELSE '["a","b"]' END || ',"experience":' || CAST(k % 6 AS VARCHAR)
+    || '","location":' || CASE k % 3 WHEN 0 THEN '{"country":"C' || CAST(k % 5 AS VARCHAR) || '","city":" Oslo "}'
+      WHEN 1 THEN '{"country":"C9","city":""}' ELSE '{"country":"","city":""}' END
+    || ',"field":"F' || CAST(k % 5 AS VARCHAR) || '","skills":'
+    || CASE WHEN k % 10 = 1 THEN '"React"' ELSE '["a","b"]' END || ',"experience":' || CAST(years AS VARCHAR)
     || ',"jobType":' || CASE k % 7 WHEN 0 THEN '"Full-time"' WHEN 1 THEN '["contract"]' ELSE '[]' END
-    || ',"seniority":"mid","salary":{"min":0,"max":0,"currency":"USD"},"timestamp":"' || stamp || '"}' AS payload
+    || ',"seniority":' || CASE WHEN k % 8 = 0 THEN '" Senior "' ELSE '"mid"' END || ',"salary":'
+    || CASE k % 9 WHEN 0 THEN '{"min":"' || CAST(k AS VARCHAR) || ',500","max":' || CAST(k * 1000 AS VARCHAR) || ',"currency":"EUR"}'
+      WHEN 1 THEN '{"min":99999999999999999999,"max":0,"currency":"USD"}'
+      ELSE '{"min":0,"max":0,"currency":"USD"}' END || ',"timestamp":"' || stamp || '"}' AS payload
 FROM (SELECT *,
     CASE WHEN event_type = 'error' OR k = 50 THEN 500 WHEN event_type = 'signup' OR k % 10 = 0 THEN 400 ELSE 200 END AS status,
+    CASE WHEN k = 7 THEN 99999999999 ELSE k % 6 END AS years,
     CASE WHEN k % 4 = 0 THEN 'user_' || CAST(epoch_us(ts) // 1000 AS VARCHAR) ELSE CAST(user_id AS VARCHAR) END AS sender,
     strftime(ts, '%Y-%m-%dT%H:%M:%S.%g') || 'Z' AS stamp
   FROM E)""",
     "N": """
 SELECT event_id, sender AS user_id,
   CASE event_type WHEN 'view' THEN 'remote' WHEN 'click' THEN 'on-site' ELSE 'hybrid' END AS work_preference,
-  '' AS country, '' AS city, 'F' || CAST(k % 5 AS VARCHAR) AS field,
-  CASE WHEN k % 10 = 1 THEN 'React' ELSE 'a|b' END AS skills, CAST(k % 6 AS INT) AS experience,
-  CASE k % 7 WHEN 0 THEN 'full-time' WHEN 1 THEN 'contract' ELSE '' END AS job_type, 'mid' AS seniority,
-  CAST(0 AS BIGINT) AS salary_min, CAST(0 AS BIGINT) AS salary_max, 'USD' AS currency, stamp
+  CASE k % 3 WHEN 0 THEN 'C' || CAST(k % 5 AS VARCHAR) WHEN 1 THEN 'C9' ELSE '' END AS country,
+  CASE WHEN k % 3 = 0 THEN ' Oslo ' ELSE '' END AS city, 'F' || CAST(k % 5 AS VARCHAR) AS field,
+  CASE WHEN k % 10 = 1 THEN 'React' ELSE 'a|b' END AS skills, CAST(years AS BIGINT) AS experience,
+  CASE k % 7 WHEN 0 THEN 'full-time' WHEN 1 THEN 'contract' ELSE '' END AS job_type, CASE WHEN k % 8 = 0 THEN 'senior' ELSE 'mid' END AS seniority,
+  CASE WHEN k % 9 = 0 THEN k ELSE CAST(0 AS BIGINT) END AS salary_min,
+  CASE WHEN k % 9 = 0 THEN k * 1000 ELSE CAST(0 AS BIGINT) END AS salary_max,
+  CASE WHEN k % 9 = 0 THEN 'EUR' ELSE 'USD' END AS currency, stamp, k % 9 <> 1 AS numbers_fit
 FROM R WHERE status = 200""",
     # every relevant (user, listing) pair with the parts of its score
     "P": """

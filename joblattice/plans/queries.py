@@ -123,7 +123,7 @@ def request_normalized(spark, sf):
         F.array_join("skills", "|").alias("skills"), "experience",
         F.array_join("job_type", "|").alias("job_type"), "seniority",
         F.col("salary.min").alias("salary_min"), F.col("salary.max").alias("salary_max"),
-        F.col("salary.currency").alias("currency"), "stamp",
+        F.col("salary.currency").alias("currency"), "stamp", "numbers_fit",
     )
 
 

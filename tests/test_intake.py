@@ -186,3 +186,30 @@ def test_requests_become_profiles_and_get_matches(spark):
             {"title": "JavaScript Engineer", "company": "Shopify", "location": "Remote", "score": 70, "link": "#"},
         ]
     }
+
+
+def test_text_behind_the_value_is_refused(spark):
+    good = body()
+    cases = [good + t for t in (" trailing", "}", '{"a":1}', "] x", ',"x"', ',1]', '","', "null")] + ["﻿﻿" + good]
+    assert {r["status"] for r in classify(spark, *cases).collect()} == {500}
+    fine = [good + " \n\t", "﻿" + good, "  " + good]
+    assert {r["status"] for r in classify(spark, *fine).collect()} == {200}
+
+
+def test_large_numbers_do_not_abort(spark):
+    rows = intake.normalized(classify(spark, body(experience=99_999_999_999), body(experience="9" * 30), body())).orderBy("n").collect()
+    assert [(r["experience"], r["numbers_fit"]) for r in rows] == [(99_999_999_999, True), (0, False), (0, True)]
+
+
+def test_anonymous_requests_of_one_file_stay_apart(spark, tmp_path):
+    lines = [body(field=f) for f in "abc"] + [body(userId="u9", field=f) for f in "de"]
+    lines += ["2024-05-01T10:00:00.250Z\t" + body(field="f"), "2024-05-01T10:00:01Z\t" + body(userId="u8")]
+    (tmp_path / "in.txt").write_text("\n".join(lines))
+    profiles = lambda: sorted(
+        (r["user_id"], r["field"])
+        for r in intake.latest_profiles(intake.normalized(intake.classify(source.read_requests(spark, str(tmp_path))))).collect()
+    )
+    found = profiles()
+    assert len(found) == 6 and found == profiles()
+    assert {f for _, f in found if f != "x"} >= {"a", "b", "c", "f"}
+    assert ("user_1714557600250", "f") in found
