@@ -36,27 +36,6 @@ def currencies(spark: SparkSession) -> DataFrame:
     return _values(spark, ["code", "label"], fixed.CURRENCIES)
 
 
-def plan_limits(spark: SparkSession) -> DataFrame:
-    return _values(spark, ["plan", "top_k"], [(name, k) for name, k, _, _ in fixed.PLANS])
-
-
-def _access(sources: tuple[str, ...]) -> str:
-    return ",".join(sources)
-
-
-def plan_access(spark: SparkSession) -> DataFrame:
-    """Access name of each plan; plans with equal sources share it."""
-    rows = [(name, _access(sources)) for name, _, _, sources in fixed.PLANS]
-    return _values(spark, ["plan", "access"], rows)
-
-
-def access_sources(spark: SparkSession) -> DataFrame:
-    """Sources each access name includes."""
-    distinct = dict.fromkeys(sources for _, _, _, sources in fixed.PLANS)
-    rows = [(_access(sources), source) for sources in distinct for source in sources]
-    return _values(spark, ["access", "source"], rows)
-
-
 def with_label(df: DataFrame, code: str, dimension: DataFrame, label: str) -> DataFrame:
     """Add the printed label of a code; an unknown code gets null."""
     lookup = dimension.select(F.col("code").alias(code), F.col("label").alias(label))

@@ -10,8 +10,8 @@ rows. The jobs here never build that product. They use these facts:
   listings, before anything is joined; both are map-side reductions.
 * The skills part of a score depends on the distinct title and on the distinct
   skill list (the *interest*) only. Most pairs of them share a single word, and
-  one-hit listings are found word by word, without forming such pairs. Only
-  pairs with two hits or more are formed, looked up by the rarer skills.
+  one-hit listings are found word by word, without forming such pairs. Pairs with two
+  hits or more meet on two words at once, so every pair formed has them.
 * Per interest, listings equal in place, mode, band and number of hits form a
   *cell* and again score equal, so k of them are enough.
 * Profiles equal in all scored values share one *signature*: it is scored and
@@ -28,16 +28,20 @@ Listings: id_num, title, field, work_mode, country, band, posted_on.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from joblattice.config import MATCH, MatchSettings
+from joblattice.functions import fixed_values as fixed
 from joblattice.functions.dimensions import experience_band
 from joblattice.functions.listing import title_tokens
 
 ANYWHERE = "*"
 NO_BAND = -9
+NO_MODE = "?"
+TWO = "two or more"
 
 PARTS = ["skill_points", "experience_points", "location_points", "score"]
 
@@ -70,7 +74,8 @@ def _listing_side(listings: DataFrame, scope: Sequence[str]) -> DataFrame:
         *scope,
         "field",
         listing_place(F.col("work_mode"), F.col("country")).alias("place"),
-        "work_mode",
+        # Classes are joined on it, so it is never null; no preference reads like this.
+        F.coalesce("work_mode", F.lit(NO_MODE)).alias("work_mode"),
         F.coalesce(F.col("band").try_cast("int"), F.lit(NO_BAND)).alias("band"),
         F.array_join(title_tokens(F.col("title")), " ").alias("title"),
     ).where("title <> '' AND field IS NOT NULL AND place IS NOT NULL")
@@ -158,19 +163,46 @@ def _meet(
 ) -> DataFrame:
     """Pairs (title, interest) with at least ``needed`` hits, each once.
 
-    With h of m skills needed, a title holding none of the first m - h + 1
-    cannot qualify, in whatever order the skills stand; only those are looked
-    up. A pair sharing several of them arrives once per word, and only the
-    arrival on the first is kept, so no aggregate follows the join.
+    Where two hits or more are needed, titles and interests meet on pairs of words: no
+    pair of them with a single hit is formed. With h of m skills needed, a title that
+    holds no two of the first m - h + 2 cannot qualify, in whatever order the skills
+    stand; only pairs of those are looked up. What shares several pairs of words
+    arrives once for each, and only the arrival on the first is kept, so no
+    aggregate follows the join. Where one hit is enough single words do the same.
     """
-    probe = F.slice("skills", 1, F.greatest(F.col("n_skills") - needed + 1, F.lit(0)))
     words = F.split("title", " ")
     hits = F.size(F.array_intersect("skills", words))
-    probes = interests.select("*", F.explode(probe).alias("word"))
-    met = titles.select("*", F.explode(words).alias("word")).join(probes, [*scope, "field", "word"])
-    return met.where(
-        (F.col("word") == F.get(F.array_intersect(probe, words), F.lit(0))) & (hits >= needed)
-    ).select(*scope, "field", "title", "interest", "n_skills", hits.alias("hits"))
+    columns = [*scope, "field", "title", "interest", "n_skills", hits.alias("hits")]
+
+    def first(probe: Column, i: int) -> Column:
+        return F.get(F.array_intersect(probe, words), F.lit(i))
+
+    few = F.slice("skills", 1, F.greatest(F.col("n_skills") - needed + 2, F.lit(0)))
+    probes = interests.where(needed > 1).select("*", F.explode(_word_pairs(few)).alias("two")).select("*", "two.*")
+    found = titles.select("*", F.explode(_word_pairs(words)).alias("two")).select("*", "two.*")
+    met = found.drop("two").join(probes.drop("two"), [*scope, "field", "w1", "w2"])
+    on_first = (F.col("w1") == F.least(first(few, 0), first(few, 1))) & (
+        F.col("w2") == F.greatest(first(few, 0), first(few, 1))
+    )
+    pairs = met.where(on_first & (hits >= needed)).select(*columns)
+
+    all_words = interests.where(needed <= 1).select("*", F.explode("skills").alias("word"))
+    single = titles.select("*", F.explode(words).alias("word")).join(all_words, [*scope, "field", "word"])
+    single = single.where(F.col("word") == first(F.col("skills"), 0)).select(*columns)
+    return pairs.unionByName(single)
+
+
+def _word_pairs(words: Column) -> Column:
+    """All pairs (w1 < w2) of an array of distinct words."""
+    return F.flatten(
+        F.transform(
+            words,
+            lambda x, i: F.transform(
+                F.slice(words, i + 2, F.size(words)),
+                lambda y: F.struct(F.least(x, y).alias("w1"), F.greatest(x, y).alias("w2")),
+            ),
+        )
+    )
 
 
 def _looks(
@@ -178,12 +210,14 @@ def _looks(
     interests: DataFrame,
     signatures: DataFrame,
     scope: Sequence[str],
-    needed: Column,
+    needed: Column | str,
 ) -> DataFrame:
     """Rows with a title, joined to the interests that look at their place and
     hit the title at least ``needed`` times."""
     titles = rows.select(*scope, "field", "title").distinct()
-    pairs = _meet(titles, _rare_first(interests, titles), scope, needed)
+    # Of two hits or more every pair of skills is looked up, in any order.
+    ordered = interests if needed is TWO else _rare_first(interests, titles)
+    pairs = _meet(titles, ordered, scope, F.lit(2) if needed is TWO else needed)
     places = signatures.select(*scope, "field", "interest", "place").distinct()
     wanted = pairs.join(places, [*scope, "field", "interest"])
     return rows.join(wanted, [*scope, "field", "title", "place"])
@@ -280,7 +314,7 @@ def score_counts(
     word_keys = ["field", "place", "work_mode", "band", "word"]
     by_word = _words(classes).groupBy(*word_keys).agg(F.sum("n").alias("n"))
     once = _word_looks(by_word, interests, signatures, ()).withColumn("hits", F.lit(1))
-    more = _looks(classes, interests, signatures, (), F.lit(2))
+    more = _looks(classes, interests, signatures, (), TWO)
     more = more.groupBy(*_cell_keys(())).agg(F.sum("n").alias("n"))
     entries = F.array(
         F.struct("hits", "n"), F.struct(F.lit(1).alias("hits"), (-F.col("hits") * F.col("n")).alias("n"))
@@ -349,7 +383,7 @@ def top_matches(
     one_hit = _word_looks(by_word, interests, signatures, scope).where(
         ~F.arrays_overlap("others", F.split("title", " "))
     )
-    more = _looks(classes, interests, signatures, scope, F.lit(2))
+    more = _looks(classes, interests, signatures, scope, TWO)
 
     columns = [*_cell_keys(scope), "id_num", "posted_on"]
     met = one_hit.withColumn("hits", F.lit(1)).select(*columns).unionByName(more.select(*columns))
@@ -378,16 +412,21 @@ def matches_at_least(
     """Every (user, listing) pair scoring at least ``score``.
 
     Skills carry most points, so a high bound needs most skills in the title;
-    pairs short of that are not formed. Skills are looked up rarest first.
+    pairs short of that are not formed. Skills are looked up rarest first. Classes
+    of listings are scored with signatures; ids and users are put in at the end, for
+    what has reached the score.
     """
     side = _profile_side(profiles, ())
     signatures = _signatures(side, ())
     least = max(score - settings.points_beside_skills, 1)
     needed = F.ceil(F.lit(least) * F.col("n_skills") / settings.skill_points).cast("int")
     rows = _listing_side(listings, ())
-    met = _looks(rows, _interests(side, ()), signatures, (), needed)
+    classes = rows.select(*_class_keys(())).distinct()
+    met = _looks(classes, _interests(side, ()), signatures, (), needed)
     wanted = _score_signatures(signatures, met, (), settings).where(F.col("score") >= score)
-    return side.join(wanted, _signature(())).select("user_id", "id_num", "posted_on", *PARTS)
+    keys = list(dict.fromkeys([*_class_keys(()), *_signature(())]))
+    found = rows.join(wanted.select(*keys, *PARTS), _class_keys(()))
+    return side.join(found, _signature(())).select("user_id", "id_num", "posted_on", *PARTS)
 
 
 def with_listing(matches: DataFrame, listings: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -395,18 +434,21 @@ def with_listing(matches: DataFrame, listings: DataFrame, columns: Sequence[str]
     return matches.join(listings.select("id_num", *columns), "id_num")
 
 
-def by_access(listings: DataFrame, access_sources: DataFrame) -> DataFrame:
-    """Listings once per access that includes their source, in column ``access``."""
-    return listings.join(F.broadcast(access_sources), "source")
+def top_by_plan(listings: DataFrame, profiles: DataFrame, settings: MatchSettings = MATCH) -> DataFrame:
+    """The best listings of every user, as many and of the sources their plan shows.
 
-
-def cut_by_plan(ranked: DataFrame, plan_limits: DataFrame) -> DataFrame:
-    """Keep ranks up to the number of results the user's plan shows."""
-    return (
-        ranked.join(F.broadcast(plan_limits), "plan")
-        .where(F.col("rank") <= F.col("top_k"))
-        .drop("top_k")
-    )
+    Plans that show the same are ranked together, each group over its own sources and
+    to its own depth; a plan of all sources reads the listings as they are.
+    """
+    groups: dict[tuple, list[str]] = {}
+    for plan, k, _, sources in fixed.PLANS:
+        groups.setdefault((k, sources), []).append(plan)
+    parts = []
+    for (k, sources), plans in groups.items():
+        seen = listings if set(sources) == set(fixed.SOURCES) else listings.where(F.col("source").isin(*sources))
+        people = profiles.where(F.col("plan").isin(*plans))
+        parts.append(top_matches(seen, people, k, keep=["plan"], settings=settings))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def result_documents(matches: DataFrame) -> DataFrame:

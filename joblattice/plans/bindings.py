@@ -23,10 +23,11 @@ def _pick(texts, position) -> F.Column:
 
 
 def listings_of(orders: DataFrame, parts: DataFrame) -> DataFrame:
-    """One listing per order; title and company come from a part. The orders
-    may be a stream."""
+    """One listing per order; title and company come from one of all parts. The
+    orders may be a stream."""
     k = F.col("o_orderkey")
-    orders = orders.withColumn("p_partkey", k % 200)
+    # Part keys run from 0 without a gap; their number is one row for the plan.
+    orders = orders.withColumn("p_partkey", k % parts.agg(F.count("*")).scalar())
     parts = parts.select("p_partkey", "p_name", "p_type", "p_brand")
     k_text = k.cast("string")
     country = F.concat(F.lit("NATION_"), (k % 25).cast("string"))
@@ -63,12 +64,19 @@ def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One profile per customer with one or two distinct skills."""
+    """One profile per customer; one or two distinct skills, every fourth up to six."""
     c = F.col("c_custkey")
     nations = table(spark, sf_dir, "nation").select(
         F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("country")
     )
     skill1, skill2 = _pick(WORDS, c % 16), _pick(WORDS, F.floor(c / 16) % 16)
+    third, fourth = _pick(WORDS, (F.floor(c / 256) + 5) % 16), _pick(WORDS, (c * 7 + 3) % 16)
+    fifth, sixth = _pick(WORDS, (F.floor(c / 64) + 11) % 16), _pick(WORDS, (F.floor(c / 1024) + 2) % 16)
+    skills = (
+        F.when(c % 8 == 0, F.array(skill1, skill2, third, fourth, fifth, sixth))
+        .when(c % 4 == 0, F.array(skill1, skill2, third, fourth))
+        .otherwise(F.array(skill1, skill2))
+    )
     return table(spark, sf_dir, "customer").join(nations, "c_nationkey").select(
         c.alias("user_id"),
         _pick(("remote", "on-site", "hybrid"), c % 3).alias("work_preference"),
@@ -76,7 +84,7 @@ def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("c_mktsegment").alias("field"),
         skill1.alias("skill1"),
         skill2.alias("skill2"),
-        F.array_distinct(F.array(skill1, skill2)).alias("skills"),
+        F.array_distinct(skills).alias("skills"),
         (c % 15).cast("int").alias("experience"),
         F.floor(F.greatest("c_acctbal", F.lit(0.0))).alias("want_min"),
         F.when(c % 50 == 0, "Teams").when(c % 10 == 0, "Pro").otherwise("Free").alias("plan"),
@@ -155,11 +163,13 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def toggles_of(events: DataFrame) -> DataFrame:
-    return events.select("user_id", (F.col("k") % 10).alias("id_num"), "ts", "event_id")
+    hot = F.col("event_id") % 2 == 0
+    listing = F.when(hot, F.col("k") % 10).otherwise(F.col("event_id").cast("bigint"))
+    return events.select("user_id", listing.alias("id_num"), "ts", "event_id")
 
 
 def toggles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bookmark toggles; the ten listings they name get many each."""
+    """Bookmark toggles: half name ten hot listings, half any id, known or not."""
     return toggles_of(events(spark, sf_dir))
 
 

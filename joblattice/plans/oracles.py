@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-_WORDS = """(VALUES (0,'anvil'),(1,'blue'),(2,'bolt'),(3,'cold'),(4,'gear'),(5,'gizmo'),(6,'hot'),(7,'large'),
-  (8,'new'),(9,'old'),(10,'plate'),(11,'red'),(12,'ring'),(13,'rod'),(14,'small'),(15,'widget'))"""
+_WORDS = """['anvil', 'blue', 'bolt', 'cold', 'gear', 'gizmo', 'hot', 'large', 'new', 'old', 'plate', 'red', 'ring',
+  'rod', 'small', 'widget']"""
 
 _VIEWS = {
     "L": """
@@ -22,22 +22,28 @@ SELECT k AS id_num, CAST(k AS VARCHAR) AS id, p.p_name || ' ' || p.p_type AS tit
     WHEN '4' THEN 'Wuzzuf' ELSE 'Glassdoor' END AS source,
   'https://example.org/jobs/' || CAST(k AS VARCHAR) AS link, CAST(o.o_orderdate AS DATE) AS posted_on,
   k % 9 = 0 AS bookmarked
-FROM (SELECT *, o_orderkey AS k FROM orders) o JOIN part p ON p.p_partkey = k % 200""",
+FROM (SELECT *, o_orderkey AS k FROM orders) o JOIN part p ON p.p_partkey = k % (SELECT count(*) FROM part)""",
     "U": f"""
 SELECT c.c_custkey AS user_id,
   CASE c.c_custkey % 3 WHEN 0 THEN 'remote' WHEN 1 THEN 'on-site' ELSE 'hybrid' END AS work_preference,
-  n.n_name AS country, c.c_mktsegment AS field, w1.w AS skill1, w2.w AS skill2,
-  CASE WHEN w1.w = w2.w THEN 1 ELSE 2 END AS n_skills, CAST(c.c_custkey % 15 AS INT) AS experience,
+  n.n_name AS country, c.c_mktsegment AS field, skill1, skill2, skills, len(skills) AS n_skills, CAST(c.c_custkey % 15 AS INT) AS experience,
   CASE WHEN c.c_custkey % 15 < 2 THEN 0 WHEN c.c_custkey % 15 < 5 THEN 1 WHEN c.c_custkey % 15 < 10 THEN 2 ELSE 3 END AS band,
   CAST(FLOOR(GREATEST(c.c_acctbal, 0)) AS BIGINT) AS want_min,
   CASE WHEN c.c_custkey % 50 = 0 THEN 'Teams' WHEN c.c_custkey % 10 = 0 THEN 'Pro' ELSE 'Free' END AS plan
-FROM customer c JOIN nation n ON n.n_nationkey = c.c_nationkey
-JOIN {_WORDS} w1(i, w) ON w1.i = c.c_custkey % 16
-JOIN {_WORDS} w2(i, w) ON w2.i = CAST(FLOOR(c.c_custkey / 16.0) AS BIGINT) % 16""",
+FROM (
+  SELECT *, list_filter(listed, lambda x, i: list_position(listed, x) = i) AS skills
+  FROM (
+    SELECT c.*, words[1 + c % 16] AS skill1, words[1 + c // 16 % 16] AS skill2,
+      [words[1 + c % 16], words[1 + c // 16 % 16]]
+        || CASE WHEN c % 4 = 0 THEN [words[1 + (c // 256 + 5) % 16], words[1 + (c * 7 + 3) % 16]] ELSE [] END
+        || CASE WHEN c % 8 = 0 THEN [words[1 + (c // 64 + 11) % 16], words[1 + (c // 1024 + 2) % 16]] ELSE [] END AS listed
+    FROM (SELECT *, c_custkey AS c FROM customer) c, (SELECT {_WORDS} AS words) w)
+) c JOIN nation n ON n.n_nationkey = c.c_nationkey""",
     "E": """
 SELECT event_id, ts, user_id, event_type, value, props,
   CAST(regexp_extract(props, '[0-9]+', 0) AS BIGINT) AS k FROM events""",
-    "T": "SELECT user_id, k % 10 AS id_num, ts, event_id FROM E",
+    "T": """
+SELECT user_id, CASE WHEN event_id % 2 = 0 THEN k % 10 ELSE event_id END AS id_num, ts, event_id FROM E""",
     "R": """
 SELECT *, '{"userId":"' || sender || '","workPreference":"'
     || CASE event_type WHEN 'view' THEN 'remote' WHEN 'click' THEN 'on-site' ELSE 'Hybrid' END
@@ -76,8 +82,7 @@ SELECT *, skill_points + experience_points + location_points AS score FROM (
     CASE WHEN l.work_mode = u.work_preference THEN 10 ELSE 0 END
       + CASE WHEN l.work_mode = 'remote' OR l.country = u.country THEN 10 ELSE 0 END AS location_points
   FROM (
-    SELECT u.*, t.title, CASE WHEN list_contains(t.words, u.skill1) THEN 1 ELSE 0 END
-      + CASE WHEN u.n_skills = 2 AND list_contains(t.words, u.skill2) THEN 1 ELSE 0 END AS hits
+    SELECT u.*, t.title, len(list_intersect(t.words, u.skills)) AS hits
     FROM U u, (SELECT DISTINCT title, string_split(lower(title), ' ') AS words FROM L) t
   ) u JOIN L l ON l.title = u.title AND l.field = u.field AND (
     (l.work_mode = 'remote' AND u.work_preference IN ('remote', 'hybrid'))
@@ -111,7 +116,7 @@ def _with(views: str, body: str) -> str:
 
 
 _CARD = "id_num, title, company, location, source, score"
-_SKILL_LIST = "CASE WHEN n_skills = 1 THEN [skill1] ELSE [skill1, skill2] END"
+_SKILL_LIST = "skills"
 
 ORACLES: dict[str, str] = {
     "listings_scan": _with("L", """
@@ -169,9 +174,9 @@ ORACLES: dict[str, str] = {
         SELECT user_id, experience, band, CASE band WHEN 0 THEN 'entry' WHEN 1 THEN 'mid' WHEN 2 THEN 'senior' ELSE 'lead' END AS code,
           CASE band WHEN 0 THEN 'Entry Level' WHEN 1 THEN 'Mid Level' WHEN 2 THEN 'Senior Level' ELSE 'Lead / Staff' END AS label FROM U"""),
     "skills_clean": _with("U", """
-        SELECT user_id, skill1 || '|' || upper(skill2) || CASE WHEN n_skills = 2 THEN '|' || skill2 ELSE '' END AS skills FROM U"""),
+        SELECT user_id, skill1 || '|' || upper(skill2) || CASE WHEN skill1 <> skill2 THEN '|' || skill2 ELSE '' END AS skills FROM U"""),
     "skills_removed": _with("U", """
-        SELECT user_id, CASE WHEN n_skills = 2 THEN skill2 ELSE '' END AS skills, n_skills - 1 AS n FROM U"""),
+        SELECT user_id, array_to_string(skills[2:], '|') AS skills, CAST(n_skills - 1 AS INT) AS n FROM U"""),
     "jobtype_toggle": _with("U", """
         SELECT user_id, CASE WHEN user_id % 2 = 0 THEN '' ELSE 'full-time' END AS one_toggle,
           CASE WHEN user_id % 2 = 0 THEN 'contract' ELSE 'contract|full-time' END AS two_toggles,
@@ -217,7 +222,9 @@ ORACLES: dict[str, str] = {
         SELECT user_id, '{"jobs":[' || string_agg('{"title":"' || title || '","company":"' || company || '","location":"'
             || location || '","score":' || CAST(t.score AS VARCHAR) || ',"link":"' || link || '"}', ',' ORDER BY rank)
           || ']}' AS document FROM TOP t JOIN L l USING (id_num) GROUP BY 1"""),
-    "alerts_new": _with("P", "SELECT user_id, id_num, CAST(score AS INT) AS score FROM P WHERE score >= 90 AND id_num % 2 = 1"),
+    "alerts_new": _with("P T", """
+        SELECT user_id, id_num, CAST(score AS INT) AS score FROM P ANTI JOIN T USING (user_id, id_num)
+        WHERE score >= 90 AND id_num % 3 = 0"""),
     "saved_search_hits": _with("L", """
         SELECT term, id_num FROM L, (VALUES ('ring'), ('RED'), ('brand#2'), ('widget economy'), ('%')) s(term)
         WHERE contains(lower(title), lower(term)) OR contains(lower(company), lower(term))"""),

@@ -306,11 +306,7 @@ def matches_topk(spark, sf):
 
 @query
 def plan_topk(spark, sf):
-    rows = matching.by_access(b.listings(spark, sf), dimensions.access_sources(spark))
-    people = b.profiles(spark, sf).join(F.broadcast(dimensions.plan_access(spark)), "plan")
-    deepest = max(k for _, k, _, _ in fixed.PLANS)
-    ranked = matching.top_matches(rows, people, deepest, scope=["access"], keep=["plan"])
-    return matching.cut_by_plan(ranked, dimensions.plan_limits(spark)).select(
+    return matching.top_by_plan(b.listings(spark, sf), b.profiles(spark, sf)).select(
         "user_id", "plan", "rank", "id_num", "score"
     )
 
@@ -322,9 +318,10 @@ def result_documents(spark, sf):
 
 @query
 def alerts_new(spark, sf):
-    high = matching.matches_at_least(b.listings(spark, sf), b.profiles(spark, sf), fixed.SCORE_HIGH)
-    sent = high.where(F.col("id_num") % 2 == 0)
-    return alerts.not_sent(high, sent).select("user_id", "id_num", "score")
+    # A third of the listings are the new pull; what was toggled stands for what was sent.
+    new = b.listings(spark, sf).where(F.col("id_num") % 3 == 0)
+    high = matching.matches_at_least(new, b.profiles(spark, sf), fixed.SCORE_HIGH)
+    return alerts.not_sent(high, b.toggles(spark, sf)).select("user_id", "id_num", "score")
 
 
 @query

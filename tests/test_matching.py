@@ -5,8 +5,8 @@ import json
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from joblattice.functions import dimensions
 from joblattice.functions import fixed_values as fixed
 from joblattice.operators import matching
 
@@ -149,10 +149,7 @@ def test_plan_limits_and_sources(spark, tables):
     (listings, profiles), people, pairs = tables
     plan = {p[0]: p[6] for p in people}
     limits = {name: (k, sources) for name, k, _, sources in fixed.PLANS}
-    rows = matching.by_access(listings, dimensions.access_sources(spark))
-    owners = profiles.join(dimensions.plan_access(spark), "plan")
-    top = matching.top_matches(rows, owners, 50, scope=["access"], keep=["plan"])
-    got = by_user(matching.cut_by_plan(top, dimensions.plan_limits(spark)), ["id_num", *matching.PARTS, "rank"])
+    got = by_user(matching.top_by_plan(listings, profiles), ["id_num", *matching.PARTS, "rank"])
     expected = {}
     for u, found in pairs.items():
         k, sources = limits[plan[u]]
@@ -162,6 +159,20 @@ def test_plan_limits_and_sources(spark, tables):
     assert got == expected
 
 
+def test_no_pair_with_one_hit_is_formed(spark):
+    """What two words are needed for meets on two words: the join's own rows have them."""
+    titles = spark.createDataFrame([("f", "a b c"), ("f", "b d"), ("f", "c"), ("g", "a b")], "field string, title string")
+    rows = [("f", ["a", "b", "x"]), ("f", ["d", "b", "c"]), ("f", ["x", "a"]), ("g", ["b", "a"])]
+    interests = spark.createDataFrame(
+        [(f, ",".join(s), s, len(s)) for f, s in rows], "field string, interest string, skills array<string>, n_skills int"
+    )
+    found = matching._meet(titles, interests, (), F.lit(2))
+    got = sorted((r["field"], r["title"], r["interest"], r["hits"]) for r in found.collect())
+    assert got == [("f", "a b c", "a,b,x", 2), ("f", "a b c", "d,b,c", 2), ("f", "b d", "d,b,c", 2), ("g", "a b", "b,a", 2)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join Inner") == 1 and "w1" in plan.split("Join Inner")[1].split("\n")[0]
+
+
 def test_result_documents(tables):
     (listings, profiles), _, pairs = tables
     top = matching.top_matches(listings, profiles, 3)
