@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -37,30 +38,49 @@ def title_tokens(title: Column) -> Column:
 def salary_parts(salary: Column) -> Column:
     """Struct(lo BIGINT, hi BIGINT, currency, period) of a salary text.
 
-    "$120k–$160k", "$80–$100/hr", "E£25k–E£40k" and "$85k" are the known forms.
-    One number is both ends; no number gives nulls.
+    One or two amounts, each with a sign or code of its currency before or behind it or
+    none, and a unit k or m in either case; a unit on the last amount alone holds for
+    both. "/h", "/hr" or "/hour" make it hourly, "/y", "/yr" or "/year" yearly, which
+    is the default. One amount is both ends. Any other text gives nulls, as does an
+    amount beyond 15 digits, rather than a number that may be wrong.
     """
-    plain = F.regexp_replace(salary, ",(?=[0-9]{3})", "")
-    pieces = F.regexp_extract_all(plain, F.lit("[0-9]+(?:\\.[0-9]+)?k?"), F.lit(0))
-
-    def amount(position: int) -> Column:
-        piece = F.get(pieces, F.lit(position))
-        unit = F.when(piece.endswith("k"), F.lit(1000)).otherwise(F.lit(1))
-        return (F.rtrim(piece, F.lit("k")).try_cast("decimal(18,3)") * unit).cast("bigint")
-
-    currency = reduce(
-        lambda rest, sign: F.when(salary.startswith(sign[0]), F.lit(sign[1])).otherwise(rest),
-        reversed(fixed.CURRENCY_SIGNS),
-        F.lit(None).cast("string"),
-    )
-    unit = F.when(salary.endswith("/hr"), F.lit("hour")).otherwise(F.lit("year"))
-    period = F.when(F.size(pieces) > 0, unit)
-    return F.struct(
-        F.least(amount(0), amount(1)).alias("lo"),
-        F.greatest(amount(0), amount(1)).alias("hi"),
-        currency.alias("currency"),
-        period.alias("period"),
-    )
+    signs = "|".join([*(re.escape(s) for s, _ in fixed.CURRENCY_SIGNS), *(c for c, _ in fixed.CURRENCIES)])
+    amount_text = r"([0-9]{1,3}(?:,[0-9]{3})+(?:\.[0-9]+)?|[0-9]+(?:\.[0-9]+)?)\s*([KM]?)(?![0-9A-Z])"
+    one = rf"(?:{signs})?\s*{amount_text}\s*(?:{signs})?"
+    form = rf"^\s*{one}(?:\s*(?:-|–|—|TO)\s*{one})?\s*(?:/\s*(H|HR|HOUR|Y|YR|YEAR))?\s*$"
+    text = F.upper(salary)
+
+    def part(group: int) -> Column:
+        return F.nullif(F.regexp_extract(text, form, group), F.lit(""))
+
+    def amount(number: Column, unit: Column) -> Column:
+        times = F.when(unit == "M", 1_000_000).when(unit == "K", 1_000).otherwise(1)
+        return (F.replace(number, F.lit(","), F.lit("")).try_cast("decimal(18,3)") * times).try_cast("bigint")
+
+    names = {**dict(fixed.CURRENCY_SIGNS), **{c: c for c, _ in fixed.CURRENCIES}}
+
+    def name(sign: Column) -> Column:
+        none = F.lit(None).cast("string")
+        return reduce(lambda rest, n: F.when(sign == n, F.lit(names[n])).otherwise(rest), names, none)
+
+    def read(found: Column) -> Column:
+        low = amount(found["a"], F.coalesce(found["a_unit"], found["b_unit"]))
+        high = F.when(found["b"].isNull(), low).otherwise(amount(found["b"], found["b_unit"]))
+        known = low.isNotNull() & high.isNotNull()
+        # Two different currencies in one text name none.
+        currency = F.when(known & (F.size(found["named"]) == 1), F.get(found["named"], F.lit(0)))
+        hourly = F.when(F.startswith(found["per"], F.lit("H")), F.lit("hour")).otherwise(F.lit("year"))
+        return F.struct(
+            F.when(known, F.least(low, high)).alias("lo"),
+            F.when(known, F.greatest(low, high)).alias("hi"),
+            currency.alias("currency"),
+            F.when(known, hourly).alias("period"),
+        )
+
+    named = F.transform(F.regexp_extract_all(text, F.lit(f"({signs})"), F.lit(1)), name)
+    groups = [part(i).alias(n) for i, n in enumerate(("a", "a_unit", "b", "b_unit", "per"), 1)]
+    # The parts are bound to a name, so that each is matched once a row.
+    return F.transform(F.array(F.struct(*groups, F.array_distinct(named).alias("named"))), read)[0]
 
 
 def decode_entities(text: Column) -> Column:

@@ -53,8 +53,8 @@ def salary_between(
     period: str = "year",
 ) -> DataFrame:
     """Rows whose salary range overlaps the wanted one; want_max 0 is no limit."""
-    pay = salary_parts(F.col("salary"))
-    listings = listings.withColumn("pay", pay).where(
+    # As a generator the parse is a step of its own, not copied into each condition.
+    listings = listings.select("*", F.explode(F.array(salary_parts(F.col("salary")))).alias("pay")).where(
         (F.col("pay.currency") == currency)
         & (F.col("pay.period") == period)
         & (F.col("pay.hi") >= want_min)

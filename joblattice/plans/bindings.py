@@ -45,7 +45,16 @@ def listings_of(orders: DataFrame, parts: DataFrame) -> DataFrame:
         _pick(("full-time", "part-time", "freelance", "contract"), k % 4).alias("type"),
         (F.floor(k / 4) % 4).alias("band"),
         _pick(FIELDS, F.floor(k / 7) % 5).alias("field"),
-        F.when(k % 10 == 0, "$80–$100/hr").when(k % 10 == 1, low).otherwise(F.concat(low, high)).alias("salary"),
+        F.when(k % 10 == 0, "$80–$100/hr")
+        .when(k % 10 == 1, low)
+        .when(k % 10 == 2, F.format_string("€%d–%dK", 20 + k % 100, 40 + k % 100))
+        .when(k % 10 == 3, F.format_string("%d,500 GBP", 20 + k % 100))
+        .when(k % 10 == 4, F.format_string("E£%d.5k - E£%dk", 20 + k % 100, 40 + k % 100))
+        .when(k % 10 == 5, F.format_string("%d € / hour", 20 + k % 100))
+        .when(k % 10 == 6, F.format_string("$%d.25M", 1 + k % 3))
+        .when(k % 70 == 7, "Competitive")
+        .otherwise(F.concat(low, high))
+        .alias("salary"),
         ((k * 37) % 101).cast("int").alias("score"),
         F.when(priority == "1", "LinkedIn")
         .when(priority == "2", "Indeed")

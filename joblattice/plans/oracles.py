@@ -16,6 +16,12 @@ SELECT k AS id_num, CAST(k AS VARCHAR) AS id, p.p_name || ' ' || p.p_type AS tit
   CASE CAST(FLOOR(k / 7.0) AS BIGINT) % 5 WHEN 0 THEN 'AUTOMOBILE' WHEN 1 THEN 'BUILDING' WHEN 2 THEN 'FURNITURE'
     WHEN 3 THEN 'HOUSEHOLD' ELSE 'MACHINERY' END AS field,
   CASE WHEN k % 10 = 0 THEN '$80–$100/hr' WHEN k % 10 = 1 THEN '$' || CAST(20 + k % 100 AS VARCHAR) || 'k'
+    WHEN k % 10 = 2 THEN '€' || CAST(20 + k % 100 AS VARCHAR) || '–' || CAST(40 + k % 100 AS VARCHAR) || 'K'
+    WHEN k % 10 = 3 THEN CAST(20 + k % 100 AS VARCHAR) || ',500 GBP'
+    WHEN k % 10 = 4 THEN 'E£' || CAST(20 + k % 100 AS VARCHAR) || '.5k - E£' || CAST(40 + k % 100 AS VARCHAR) || 'k'
+    WHEN k % 10 = 5 THEN CAST(20 + k % 100 AS VARCHAR) || ' € / hour'
+    WHEN k % 10 = 6 THEN '$' || CAST(1 + k % 3 AS VARCHAR) || '.25M'
+    WHEN k % 70 = 7 THEN 'Competitive'
     ELSE '$' || CAST(20 + k % 100 AS VARCHAR) || 'k–$' || CAST(40 + k % 100 AS VARCHAR) || 'k' END AS salary,
   CAST((k * 37) % 101 AS INT) AS score,
   CASE substring(o.o_orderpriority, 1, 1) WHEN '1' THEN 'LinkedIn' WHEN '2' THEN 'Indeed' WHEN '3' THEN 'RemoteOK'
@@ -73,6 +79,21 @@ SELECT event_id, sender AS user_id,
   CASE WHEN k % 9 = 0 THEN k * 1000 ELSE CAST(0 AS BIGINT) END AS salary_max,
   CASE WHEN k % 9 = 0 THEN 'EUR' ELSE 'USD' END AS currency, stamp, k % 9 <> 1 AS numbers_fit
 FROM R WHERE status = 200""",
+    # salaries read from their texts
+    "PAY": """
+SELECT id_num, salary, CAST(round(least(a, b)) AS BIGINT) AS lo, CAST(round(greatest(a, b)) AS BIGINT) AS hi,
+  CASE WHEN a IS NULL THEN NULL WHEN contains(salary, 'E£') THEN 'EGP' WHEN contains(salary, '$') THEN 'USD'
+    WHEN contains(salary, '€') THEN 'EUR' WHEN contains(salary, 'GBP') THEN 'GBP' END AS currency,
+  CASE WHEN a IS NULL THEN NULL WHEN contains(salary, '/') THEN 'hour' ELSE 'year' END AS period
+FROM (
+  SELECT *, numbers[1] * CASE WHEN u1 <> '' THEN t1 ELSE t2 END AS a, numbers[len(numbers)] * t2 AS b
+  FROM (
+    SELECT *, CASE u1 WHEN 'k' THEN 1000 WHEN 'm' THEN 1000000 ELSE 1 END AS t1,
+      CASE u2 WHEN 'k' THEN 1000 WHEN 'm' THEN 1000000 ELSE 1 END AS t2
+    FROM (
+      SELECT *, list_transform(texts, lambda x: CAST(regexp_extract(x, '^[0-9.]+') AS DOUBLE)) AS numbers,
+        regexp_extract(texts[1], '[km]$') AS u1, regexp_extract(texts[len(texts)], '[km]$') AS u2
+      FROM (SELECT id_num, salary, regexp_extract_all(replace(lower(salary), ',', ''), '[0-9.]+[km]?') AS texts FROM L))))""",
     # every relevant (user, listing) pair with the parts of its score
     "P": """
 SELECT *, skill_points + experience_points + location_points AS score FROM (
@@ -95,7 +116,7 @@ SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, posted_on
     "FLIPS": "SELECT user_id, id_num, count(*) AS toggles, count(*) % 2 = 1 AS flipped FROM T GROUP BY ALL",
 }
 _NEEDS = {
-    "T": ["E"], "R": ["E"], "N": ["R"], "P": ["L", "U"], "K": ["P"], "TOP": ["K"], "FLIPS": ["T"],
+    "PAY": ["L"], "T": ["E"], "R": ["E"], "N": ["R"], "P": ["L", "U"], "K": ["P"], "TOP": ["K"], "FLIPS": ["T"],
 }
 
 
@@ -125,18 +146,20 @@ ORACLES: dict[str, str] = {
     "listings_union": _with("L", """
         SELECT id_num, title, CASE WHEN source <> 'Wuzzuf' THEN salary END AS salary, source FROM L"""),
     "listings_refresh": _with("L", """
-        SELECT id_num, title, CASE WHEN id_num % 3 = 0 THEN CAST(posted_on + INTERVAL 1 DAY AS DATE) ELSE posted_on END AS posted_on,
-          CASE WHEN id_num % 3 = 0 THEN 100 - score ELSE score END AS score FROM L"""),
+        , A AS (SELECT id_num, title, CAST(posted_on + to_days(CAST(id_num // 3 % 3 - 1 AS INT)) AS DATE) AS posted_on, 100 - score AS score, 1 AS pull
+          FROM L WHERE id_num % 3 = 0),
+        B AS (SELECT id_num, title, CAST(posted_on - INTERVAL 1 DAY AS DATE) AS posted_on, 7 AS score, 1 AS pull FROM A WHERE id_num % 5 = 0)
+        SELECT id_num, title, posted_on, score FROM (
+          SELECT *, row_number() OVER (PARTITION BY id_num ORDER BY posted_on DESC, pull DESC) AS nth
+          FROM (SELECT id_num, title, posted_on, score, 0 AS pull FROM L UNION ALL SELECT * FROM A UNION ALL SELECT * FROM B))
+        WHERE nth = 1"""),
     "page_extract": """
         SELECT page_id, replace(replace(replace(replace(replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1),
             '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&nbsp;', ' '), '&amp;', '&') AS title,
           regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS host,
           regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1) AS path FROM pages""",
-    "salary_parsed": _with("L", """
-        SELECT id_num, salary,
-          CASE WHEN id_num % 10 = 0 THEN 80 ELSE 1000 * (20 + id_num % 100) END AS lo,
-          CASE id_num % 10 WHEN 0 THEN 100 WHEN 1 THEN 1000 * (20 + id_num % 100) ELSE 1000 * (40 + id_num % 100) END AS hi,
-          'USD' AS currency, CASE WHEN id_num % 10 = 0 THEN 'hour' ELSE 'year' END AS period FROM L"""),
+    "salary_parsed": _with("PAY", """
+        SELECT id_num, salary, lo, hi, currency, period FROM PAY"""),
     "option_labels": _with("L", """
         SELECT id_num, type, work_mode,
           CASE band WHEN 0 THEN 'Entry Level' WHEN 1 THEN 'Mid Level' WHEN 2 THEN 'Senior Level' ELSE 'Lead / Staff' END AS seniority_label,
@@ -159,7 +182,8 @@ ORACLES: dict[str, str] = {
     "lenient_int": _with("E L", """
         SELECT 'props' AS origin, event_id AS id_num, props AS text, CAST(0 AS BIGINT) AS number FROM E
         UNION ALL SELECT 'number', event_id, CAST(k AS VARCHAR) || '}', k FROM E
-        UNION ALL SELECT 'salary', id_num, salary[2:], CASE WHEN id_num % 10 = 0 THEN 80 ELSE 20 + id_num % 100 END FROM L"""),
+        UNION ALL SELECT 'salary', id_num, text, coalesce(TRY_CAST(nullif(regexp_extract(text, '^[0-9]+'), '') AS BIGINT), 0)
+        FROM (SELECT id_num, ltrim(salary, '$') AS text FROM L)"""),
     "zero_as_blank": _with("U", """
         SELECT user_id, CASE WHEN experience = 0 THEN '' ELSE CAST(experience AS VARCHAR) END AS experience_text,
           CASE WHEN want_min = 0 THEN '' ELSE CAST(want_min AS VARCHAR) END AS want_min_text FROM U"""),
@@ -191,10 +215,9 @@ ORACLES: dict[str, str] = {
         SELECT {_CARD}, type, work_mode, CASE band WHEN 1 THEN 'mid' ELSE 'senior' END AS seniority FROM L
         WHERE location IN ('Remote', 'NATION_3', 'NATION_7') AND type IN ('full-time', 'contract')
           AND work_mode IN ('remote', 'hybrid') AND band IN (1, 2)"""),
-    "filter_salary": _with("L", """
-        SELECT id_num, salary, lo, hi FROM (SELECT id_num, salary, 1000 * (20 + id_num % 100) AS lo,
-            1000 * (CASE WHEN id_num % 10 = 1 THEN 20 ELSE 40 END + id_num % 100) AS hi FROM L WHERE id_num % 10 <> 0)
-        WHERE lo <= 90000 AND hi >= 50000"""),
+    "filter_salary": _with("PAY", """
+        SELECT id_num, salary, lo, hi FROM PAY
+        WHERE lo <= 90000 AND hi >= 50000 AND currency = 'USD' AND period = 'year'"""),
     "filter_score": _with("L", f"SELECT {_CARD} FROM L WHERE score >= 80"),
     "match_candidates": _with("L U", """
         SELECT u.user_id, count(*) AS candidates FROM U u JOIN L l ON l.field = u.field AND (
@@ -222,6 +245,16 @@ ORACLES: dict[str, str] = {
         SELECT user_id, '{"jobs":[' || string_agg('{"title":"' || title || '","company":"' || company || '","location":"'
             || location || '","score":' || CAST(t.score AS VARCHAR) || ',"link":"' || link || '"}', ',' ORDER BY rank)
           || ']}' AS document FROM TOP t JOIN L l USING (id_num) GROUP BY 1"""),
+    "jobs_roundtrip": _with("TOP", """
+        SELECT l.id, user_id, title, company, location, type, salary, l.source, l.posted_on, CAST(t.score AS INT) AS score, link
+        FROM TOP t JOIN L l USING (id_num)"""),
+    "listings_fixed_schema": _with("L", """
+        SELECT id, title, source, score, strftime(posted_on, '%Y-%m-%d') AS "postedAt" FROM L"""),
+    "skills_added": _with("U", """
+        SELECT user_id, array_to_string(skills, '|') || '|Spark' AS skills, CAST(n_skills + 1 AS INT) AS n FROM U"""),
+    "search_is_empty": _with("L", """
+        SELECT 'RING' AS term, count(*) = 0 AS empty FROM L WHERE contains(lower(title), 'ring') OR contains(lower(company), 'ring')
+        UNION ALL SELECT 'no such words', count(*) = 0 FROM L WHERE contains(lower(title), 'no such words')"""),
     "alerts_new": _with("P T", """
         SELECT user_id, id_num, CAST(score AS INT) AS score FROM P ANTI JOIN T USING (user_id, id_num)
         WHERE score >= 90 AND id_num % 3 = 0"""),
@@ -288,12 +321,8 @@ ORACLES |= {
         SELECT 'payload' AS kind, payload AS content FROM R WHERE status = 200
         UNION ALL SELECT 'reject', CAST(event_id AS VARCHAR) || CASE status WHEN 400 THEN ' 400 Missing required fields'
           ELSE ' 500 Failed to process onboarding data' END FROM R WHERE status <> 200"""),
-    "stream_bookmarks": _with("FLIPS", "SELECT user_id, id_num, toggles, flipped FROM FLIPS"),
+    "stream_bookmarks": ORACLES["bookmark_state"],
     "stream_profiles": ORACLES["profile_fold"],
-    # the windows closed by the watermark of the last row
-    "stream_rate_limit": _with("E", """
-        SELECT user_id, CAST(ts AS DATE) AS day, count(*) AS requests FROM E
-        WHERE CAST(ts AS DATE) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM E)
-        GROUP BY ALL HAVING count(*) > 3"""),
+    "stream_rate_limit": ORACLES["rate_limited"],
     "stream_alerts": _with("P", "SELECT user_id, id_num, CAST(score AS INT) AS score FROM P WHERE score >= 90"),
 }

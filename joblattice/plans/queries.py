@@ -3,19 +3,22 @@
 from __future__ import annotations
 
 import secrets as random_secrets
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from joblattice import schemas
 from joblattice.config import SECRET_CONF
 from joblattice.functions import dimensions, secrets, skills, values
 from joblattice.functions import fixed_values as fixed
 from joblattice.functions.listing import display_line, salary_parts
 from joblattice.operators import alerts, dashboard, filters, intake, matching, searches, state
 from joblattice.plans import bindings as b
-from joblattice.session import apply_settings
+from joblattice.session import apply_settings, shared_folder
 from joblattice.sources import listings as boards
+from joblattice.sources import tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -67,10 +70,15 @@ def listings_union(spark, sf):
 @query
 def listings_refresh(spark, sf):
     old = b.listings(spark, sf).select("id_num", "title", "posted_on", "score")
-    new = old.where(F.col("id_num") % 3 == 0).withColumns(
-        {"posted_on": F.date_add("posted_on", 1), "score": 100 - F.col("score")}
+    # Pulls that are newer, of the same date and older; some listings come twice.
+    days = (F.floor(F.col("id_num") / 3) % 3).cast("int") - 1
+    first = old.where(F.col("id_num") % 3 == 0).withColumns(
+        {"posted_on": F.date_add("posted_on", days), "score": 100 - F.col("score")}
     )
-    return boards.refresh(old, new)
+    second = first.where(F.col("id_num") % 5 == 0).withColumns(
+        {"posted_on": F.date_add("posted_on", -1), "score": F.lit(7)}
+    )
+    return boards.refresh(old, first.unionByName(second))
 
 
 @query
@@ -166,9 +174,9 @@ def zero_as_blank(spark, sf):
 
 @query
 def secret_roundtrip(spark, sf):
-    if not spark.conf.get(SECRET_CONF, None):
-        spark.conf.set(SECRET_CONF, random_secrets.token_hex(16))
-    key = secrets.secret_key(spark)
+    # The session's key where it has one; else one for this query alone.
+    given = spark.conf.get(SECRET_CONF, None)
+    key = secrets.secret_key(spark) if given else F.lit(random_secrets.token_hex(16))
     clear = F.concat(F.lit("key-"), F.col("user_id").cast("string"))
     stored = b.profiles(spark, sf).select("user_id", clear.alias("clear")).withColumn(
         "stored", secrets.encrypt(F.col("clear"), key)
@@ -330,6 +338,61 @@ def saved_search_hits(spark, sf):
     return alerts.saved_search_hits(b.listings(spark, sf), terms)
 
 
+# --- stored tables ---------------------------------------------------------
+
+
+def _shared_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query
+def jobs_roundtrip(spark, sf):
+    """The best matches stored by user, a bucket's users written again, read back."""
+    path = _shared_path(spark, "jobs")
+    rows = b.listings(spark, sf)
+    top = matching.top_matches(rows, b.profiles(spark, sf), fixed.TOP_MATCHES).drop("posted_on")
+    stamp = F.lit("2024-01-01").cast("timestamp")
+    columns = ["id", "title", "company", "location", "type", "salary", "source", "posted_on", "link"]
+    jobs = matching.with_listing(top, rows, columns).withColumn("created_at", stamp)
+    tables.write_jobs(jobs, path, buckets=8)
+    # One bucket is written again; the others stay.
+    again = jobs.where(F.pmod(F.xxhash64("user_id"), F.lit(8)) == 3)
+    tables.write_jobs(again, path, buckets=8)
+    return tables.read_jobs(spark, path, buckets=8).select(
+        "id", "user_id", "title", "company", "location", "type", "salary", "source", "posted_on", "score", "link"
+    )
+
+
+@query
+def listings_fixed_schema(spark, sf):
+    """Listings written once and scanned with the given schema, no inference."""
+    path = _shared_path(spark, "listings")
+    rows = b.listings(spark, sf).withColumn("postedAt", F.date_format("posted_on", "yyyy-MM-dd"))
+    boards.write_listings(rows.select(*schemas.LISTING.names), path)
+    return boards.read_listings(spark, path).select("id", "title", "source", "score", "postedAt")
+
+
+@query
+def skills_added(spark, sf):
+    """A skill that is there already, in other case and with blanks, and a new one."""
+    people = b.profiles(spark, sf)
+    known = skills.add_skill(F.col("skills"), F.concat(F.lit("  "), F.col("skill1"), F.lit(" ")))
+    more = skills.add_skill(known, F.lit(" Spark "))
+    return people.select("user_id", F.array_join(more, "|").alias("skills"), F.size(more).alias("n"))
+
+
+@query
+def search_is_empty(spark, sf):
+    """Whether searches find nothing at all: the page shows a notice then."""
+    rows = b.listings(spark, sf)
+    terms = ("RING", "no such words")
+    flags = [
+        filters.search(rows, t).agg((F.count("*") == 0).alias("empty")).select(F.lit(t).alias("term"), "empty")
+        for t in terms
+    ]
+    return flags[0].unionByName(flags[1])
+
+
 # --- counts ------------------------------------------------------------------
 
 

@@ -70,6 +70,10 @@ JOBS = T.StructType(
         T.StructField("title", T.StringType()),
         T.StructField("company", T.StringType()),
         T.StructField("location", T.StringType()),
+        T.StructField("type", T.StringType()),
+        T.StructField("salary", T.StringType()),
+        T.StructField("source", T.StringType()),
+        T.StructField("posted_on", T.DateType()),
         T.StructField("score", T.IntegerType()),
         T.StructField("link", T.StringType()),
         T.StructField("created_at", T.TimestampType()),

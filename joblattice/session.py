@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -39,3 +41,18 @@ def apply_settings(spark: SparkSession) -> SparkSession:
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
     return spark
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share, as the session names it.
+
+    A local session, whose executors are threads of one machine, may do without: it
+    gets a folder of its own. On a cluster a missing setting is an error.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and spark.sparkContext.master.split("[")[0] == "local":
+        named = tempfile.mkdtemp(prefix="shared-")
+        spark.conf.set("spark.checkpoint.dir", named)
+    if not named:
+        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+    return named.rstrip("/")

@@ -77,6 +77,20 @@ def test_salary(golden):
         ("$1.5k", (1_500, 1_500, "USD", "year")),
         ("€80,000–€90,000", (80_000, 90_000, "EUR", "year")),
         ("£20/hr", (20, 20, "GBP", "hour")),
+        ("$80–120k", (80_000, 120_000, "USD", "year")),
+        ("$120K–$160K", (120_000, 160_000, "USD", "year")),
+        ("$1.2M", (1_200_000, 1_200_000, "USD", "year")),
+        ("$50/hour", (50, 50, "USD", "hour")),
+        ("50 - 60 EUR / h", (50, 60, "EUR", "hour")),
+        ("85k €", (85_000, 85_000, "EUR", "year")),
+        ("E£25k–E£40k", (25_000, 40_000, "EGP", "year")),
+        ("usd 90,500", (90_500, 90_500, "USD", "year")),
+        ("100k to 90k", (90_000, 100_000, None, "year")),
+        ("$80k–€90k", (80_000, 90_000, None, "year")),
+        ("$5 a day", (None, None, None, None)),
+        ("401k match", (None, None, None, None)),
+        ("9" * 30, (None, None, None, None)),
+        ("", (None, None, None, None)),
         ("Competitive", (None, None, None, None)),
         (None, (None, None, None, None)),
     ],

@@ -19,9 +19,8 @@ ONCE = {"availableNow": True}
 
 @pytest.fixture()
 def run(tmp_path):
-    """Settings of one run: a job name of its own, and a checkpoint folder for
-    sessions that name none."""
-    return {"job": f"test_{uuid.uuid4().hex}", "checkpoint_base": str(tmp_path / "checkpoints"), **ONCE}
+    """Settings of one run: a job name of its own."""
+    return {"job": f"test_{uuid.uuid4().hex}", **ONCE}
 
 
 @pytest.fixture(scope="module")
@@ -54,10 +53,14 @@ def same(left, right):
 
 def test_bookmarks(spark, sf, event_files, run, tmp_path):
     toggles = b.toggles_of(b.events_of(stream(spark, event_files)))
-    query = jobs.run_bookmarks(toggles, str(tmp_path / "out"), **run)
+    listings = b.listings(spark, sf)
+    query = jobs.run_bookmarks(toggles, listings, str(tmp_path / "out"), **run)
     query.awaitTermination()
     assert len(query.recentProgress) >= FILES
-    same(jobs.latest(spark, str(tmp_path / "out"), ["user_id", "id_num"]), state.bookmark_flips(b.toggles(spark, sf)))
+    keys, batch = ["user_id", "id_num"], state.bookmark_state(b.toggles(spark, sf), listings)
+    same(jobs.latest(spark, str(tmp_path / "out"), keys), batch)
+    jobs.compact(spark, str(tmp_path / "out"), keys, str(tmp_path / "compact"))
+    same(jobs.latest(spark, str(tmp_path / "compact"), keys), batch)
 
 
 def test_profiles(spark, sf, event_files, run, tmp_path):
@@ -68,13 +71,11 @@ def test_profiles(spark, sf, event_files, run, tmp_path):
     same(jobs.latest(spark, str(tmp_path / "out"), ["user_id"]), batch)
 
 
-def test_rate_limit_flags_closed_windows(spark, sf, event_files, run, tmp_path):
+def test_rate_limit_flags_at_once(spark, sf, event_files, run, tmp_path):
     events = b.events_of(stream(spark, event_files))
     jobs.run_rate_limit(events, str(tmp_path / "out"), **run).awaitTermination()
-    flagged = spark.read.parquet(str(tmp_path / "out")).drop(jobs.BATCH)
-    batch = state.requests_per_window(b.events(spark, sf))
-    last = b.events(spark, sf).agg(F.date_trunc("day", F.max("ts"))).first()[0]
-    same(flagged, batch.where(F.col("window_start") < last))
+    flagged = jobs.latest(spark, str(tmp_path / "out"), ["user_id", "window_start"])
+    same(flagged, state.requests_per_window(b.events(spark, sf)))
 
 
 def test_rate_limit_drops_late_rows(spark, run, tmp_path):
@@ -91,7 +92,7 @@ def test_rate_limit_drops_late_rows(spark, run, tmp_path):
             os.utime(tmp_path / f"in{i}" / name, (1_700_000_000 + i, 1_700_000_000 + i))
     events = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in*"))
     jobs.run_rate_limit(events, str(tmp_path / "out"), **run).awaitTermination()
-    rows = spark.read.parquet(str(tmp_path / "out")).collect()
+    rows = jobs.latest(spark, str(tmp_path / "out"), ["user_id", "window_start"]).collect()
     # the fifth request of user 1 on day 1 came after the window had closed
     assert sorted((r["user_id"], r["requests"]) for r in rows) == [(1, 4), (2, 5)]
 
@@ -168,14 +169,24 @@ def test_a_repeated_alert_batch_writes_the_same_rows(spark, sf, tmp_path, monkey
     assert spark.read.parquet(f"{out}/job=j/batch=1").isEmpty()
 
 
-def test_checkpoint_location_prefers_the_session(spark):
+def test_checkpoint_location(spark):
     class Session:
-        def __init__(self, **settings):
-            self.conf = settings
+        def __init__(self, master, **settings):
+            self.conf, self.sparkContext = settings, type("Context", (), {"master": master})
 
     with pytest.raises(ValueError):
-        jobs.checkpoint_location(Session(), "job")
-    assert jobs.checkpoint_location(Session(), "job", "/base/") == "/base/job"
-    named = Session(**{"spark.checkpoint.dir": "/shared"})
-    assert jobs.checkpoint_location(named, "job", "/base") == "/shared/job"
-    assert jobs.checkpoint_location(spark, "job", "/base").endswith("/job")
+        jobs.checkpoint_location(Session("spark://host"), "job")
+    named = Session("spark://host", **{"spark.checkpoint.dir": "/shared/"})
+    assert jobs.checkpoint_location(named, "job") == "/shared/job"
+    assert jobs.checkpoint_location(spark, "job").endswith("/job")
+
+
+def test_a_batch_with_two_versions_takes_the_newest(spark, sf, tmp_path, monkeypatch):
+    captured = {}
+    monkeypatch.setattr(jobs, "_start", lambda stream, job, write, *rest: captured.update(write=write))
+    listings, profiles = b.listings(spark, sf), b.profiles(spark, sf)
+    older = listings.withColumn("posted_on", F.date_add("posted_on", -1)).withColumn("title", F.lit("nothing"))
+    jobs.run_alerts(listings, profiles, str(tmp_path), job="j")
+    captured["write"](older.unionByName(listings), 0)
+    expected = matching.matches_at_least(listings, profiles, 90).select("user_id", "id_num", "score")
+    same(spark.read.parquet(f"{tmp_path}/job=j/batch=0"), expected)

@@ -35,7 +35,9 @@ def test_profiles_hold_no_clear_key(spark, tmp_path):
 
 def test_jobs_of_one_user_read_one_directory(spark, tmp_path):
     path = str(tmp_path / "jobs")
-    rows = [(str(i), u, "t", "c", "l", 90, "#", NOW) for u in range(20) for i in range(3)]
+    rows = [
+        (str(i), u, "t", "c", "l", "full-time", "$1", "Indeed", NOW.date(), 90, "#", NOW) for u in range(20) for i in range(3)
+    ]
     tables.write_jobs(spark.createDataFrame(rows, schemas.JOBS), path)
     assert tables.read_jobs(spark, path).count() == 60
     mine = tables.read_jobs(spark, path, user_id=7)
