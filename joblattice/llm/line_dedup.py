@@ -18,7 +18,8 @@ An index key with more than ``CROWD`` lines is not probed like that: its lines m
 match in what lies beside the segment, within the edits that are left, and meet on
 segments of that rest. So a segment that many lines share costs rows, not pairs.
 Texts of distinct lines cross the network once for all segments and once more for
-the candidates; all else is hashes. No Python runs on the executors.
+the candidates; all else is hashes. What two candidates share at both ends is cut off
+before their distance is taken. No Python runs on the executors.
 
 Defined results: a null or empty text has no line; shorter lines always stay; a null id
 ranks after all ids; rows equal in id and text are one document and keep the same
@@ -138,10 +139,15 @@ def candidates(distinct: DataFrame, edits: int = EDITS, crowd: int = CROWD) -> D
     )
     crowded = index.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > crowd).select("key")
     crowded = stored(crowded, "crowded-keys")
+    if crowded.isEmpty():
+        return _meet(index, probing).distinct()
     pairs = _meet(index.join(crowded, "key", "left_anti"), probing.join(crowded, "key", "left_anti"))
+    # Only lines of crowded keys are taken further with their texts.
+    members = index.join(crowded, "key").select("lh").union(probing.join(crowded, "key").select("lh")).distinct()
+    members = stored(distinct.join(members, "lh", "left_semi"), "crowded-lines")
 
     def again(keys) -> DataFrame:
-        found = distinct.select("lh", "line", F.explode(keys(F.col("line"), edits, top)).alias("k"))
+        found = members.select("lh", "line", F.explode(keys(F.col("line"), edits, top)).alias("k"))
         return found.select("lh", "line", "k.*").join(crowded, "key")
 
     def below(rows: DataFrame, keys, more: list[str]) -> DataFrame:
@@ -214,6 +220,41 @@ def banded_distance(a: Column, b: Column, most: int = EDITS) -> Column:
     return F.when(F.abs(n - m) > most, F.lit(most + 1)).otherwise(F.least(distance, F.lit(most + 1)))
 
 
+def _common_start(a: Column, b: Column, most: Column) -> Column:
+    """Characters that two texts share from their start, at most ``most``; by bisection."""
+
+    def step(s: Column, _: Column) -> Column:
+        middle = F.floor((s["lo"] + s["hi"] + 1) / 2).cast("int")
+        same = F.substring(a, F.lit(1), middle) == F.substring(b, F.lit(1), middle)
+        return F.struct(
+            F.when(same, middle).otherwise(s["lo"]).alias("lo"),
+            F.when(same, s["hi"]).otherwise(F.greatest(middle - 1, s["lo"])).alias("hi"),
+        )
+
+    rounds = F.sequence(F.lit(0), F.ceil(F.log2(most + 1)).cast("int"))
+    return F.aggregate(rounds, F.struct(F.lit(0).alias("lo"), most.alias("hi")), step, lambda s: s["lo"])
+
+
+def trimmed(a: Column, b: Column, keep: int = 4) -> Column:
+    """struct<a, b> of two texts less what they share at both ends, but ``keep`` of it.
+
+    The edit distance stays the same; it is then taken over what differs alone.
+    """
+    n = F.least(F.length(a), F.length(b))
+
+    def ends(start: Column) -> Column:
+        end = _common_start(F.reverse(a), F.reverse(b), n - start)
+        return F.transform(F.array(F.greatest(end - keep, F.lit(0))), lambda e: cut(F.greatest(start - keep, F.lit(0)), e))[0]
+
+    def cut(start: Column, end: Column) -> Column:
+        return F.struct(
+            F.substring(a, start + 1, F.length(a) - start - end).alias("a"),
+            F.substring(b, start + 1, F.length(b) - start - end).alias("b"),
+        )
+
+    return F.transform(F.array(_common_start(a, b, n)), ends)[0]
+
+
 def links(found: DataFrame, edits: int = EDITS, crowd: int = CROWD) -> DataFrame:
     """Linked pairs (a, b), a > b, of distinct lines given as (lh, line)."""
     distinct = found.groupBy("lh").agg(F.any_value("line").alias("line"))
@@ -223,8 +264,9 @@ def links(found: DataFrame, edits: int = EDITS, crowd: int = CROWD) -> DataFrame
     left = texts.select(F.col("lh").alias("a"), F.col("line").alias("line_a"))
     right = texts.select(F.col("lh").alias("b"), F.col("line").alias("line_b"))
     met = pairs.join(left, "a").join(right, "b")
-    near = met.where(banded_distance(F.col("line_a"), F.col("line_b"), edits) <= edits)
-    return near.select("a", "b")
+    # As a generator the trimming is a step of its own, not copied into the distance.
+    met = met.select("a", "b", F.explode(F.array(trimmed(F.col("line_a"), F.col("line_b"), edits + 2))).alias("t"))
+    return met.where(banded_distance(F.col("t.a"), F.col("t.b"), edits) <= edits).select("a", "b")
 
 
 def removals(docs: DataFrame, edits: int = EDITS) -> DataFrame:
