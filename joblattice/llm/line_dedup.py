@@ -29,6 +29,8 @@ told apart by 64-bit hashes.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,9 +73,8 @@ def _key(text: Column, length: Column, i: int, start: Column, size: Column, besi
     return F.xxhash64(beside, length, F.lit(i), F.substring(text, start + 1, size))
 
 
-def index_keys(text: Column, edits: int, beside: Column) -> Column:
-    """array<struct<key, i, at>> of a line's segments."""
-    n = F.length(text)
+def index_keys(text: Column, n: Column, edits: int, beside: Column) -> Column:
+    """array<struct<key, i, at, size>> of a line's segments; ``n`` is its length."""
     out = []
     for i in range(edits + 1):
         start, size = _segment(n, i, edits)
@@ -92,9 +93,8 @@ def probes(edits: int) -> list[tuple[int, int, int]]:
     ]
 
 
-def probe_keys(text: Column, edits: int, beside: Column) -> Column:
-    """array<struct<key, i, at, less>> of what a line looks up."""
-    n = F.length(text)
+def probe_keys(text: Column, n: Column, edits: int, beside: Column) -> Column:
+    """array<struct<key, i, at, size, less>> of what a line looks up, or null for it."""
     out = []
     for less, i, shift in probes(edits):
         length = n - less
@@ -109,7 +109,7 @@ def probe_keys(text: Column, edits: int, beside: Column) -> Column:
             F.lit(less).alias("less"),
         )
         out.append(F.when(fits, found))
-    return F.array_compact(F.array(*out))
+    return F.array(*out)
 
 
 def _meet(index: DataFrame, probing: DataFrame, both_ways: bool = False) -> DataFrame:
@@ -133,10 +133,15 @@ def _rest(text: Column, edits: int) -> list[tuple[Column, int]]:
 def candidates(distinct: DataFrame, edits: int = EDITS, crowd: int = CROWD) -> DataFrame:
     """Pairs (a, b), a > b, of line hashes that may be linked; every linked pair is among them."""
     top = F.lit(0).cast("bigint")
-    index = distinct.select("lh", F.explode(index_keys(F.col("line"), edits, top)).alias("k")).select("lh", "k.key", "k.i")
-    probing = distinct.select("lh", F.explode(probe_keys(F.col("line"), edits, top)).alias("k")).select(
-        "lh", "k.key", "k.i", "k.less"
-    )
+
+    def keyed(rows: DataFrame, keys, *more: str) -> DataFrame:
+        # The length is a column of its own: inside the keys it would be counted anew each time.
+        sized = rows.withColumn("size_", F.length("line"))
+        found = sized.select("lh", *more, F.explode(keys(F.col("line"), F.col("size_"), edits, top)).alias("k"))
+        return found.where(F.col("k").isNotNull()).select("lh", *more, "k.*")
+
+    index = keyed(distinct, index_keys).select("lh", "key")
+    probing = keyed(distinct, probe_keys).select("lh", "key", "less")
     crowded = index.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > crowd).select("key")
     crowded = stored(crowded, "crowded-keys")
     if crowded.isEmpty():
@@ -146,19 +151,17 @@ def candidates(distinct: DataFrame, edits: int = EDITS, crowd: int = CROWD) -> D
     members = index.join(crowded, "key").select("lh").union(probing.join(crowded, "key").select("lh")).distinct()
     members = stored(distinct.join(members, "lh", "left_semi"), "crowded-lines")
 
-    def again(keys) -> DataFrame:
-        found = members.select("lh", "line", F.explode(keys(F.col("line"), edits, top)).alias("k"))
-        return found.select("lh", "line", "k.*").join(crowded, "key")
-
-    def below(rows: DataFrame, keys, more: list[str]) -> DataFrame:
-        made = F.lit(None)
+    def below(keys, *more: str) -> DataFrame:
+        rows = keyed(members, keys, "line").join(crowded, "key")
+        out = []
         for i, (rest, left) in enumerate(_rest(F.col("line"), edits)):
-            made = F.when(F.col("i") == i, keys(rest, left, F.col("key"))).otherwise(made)
-        return rows.select("lh", *more, F.explode(made).alias("k"))
+            part = rows.where(F.col("i") == i).select("lh", *more, "key", rest.alias("rest"))
+            part = part.withColumn("size_", F.length("rest"))
+            made = F.explode(keys(F.col("rest"), F.col("size_"), left, F.col("key"))).alias("k")
+            out.append(part.select("lh", *more, made).where(F.col("k").isNotNull()).select("lh", *more, "k.key"))
+        return reduce(DataFrame.unionByName, out)
 
-    index2 = below(again(index_keys), index_keys, []).select("lh", "k.key")
-    probing2 = below(again(probe_keys), lambda t, e, b: probe_keys(t, e, b), ["less"])
-    probing2 = probing2.select("lh", "less", "k.key")
+    index2, probing2 = below(index_keys), below(probe_keys, "less")
     # Of two lines of one length either may have the longer rest: both probe.
     return pairs.union(_meet(index2, probing2, both_ways=True)).distinct()
 
