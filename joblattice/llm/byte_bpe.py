@@ -4,7 +4,7 @@ Each task cuts its texts by the tokenizer's pattern and hands Spark the distinct
 block of texts that it has not handed over before. Spark's higher-order functions fold the
 ranked merges over the bytes of each word: the pair with the least rank is merged, the
 leftmost first, until no pair has a rank. The ranks are one literal, an array of small
-maps that a word's hash picks from, as a map of Spark is searched from end to end. The
+maps that the ids of a pair pick from, as a map of Spark is searched from end to end. The
 ids then go back to the texts of the block, in the same task, row by row.
 
 Nothing is shuffled or broadcast beside the fixed vocabulary. A task holds one block (about
@@ -15,8 +15,8 @@ The fold is quadratic in a word's length. Words of more than ``LONG`` bytes (no
 change of kind in them) are merged in the task with a heap: the same merges in the same order
 in n log n steps. A text may be one such word of any length.
 
-Bytes travel as Latin-1 text, one character per byte. Decoding takes the piece of every
-id from a literal array and joins them.
+Decoding takes the piece of every id from a literal array and joins them; bytes are held as
+Latin-1 text there, one character per byte.
 
 Letters and digits are those of the ``regex`` library's Unicode version. Code points it counts
 as letters and the tiktoken library's older version does not (none assigned up to
@@ -37,7 +37,6 @@ from collections.abc import Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,81 +55,70 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
 
 
-def _bucket(key: str) -> int:
-    """What pmod(xxhash64(key), BUCKETS) gives in Spark."""
-    return np.uint64(xxhash.xxh64_intdigest(key.encode(), 42)).astype(np.int64).item() % BUCKETS
+def merge_literal(ranks: dict[bytes, int]) -> Column:
+    """array<map<bigint,int>>: the rank of every two tokens that make a third, by bucket.
 
-
-def rank_literal(ranks: dict[bytes, int]) -> Column:
-    """array<map<string,int>>: the ranks of all byte strings, by bucket of their hash."""
-    buckets: list[dict[str, int]] = [{} for _ in range(BUCKETS)]
+    A pair (a, b) of ids has the key a * 2**20 + b.
+    """
+    buckets: list[list[list[int]]] = [[] for _ in range(BUCKETS)]
     for raw, rank in ranks.items():
-        key = raw.decode("latin-1")
-        buckets[_bucket(key)][key] = rank
-    return F.from_json(F.lit(json.dumps(buckets)), "array<map<string,int>>")
-
+        for cut in range(1, len(raw)):
+            a, b = ranks.get(raw[:cut]), ranks.get(raw[cut:])
+            if a is not None and b is not None:
+                buckets[(a * 31 + b) % BUCKETS].append([a << 20 | b, rank])
+    # JSON has no maps with numbers as keys; a row (one block) makes the maps once.
+    entries = F.from_json(F.lit(json.dumps(buckets)), "array<array<array<bigint>>>")
+    entry = lambda e: F.struct(F.get(e, F.lit(0)), F.get(e, F.lit(1)).cast("int"))
+    return F.transform(entries, lambda b: F.map_from_entries(F.transform(b, entry)))
 
-def _rank(ranks: Column, piece: Column) -> Column:
-    bucket = F.get(ranks, F.pmod(F.xxhash64(piece), F.lit(BUCKETS)).cast("int"))
-    return F.coalesce(bucket[piece], F.lit(NO_RANK))
 
+def byte_literal(ranks: dict[bytes, int]) -> Column:
+    return F.from_json(F.lit(json.dumps([ranks[bytes([i])] for i in range(256)])), "array<int>")
 
-def merged(word: Column, ranks: Column) -> Column:
-    """Ids of a word: a fold over its bounds and the ranks of its neighbouring pieces."""
 
-    def between(a: Column, b: Column) -> Column:
-        return F.substring(word, a + 1, b - a)
+def merged(word: Column, merges: Column, singles: Column) -> Column:
+    """Ids of a word given as its bytes: a fold over ids and the ranks of their pairs."""
 
-    def pair(bounds: Column, i: Column) -> Column:
-        # Rank of the pieces at i and i + 1 joined; none past the ends.
-        ends = F.get(bounds, i + 2)
-        return F.when((i < 0) | ends.isNull(), F.lit(None).cast("int")).otherwise(
-            _rank(ranks, between(F.get(bounds, i), ends))
-        )
+    def rank(a: Column, b: Column) -> Column:
+        bucket = F.get(merges, F.pmod(a * 31 + b, F.lit(BUCKETS)))
+        return F.coalesce(bucket[a.cast("bigint") * (1 << 20) + b], F.lit(NO_RANK))
 
-    def drop(array: Column, i: Column) -> Column:
-        return F.concat(F.slice(array, F.lit(1), i), F.slice(array, i + 2, F.size(array)))
+    def put(array: Column, i: Column, drop: int, new: Column) -> Column:
+        # ``new`` in place of the elements from i on, ``drop`` of them.
+        return F.concat(F.slice(array, F.lit(1), i), new, F.slice(array, i + (drop + 1), F.size(array)))
 
     def step(state: Column, _: Column) -> Column:
-        least = F.array_min(state["ranks"])
-        at = F.array_position(state["ranks"], least).cast("int") - 1
-
-        def joined(i: Column) -> Column:
-            bounds = drop(state["bounds"], i + 1)
+        ids, ranks = state["ids"], state["ranks"]
+
+        def merge(m: Column) -> Column:
+            i, least = m["i"], m["least"]
+            left = F.when(i > 0, F.array(rank(F.get(ids, i - 1), least))).otherwise(none)
+            right = F.when(i + 2 < F.size(ids), F.array(rank(least, F.get(ids, i + 2)))).otherwise(none)
+            # The pairs left of, at and right of the merged one give way to two new ones.
+            begin = F.greatest(i - 1, F.lit(0))
+            kept = F.concat(
+                F.slice(ranks, F.lit(1), begin), left, right, F.slice(ranks, i + 3, F.size(ranks))
+            )
+            return F.struct(put(ids, i, 2, F.array(least)).alias("ids"), kept.alias("ranks"))
 
-            def with_bounds(b: Column) -> Column:
-                ranks_ = F.concat(
-                    F.slice(state["ranks"], F.lit(1), F.greatest(i - 1, F.lit(0))),
-                    F.filter(F.array(pair(b, i - 1), pair(b, i)), lambda r: r.isNotNull()),
-                    F.slice(state["ranks"], i + 3, F.size(state["ranks"])),
-                )
-                return F.struct(b.alias("bounds"), ranks_.alias("ranks"))
+        least = F.array_min(ranks)
+        found = F.struct((F.array_position(ranks, least) - 1).cast("int").alias("i"), least.alias("least"))
+        return F.when(
+            F.size(ranks) > 0,
+            F.transform(F.array(found), lambda m: F.when(m["least"] == NO_RANK, state).otherwise(merge(m)))[0],
+        ).otherwise(state)
 
-            return F.transform(F.array(bounds), with_bounds)[0]
+    none = F.array().cast("array<int>")
+    first = F.transform(word, lambda b: F.get(singles, b))
 
-        return F.when(F.coalesce(least, F.lit(NO_RANK)) == NO_RANK, state).otherwise(
-            F.transform(F.array(at), joined)[0]
+    def fold(ids: Column) -> Column:
+        pairs = F.transform(
+            F.slice(ids, F.lit(2), F.size(ids)), lambda b, i: rank(F.get(ids, i), b)
         )
+        start = F.struct(ids.alias("ids"), pairs.alias("ranks"))
+        return F.aggregate(F.slice(ids, F.lit(2), F.size(ids)), start, step, lambda s: s["ids"])
 
-    length = F.length(word)
-    pairs = F.when(
-        length > 1,
-        F.transform(F.sequence(F.lit(0), length - 2), lambda i: _rank(ranks, between(i, i + 2))),
-    ).otherwise(F.array().cast("array<int>"))
-    start = F.struct(F.sequence(F.lit(0), length).alias("bounds"), pairs.alias("ranks"))
-    ids = F.aggregate(
-        F.when(length > 1, F.sequence(F.lit(2), length)).otherwise(F.array().cast("array<int>")),
-        start,
-        step,
-        lambda s: F.transform(
-            F.slice(s["bounds"], F.lit(2), F.size(s["bounds"])),
-            lambda b, i: _rank(ranks, between(F.get(s["bounds"], i), b)),
-        ),
-    )
-    whole = _rank(ranks, word)
-    return F.transform(
-        F.array(whole), lambda r: F.when(r != NO_RANK, F.array(r)).otherwise(ids)
-    )[0]
+    return F.transform(F.array(first), fold)[0]
 
 
 def merged_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -165,8 +153,11 @@ def merged_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
-def _blocks(docs: DataFrame) -> DataFrame:
-    """Blocks of texts with the words to encode: (ids, texts, words, fresh)."""
+def _blocks(docs: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
+    """Blocks of texts with the words to encode, as bytes: (ids, texts, words, fresh).
+
+    A word that is a token itself needs no merge.
+    """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
@@ -184,13 +175,15 @@ def _blocks(docs: DataFrame) -> DataFrame:
                 new.update(pattern.findall(text or ""))
             new -= sent
             sent |= new
-            raw = (w.encode().decode("latin-1") for w in new)
-            words = [w for w in raw if len(w) <= LONG]
+            words = [b for w in new if len(b := w.encode()) <= LONG and b not in ranks]
+            flat = np.frombuffer(b"".join(words), dtype=np.uint8).astype(np.int32)
+            ends = np.cumsum([0, *map(len, words)]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
             return pa.RecordBatch.from_arrays(
                 [
                     pa.array([ids], pa.list_(pa.int64())),
                     pa.array([texts], pa.list_(pa.string())),
-                    pa.array([words], pa.list_(pa.string())),
+                    pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), lists),
                     pa.array([fresh], pa.bool_()),
                 ],
                 names=["ids", "texts", "words", "fresh"],
@@ -209,15 +202,16 @@ def _blocks(docs: DataFrame) -> DataFrame:
             yield block(ids, texts)
 
     narrow = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
-    return narrow.mapInArrow(rows, "ids array<bigint>, texts array<string>, words array<string>, fresh boolean")
+    return narrow.mapInArrow(rows, "ids array<bigint>, texts array<string>, words array<array<int>>, fresh boolean")
 
 
 def encode(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """``doc_id``, ``ids`` and ``ids_le``, the ids as little-endian 32-bit numbers."""
     path = public_tokenizers.path(vocabulary)
     ranks = load_ranks(path)
+    tables = F.struct(merge_literal(ranks).alias("merges"), byte_literal(ranks).alias("singles"))
     folded = F.transform(
-        F.array(rank_literal(ranks)), lambda table: F.transform("words", lambda w: merged(w, table))
+        F.array(tables), lambda t: F.transform("words", lambda w: merged(w, t["merges"], t["singles"]))
     )[0]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,9 +224,12 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
             flat = encoded.flatten().to_numpy(zero_copy_only=False).astype("<u4").tobytes()
             lengths = encoded.value_lengths().to_pylist()
             at = 0
-            for word, n in zip(words.to_pylist(), lengths, strict=True):
-                known[word.encode("latin-1").decode()] = flat[at : at + 4 * n]
-                at += 4 * n
+            raw = words.flatten().to_numpy(zero_copy_only=False).astype(np.uint8).tobytes()
+            ends = np.cumsum(words.value_lengths().to_numpy(zero_copy_only=False)).tolist()
+            start = 0
+            for end, n in zip(ends, lengths, strict=True):
+                known[raw[start:end].decode()] = flat[at : at + 4 * n]
+                start, at = end, at + 4 * n
 
         for batch in batches:
             for at in range(batch.num_rows):
@@ -245,11 +242,10 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
                     cut = pattern.findall(text or "")
                     try:
                         raw.append(b"".join([known[w] for w in cut]))
-                    except KeyError:  # a long word
+                    except KeyError:  # a long word, or a token
                         for w in cut:
                             if w not in known:
-                                long = np.asarray(merged_long(w.encode(), ranks), "<u4").tobytes()
-                                known[w] = long
+                                known[w] = np.asarray(merged_long(w.encode(), ranks), "<u4").tobytes()
                         raw.append(b"".join([known[w] for w in cut]))
                 docs = ids.as_py()
                 for i in range(0, len(docs), 256):
@@ -265,7 +261,7 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
                         names=["doc_id", "ids", "ids_le"],
                     )
 
-    given = _blocks(docs).select("ids", "texts", "words", "fresh", folded.alias("encoded"))
+    given = _blocks(docs, ranks).select("ids", "texts", "words", "fresh", folded.alias("encoded"))
     return given.mapInArrow(rows, "doc_id bigint, ids array<int>, ids_le binary")
 
 
