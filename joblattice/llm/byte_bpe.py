@@ -5,7 +5,7 @@ block of texts that it has not handed over before. Spark's higher-order function
 ranked merges over the bytes of each word: the pair with the least rank is merged, the
 leftmost first, until no pair has a rank. The ranks are one literal, an array of small
 maps that the ids of a pair pick from, as a map of Spark is searched from end to end. The
-ids then go back to the texts of the block, in the same task, row by row.
+ids then take the places of the words of the block's texts, in the same task.
 
 Nothing is shuffled or broadcast beside the fixed vocabulary. A task holds one block (about
 ``BLOCK_BYTES`` or one longer text) and the words since the last reset. A lost task repeats
@@ -153,41 +153,70 @@ def merged_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
+class _Numbers(dict):
+    """Numbers of words in the order they are first asked for; ``new`` lists those."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self[word] = number = len(self)
+        self.new.append(word)
+        return number
+
+
+_BLOCK = (
+    "ids array<bigint>, counts array<int>, tokens array<int>, words array<array<int>>, "
+    "given array<array<int>>, fresh boolean"
+)
+
+
+def _ragged(parts: list[bytes], dtype: str) -> pa.ListArray:
+    flat = np.frombuffer(b"".join(parts), dtype=dtype).astype(np.int32)
+    size = np.dtype(dtype).itemsize
+    ends = np.cumsum([0, *(len(p) // size for p in parts)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
+
+
 def _blocks(docs: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
-    """Blocks of texts with the words to encode, as bytes: (ids, texts, words, fresh).
+    """Blocks of texts as numbers of words, with the words that are new in the task.
 
-    A word that is a token itself needs no merge.
+    ``counts`` are the words of each text, ``tokens`` their numbers. Of a new word either
+    ``words`` has the bytes, to be merged, or ``given`` the ids: those of a word that
+    is a token itself, or too long for the fold. ``fresh`` starts the numbers anew.
     """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
-        pattern = regex.compile(public_tokenizers.PATTERN)
-        sent: set[str] = set()
+        cut = regex.compile(public_tokenizers.PATTERN).findall
+        numbers = _Numbers()
 
         def block(ids: list, texts: list) -> pa.RecordBatch:
-            nonlocal sent
-            fresh = len(sent) > KNOWN_WORDS
+            nonlocal numbers
+            fresh = len(numbers) > KNOWN_WORDS
             if fresh:
-                sent = set()
-            new: set[str] = set()
-            for text in texts:
-                new.update(pattern.findall(text or ""))
-            new -= sent
-            sent |= new
-            words = [b for w in new if len(b := w.encode()) <= LONG and b not in ranks]
-            flat = np.frombuffer(b"".join(words), dtype=np.uint8).astype(np.int32)
-            ends = np.cumsum([0, *map(len, words)]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
-            return pa.RecordBatch.from_arrays(
-                [
-                    pa.array([ids], pa.list_(pa.int64())),
-                    pa.array([texts], pa.list_(pa.string())),
-                    pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), lists),
-                    pa.array([fresh], pa.bool_()),
-                ],
-                names=["ids", "texts", "words", "fresh"],
-            )
+                numbers = _Numbers()
+            numbers.new = []
+            found = [list(map(numbers.__getitem__, cut(t or ""))) for t in texts]
+            words, given = [], []
+            for word in map(str.encode, numbers.new):
+                whole = ranks.get(word)
+                direct = [whole] if whole is not None else merged_long(word, ranks) if len(word) > LONG else []
+                given.append(np.asarray(direct, dtype="<i4").tobytes())
+                words.append(b"" if direct else word)
+            tokens = np.fromiter((n for f in found for n in f), dtype=np.int32)
+            whole_block = lambda a: pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a)
+            columns = [
+                pa.array(ids, pa.int64()),
+                pa.array([len(f) for f in found], pa.int32()),
+                pa.array(tokens),
+                _ragged(words, "u1"),
+                _ragged(given, "<i4"),
+            ]
+            names = ["ids", "counts", "tokens", "words", "given", "fresh"]
+            return pa.RecordBatch.from_arrays([*map(whole_block, columns), pa.array([fresh])], names=names)
 
         ids, texts, size = [], [], 0
         for batch in batches:
@@ -202,67 +231,58 @@ def _blocks(docs: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
             yield block(ids, texts)
 
     narrow = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
-    return narrow.mapInArrow(rows, "ids array<bigint>, texts array<string>, words array<array<int>>, fresh boolean")
+    return narrow.mapInArrow(rows, _BLOCK)
 
 
 def encode(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """``doc_id``, ``ids`` and ``ids_le``, the ids as little-endian 32-bit numbers."""
-    path = public_tokenizers.path(vocabulary)
-    ranks = load_ranks(path)
+    ranks = load_ranks(public_tokenizers.path(vocabulary))
     tables = F.struct(merge_literal(ranks).alias("merges"), byte_literal(ranks).alias("singles"))
     folded = F.transform(
         F.array(tables), lambda t: F.transform("words", lambda w: merged(w, t["merges"], t["singles"]))
     )[0]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import regex
-
-        pattern = regex.compile(public_tokenizers.PATTERN)
-        known: dict[str, bytes] = {}
+        none = np.zeros(0, dtype=np.int64)
+        flat, starts, lengths = none, none, none  # ids of the words by their numbers
 
-        def learn(words: pa.Array, encoded: pa.Array) -> None:
-            flat = encoded.flatten().to_numpy(zero_copy_only=False).astype("<u4").tobytes()
-            lengths = encoded.value_lengths().to_pylist()
-            at = 0
-            raw = words.flatten().to_numpy(zero_copy_only=False).astype(np.uint8).tobytes()
-            ends = np.cumsum(words.value_lengths().to_numpy(zero_copy_only=False)).tolist()
-            start = 0
-            for end, n in zip(ends, lengths, strict=True):
-                known[raw[start:end].decode()] = flat[at : at + 4 * n]
-                start, at = end, at + 4 * n
+        def numbers(array: pa.Array) -> np.ndarray:
+            return array.to_numpy(zero_copy_only=False).astype(np.int64)
 
         for batch in batches:
             for at in range(batch.num_rows):
-                ids, texts, words, fresh, encoded = (c[at] for c in batch.columns)
+                docs, counts, tokens, given, encoded, fresh = (c[at] for c in batch.columns)
                 if fresh.as_py():
-                    known.clear()
-                learn(words.values, encoded.values)
-                raw = []
-                for text in texts.as_py():
-                    cut = pattern.findall(text or "")
-                    try:
-                        raw.append(b"".join([known[w] for w in cut]))
-                    except KeyError:  # a long word, or a token
-                        for w in cut:
-                            if w not in known:
-                                known[w] = np.asarray(merged_long(w.encode(), ranks), "<u4").tobytes()
-                        raw.append(b"".join([known[w] for w in cut]))
-                docs = ids.as_py()
-                for i in range(0, len(docs), 256):
-                    part = raw[i : i + 256]
-                    flat = pa.array(np.frombuffer(b"".join(part), "<u4").astype(np.int32))
-                    ends = np.cumsum([0] + [len(r) // 4 for r in part]).astype(np.int32)
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(docs[i : i + 256], pa.int64()),
-                            pa.ListArray.from_arrays(pa.array(ends), flat),
-                            pa.array(part, pa.binary()),
-                        ],
-                        names=["doc_id", "ids", "ids_le"],
-                    )
-
-    given = _blocks(docs, ranks).select("ids", "texts", "words", "fresh", folded.alias("encoded"))
-    return given.mapInArrow(rows, "doc_id bigint, ids array<int>, ids_le binary")
+                    flat, starts, lengths = none, none, none
+                # One of the two lists of a word is empty.
+                sizes = [numbers(x.values.value_lengths()) for x in (encoded, given)]
+                ids = [numbers(x.values.flatten()) for x in (encoded, given)]
+                places = [np.cumsum(n) - n for n in sizes]
+                begin = np.where(sizes[0] > 0, places[0], len(ids[0]) + places[1]) + len(flat)
+                flat = np.concatenate([flat, *ids])
+                starts = np.concatenate([starts, begin])
+                lengths = np.concatenate([lengths, sizes[0] + sizes[1]])
+
+                words, words_of = numbers(tokens.values), numbers(counts.values)
+                doc_ids, first = docs.values, np.concatenate([[0], np.cumsum(words_of)])
+                for i in range(0, len(words_of), 256):
+                    last = min(i + 256, len(words_of))
+                    part = words[first[i] : first[last]]
+                    n = lengths[part]
+                    ends = np.concatenate([[0], np.cumsum(n)])
+                    out = flat[np.repeat(starts[part] - ends[:-1], n) + np.arange(ends[-1])].astype("<i4")
+                    bounds = ends[first[i : last + 1] - first[i]].astype(np.int32)
+                    raw = out.tobytes()
+                    le = [raw[4 * a : 4 * b] for a, b in zip(bounds.tolist(), bounds[1:].tolist())]
+                    arrays = [
+                        doc_ids.slice(i, last - i),
+                        pa.ListArray.from_arrays(pa.array(bounds), pa.array(out)),
+                        pa.array(le, pa.binary()),
+                    ]
+                    yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "ids", "ids_le"])
+
+    blocks = _blocks(docs, ranks).select("ids", "counts", "tokens", "given", folded.alias("encoded"), "fresh")
+    return blocks.mapInArrow(rows, "doc_id bigint, ids array<int>, ids_le binary")
 
 
 def decoded(ids: Column, vocabulary: str = VOCABULARY) -> Column:
