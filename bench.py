@@ -14,6 +14,7 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
+from joblattice.plans import bindings  # noqa: E402
 from joblattice.plans.queries import QUERIES  # noqa: E402
 from joblattice.session import build_session  # noqa: E402
 
@@ -59,6 +60,8 @@ def main() -> None:
 
     first = {name: run(name) for name in HEADLINE}
     times = {name: run(name) for name in HEADLINE}
+    titles = bindings.listings(spark, sf_dir).select("title").distinct().count()
+    skill_lists = bindings.profiles(spark, sf_dir).select("skills").distinct().count()
     spark.stop()
     result = {
         "metric": "headline_queries_total",
@@ -66,6 +69,8 @@ def main() -> None:
         "unit": "sec",
         "queries": times,
         "first_run": first,
+        "distinct_titles": titles,
+        "distinct_skill_lists": skill_lists,
         "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf"),
     }
     print(json.dumps(result))
