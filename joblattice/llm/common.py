@@ -55,6 +55,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def broadcast_if_small(df: DataFrame, most_rows: int = 500_000) -> DataFrame:
+    """``df``, a stored table of one or two numbers a row, marked for broadcast if it has at
+    most ``most_rows`` rows; a larger one is left to a shuffled join."""
+    return F.broadcast(df) if df.count() <= most_rows else df
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A to Z only."""
     return F.translate(text, UPPER, UPPER.lower())

@@ -17,8 +17,7 @@ it down the diagonal and then along the last row.
 An index key with more than ``CROWD`` lines is not probed like that: its lines must also
 match in what lies beside the segment, within the edits that are left, and meet on
 segments of that rest. So a segment that many lines share costs rows, not pairs.
-Texts of distinct lines cross the network once for all segments and once more for
-the candidates; all else is hashes. What two candidates share at both ends is cut off
+Texts of distinct lines cross the network once and are stored; all else is hashes. What two candidates share at both ends is cut off
 before their distance is taken. No Python runs on the executors.
 
 Defined results: a null or empty text has no line; shorter lines always stay; a null id
@@ -34,7 +33,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from joblattice.llm.common import ascii_lower, documents, stored
+from joblattice.llm.common import ascii_lower, broadcast_if_small, documents, stored
 from joblattice.llm.simhash import components
 
 MIN_CHARS = 32
@@ -149,6 +148,7 @@ def candidates(distinct: DataFrame, edits: int = EDITS, crowd: int = CROWD) -> D
     pairs = _meet(index.join(crowded, "key", "left_anti"), probing.join(crowded, "key", "left_anti"))
     # Only lines of crowded keys are taken further with their texts.
     members = index.join(crowded, "key").select("lh").union(probing.join(crowded, "key").select("lh")).distinct()
+    members = broadcast_if_small(stored(members, "crowded-hashes"))
     members = stored(distinct.join(members, "lh", "left_semi"), "crowded-lines")
 
     def below(keys, *more: str) -> DataFrame:
@@ -260,10 +260,11 @@ def trimmed(a: Column, b: Column, keep: int = 4) -> Column:
 
 def links(found: DataFrame, edits: int = EDITS, crowd: int = CROWD) -> DataFrame:
     """Linked pairs (a, b), a > b, of distinct lines given as (lh, line)."""
-    distinct = found.groupBy("lh").agg(F.any_value("line").alias("line"))
+    # Read several times below: the distinct lines are cut, shuffled and stored once.
+    distinct = stored(found.groupBy("lh").agg(F.any_value("line").alias("line")), "distinct-lines")
     pairs = stored(candidates(distinct, edits, crowd), "line-candidates")
-    wanted = pairs.select(F.col("a").alias("lh")).union(pairs.select("b")).distinct()
-    texts = stored(distinct.join(wanted, "lh", "left_semi"), "line-texts")
+    wanted = stored(pairs.select(F.col("a").alias("lh")).union(pairs.select("b")).distinct(), "wanted-lines")
+    texts = stored(distinct.join(broadcast_if_small(wanted), "lh", "left_semi"), "line-texts")
     left = texts.select(F.col("lh").alias("a"), F.col("line").alias("line_a"))
     right = texts.select(F.col("lh").alias("b"), F.col("line").alias("line_b"))
     met = pairs.join(left, "a").join(right, "b")
