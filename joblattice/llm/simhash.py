@@ -204,13 +204,18 @@ def grouped(docs: DataFrame, width: int = SHINGLE, seed: int = SEED) -> DataFram
 
 
 def representatives(docs: DataFrame, width: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """The rows of ``docs`` without near-duplicates: one of each component stays.
+    """The rows of ``docs`` without near-duplicates: one of each component stays."""
+    return keep_first(docs, grouped(docs, width, seed))
+
+
+def keep_first(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """One row of ``docs`` for each ``root`` of ``groups`` (doc_id, h, root).
 
     It is the one of the least id (rows without id last, then by the hash of the text);
     of rows equal in id and text one stays.
     """
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")
-    first = grouped(docs, width, seed).groupBy("root").agg(F.min(rank).alias("r"))
+    first = groups.groupBy("root").agg(F.min(rank).alias("r"))
     first = first.select(F.col("r.doc_id").alias("_id"), F.col("r.h").alias("_h"))
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     given = docs.select(row.alias("row"), F.col("doc_id").cast("bigint").alias("id"), F.xxhash64("text").alias("h"))
