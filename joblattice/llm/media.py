@@ -4,8 +4,9 @@
 ``FRAME_ROWS`` rows, a grey palette in which sample i has colour i, so that the
 samples are the payload. ``read`` is a general decoder: it unpacks the LZW codes of
 every frame, applies local or global palettes, interlacing, transparency and
-disposal, and gives one row per picture with its frames, their delays, their samples and
-their colour histograms.
+disposal, and gives one row per picture with the raw samples of all frames and its frames:
+place, delay, time from the start, a digest of the whole screen as shown (RGBA) and
+histograms of red, green and blue over the pixels that the frame draws.
 
 Both work on one row at a time inside Arrow batches: no shuffle, and a task holds a
 few rows. A lost task repeats its rows.
@@ -17,6 +18,7 @@ bytes that are no GIF raise ValueError.
 
 from __future__ import annotations
 
+import hashlib
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -222,6 +224,14 @@ def read_gif(data: bytes) -> tuple[tuple[int, int], list[Frame]]:
     return (width, height), frames
 
 
+def _colours(frame: Frame) -> np.ndarray:
+    """RGBA of each of 256 samples; those beyond the palette are black."""
+    colours = np.zeros((256, 4), dtype=np.uint8)
+    colours[: len(frame.palette), :3] = frame.palette
+    colours[:, 3] = 255
+    return colours
+
+
 def rendered(screen: tuple[int, int], frames: list[Frame]) -> Iterator[np.ndarray]:
     """Each frame as shown: RGBA after transparency, over what the disposals have left."""
     width, height = screen
@@ -230,12 +240,12 @@ def rendered(screen: tuple[int, int], frames: list[Frame]) -> Iterator[np.ndarra
         before = canvas.copy() if f.disposal == PREVIOUS else None
         area = canvas[f.top : f.top + f.height, f.left : f.left + f.width]
         samples = f.samples[: area.shape[0], : area.shape[1]]
-        colours = np.zeros((256, 4), dtype=np.uint8)
-        colours[: len(f.palette), :3] = f.palette
-        colours[:, 3] = 255
-        shown = colours[samples]
-        drawn = np.ones(samples.shape, bool) if f.transparent is None else samples != f.transparent
-        area[drawn] = shown[drawn]
+        colours = _colours(f)
+        if f.transparent is None:
+            area[:] = colours[samples]
+        else:
+            drawn = samples != f.transparent
+            area[drawn] = colours[samples[drawn]]
         yield canvas.copy()
         if f.disposal == BACKGROUND:
             area[:] = 0
@@ -243,9 +253,18 @@ def rendered(screen: tuple[int, int], frames: list[Frame]) -> Iterator[np.ndarra
             canvas = before
 
 
-def histogram(samples: np.ndarray, bins: int = 16) -> list[int]:
-    """Samples in each of ``bins`` equal ranges of 0 to 255."""
-    return np.bincount(samples.ravel(), minlength=256).reshape(bins, -1).sum(1).tolist()
+def histograms(screen: tuple[int, int], frame: Frame, bins: int = 16) -> list[list[int]]:
+    """Drawn pixels in each of ``bins`` equal ranges of red, of green and of blue.
+
+    Transparent pixels and those outside the screen are not drawn.
+    """
+    width, height = screen
+    samples = frame.samples[: max(height - frame.top, 0), : max(width - frame.left, 0)]
+    counts = np.bincount(samples.ravel(), minlength=256)
+    if frame.transparent is not None:
+        counts[frame.transparent] = 0
+    places = _colours(frame)[:, :3] // (256 // bins)
+    return [np.bincount(p, weights=counts, minlength=bins).astype(np.int64).tolist() for p in places.T]
 
 
 def payload_of(text: str | None) -> tuple[int, bytes]:
@@ -257,7 +276,8 @@ def payload_of(text: str | None) -> tuple[int, bytes]:
 STORED = "doc_id bigint, n_bytes bigint, media binary"
 READ = (
     "doc_id bigint, n_bytes bigint, media binary, width int, height int, payload binary, "
-    "frames array<struct<left:int,top:int,width:int,height:int,delay:int,disposal:int,histogram:array<bigint>>>"
+    "frames array<struct<left:int,top:int,width:int,height:int,delay:int,disposal:int,time:bigint,"
+    "shown_sha256:binary,red:array<bigint>,green:array<bigint>,blue:array<bigint>>>"
 )
 
 
@@ -283,7 +303,30 @@ def store(docs: DataFrame) -> DataFrame:
 
 
 def read(media: DataFrame) -> DataFrame:
-    """``media`` with what its GIFs hold: screen size, samples of all frames, and frames."""
+    """``media`` with what its GIFs hold: screen size, samples of all frames, and frames.
+
+    ``time`` and ``delay`` are hundredths of a second; ``shown_sha256`` is of the RGBA rows of
+    the screen while the frame is shown.
+    """
+
+    def timed(screen: tuple[int, int], frames: list[Frame]) -> Iterator[dict]:
+        time = 0
+        for f, shown in zip(frames, rendered(screen, frames), strict=True):
+            red, green, blue = histograms(screen, f)
+            yield {
+                "left": f.left,
+                "top": f.top,
+                "width": f.width,
+                "height": f.height,
+                "delay": f.delay,
+                "disposal": f.disposal,
+                "time": time,
+                "shown_sha256": hashlib.sha256(shown).digest(),
+                "red": red,
+                "green": green,
+                "blue": blue,
+            }
+            time += f.delay
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -294,24 +337,12 @@ def read(media: DataFrame) -> DataFrame:
                     screen, shown = read_gif(item.as_py())
                     sizes.append(screen)
                     payloads.append(b"".join([f.samples.tobytes() for f in shown]))
-                    frames.append(
-                        [
-                            {
-                                "left": f.left,
-                                "top": f.top,
-                                "width": f.width,
-                                "height": f.height,
-                                "delay": f.delay,
-                                "disposal": f.disposal,
-                                "histogram": histogram(f.palette[f.samples][..., 1]),
-                            }
-                            for f in shown
-                        ]
-                    )
+                    frames.append(list(timed(screen, shown)))
                 kind = pa.list_(
                     pa.struct(
                         [(n, pa.int32()) for n in ("left", "top", "width", "height", "delay", "disposal")]
-                        + [("histogram", pa.list_(pa.int64()))]
+                        + [("time", pa.int64()), ("shown_sha256", pa.binary())]
+                        + [(n, pa.list_(pa.int64())) for n in ("red", "green", "blue")]
                     )
                 )
                 yield pa.RecordBatch.from_arrays(
@@ -333,7 +364,8 @@ def op9_gif_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     sums = F.aggregate(
         "frames",
         F.array_repeat(F.lit(0).cast("bigint"), 16),
-        lambda s, f: F.zip_with(s, f["histogram"], lambda a, b: a + b),
+        # Grey pictures: the three channels are equal.
+        lambda s, f: F.zip_with(s, f["green"], lambda a, b: a + b),
     )
     return found.select(
         "doc_id",

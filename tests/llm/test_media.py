@@ -91,3 +91,39 @@ def test_odd_rows(spark):
     assert sorted(len(r.payload) for r in rows) == [64, 64, 64, 400_000]
     assert len({r.media for r in rows}) == 2
     assert media.read(media.store(docs.limit(0))).count() == 0
+
+
+def animated():
+    """Four frames of 2 x 1 in black, red, green and blue, the second partly transparent, then cleared."""
+
+    def frame(samples, disposal, delay, clear=None, left=0):
+        codes = [c for s in samples for c in (4, s)] + [5]
+        bits = "".join(format(c, "03b")[::-1] for c in codes)
+        bits += "0" * (-len(bits) % 8)
+        data = bytes(int(bits[i : i + 8][::-1], 2) for i in range(0, len(bits), 8))
+        control = struct.pack("<BHB", disposal << 2 | (clear is not None), delay, clear or 0)
+        place = struct.pack("<HHHHB", left, 0, len(samples), 1, 0)
+        return b"\x21\xf9\x04" + control + b"\0\x2c" + place + bytes([2, len(data)]) + data + b"\0"
+
+    palette = bytes([0, 0, 0, 255, 0, 0, 0, 255, 0, 0, 0, 255])
+    frames = [
+        frame([1, 2], media.KEEP, 5),
+        frame([3, 0], media.BACKGROUND, 7, clear=0),
+        frame([0, 3], media.PREVIOUS, 9, clear=0),
+        frame([2, 2], media.KEEP, 1, left=1),
+    ]
+    return b"GIF89a" + struct.pack("<HHBBB", 2, 1, 0x81, 0, 0) + palette + b"".join(frames) + b"\x3b"
+
+
+def test_read_shows_frames(spark):
+    df = spark.createDataFrame([(1, 0, animated())], "doc_id bigint, n_bytes bigint, media binary")
+    (row,) = media.read(df).collect()
+    none, red, green, blue = bytes(4), b"\xff\0\0\xff", b"\0\xff\0\xff", b"\0\0\xff\xff"
+    # The second frame clears the whole screen, the third is taken back, the last is cut at the edge.
+    shown = [red + green, blue + green, none + blue, none + green]
+    assert bytes(row.payload) == bytes([1, 2, 3, 0, 0, 3, 2, 2])
+    assert [bytes(f.shown_sha256) for f in row.frames] == [hashlib.sha256(s).digest() for s in shown]
+    assert [(f.time, f.delay) for f in row.frames] == [(0, 5), (5, 7), (12, 9), (21, 1)]
+    # Drawn pixels without and with the colour, of red, green and blue.
+    ends = [[(c[0], c[15]) for c in (f.red, f.green, f.blue)] for f in row.frames]
+    assert ends == [[(1, 1), (1, 1), (2, 0)], [(1, 0), (1, 0), (0, 1)], [(1, 0), (1, 0), (0, 1)], [(1, 0), (0, 1), (1, 0)]]
