@@ -273,8 +273,16 @@ def links(found: DataFrame, edits: int = EDITS, crowd: int = CROWD) -> DataFrame
     return met.where(banded_distance(F.col("t.a"), F.col("t.b"), edits) <= edits).select("a", "b")
 
 
-def removals(docs: DataFrame, edits: int = EDITS) -> DataFrame:
-    """Per document (id, h): n_lines, class_links, classes, and ``removed`` places, sorted."""
+def _rank() -> Column:
+    return F.struct(F.col("id").isNull().alias("none"), "id", "h", "place")
+
+
+def classed(docs: DataFrame, edits: int = EDITS) -> DataFrame:
+    """(id, h, place, lh, n_links, first) of every line that is compared.
+
+    ``n_links`` counts the distinct lines within the edits; ``first`` is the earliest
+    occurrence of the line's class and names it.
+    """
     found = lines(docs)
     # Hashes and places only: the texts of all lines are not stored.
     places = stored(found.select("lh", "id", "h", "place"), "line-places")
@@ -283,18 +291,23 @@ def removals(docs: DataFrame, edits: int = EDITS) -> DataFrame:
     degree = (
         edges.select(F.explode(F.array("a", "b")).alias("lh")).groupBy("lh").agg(F.count("*").alias("n_links"))
     )
-    rank = F.struct(F.col("id").isNull().alias("none"), "id", "h", "place")
-    per_line = places.groupBy("lh").agg(F.min(rank).alias("first"))
+    per_line = places.groupBy("lh").agg(F.min(_rank()).alias("first"))
     rooted = per_line.join(roots, per_line["lh"] == roots["node"], "left").select(
         "lh", "first", F.coalesce("root", "lh").alias("root")
     )
     firsts = rooted.groupBy("root").agg(F.min("first").alias("first"))
-    classed = rooted.drop("first").join(firsts, "root").join(degree, "lh", "left")
-    judged = places.join(classed, "lh")
-    return judged.groupBy("id", "h").agg(
+    of_line = rooted.drop("first").join(firsts, "root").join(degree, "lh", "left")
+    return places.join(of_line, "lh").select(
+        "id", "h", "place", "lh", F.coalesce("n_links", F.lit(0)).alias("n_links"), "first"
+    )
+
+
+def removals(docs: DataFrame, edits: int = EDITS) -> DataFrame:
+    """Per document (id, h): n_lines, n_links, and ``removed`` places, sorted."""
+    return classed(docs, edits).groupBy("id", "h").agg(
         F.count_distinct("place").alias("n_lines"),
-        F.sum(F.coalesce("n_links", F.lit(0))).alias("n_links"),
-        F.array_sort(F.collect_set(F.when(rank != F.col("first"), F.col("place")))).alias("removed"),
+        F.sum("n_links").alias("n_links"),
+        F.array_sort(F.collect_set(F.when(_rank() != F.col("first"), F.col("place")))).alias("removed"),
     )
 
 
@@ -331,6 +344,18 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_line_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per compared line: its place, its class by document and place of the earliest
+    occurrence, and the number of distinct lines it is linked to."""
+    return classed(documents(spark, sf_dir).select("doc_id", "text")).select(
+        F.col("id").alias("doc_id"),
+        F.col("place").cast("bigint").alias("place"),
+        F.col("first.id").alias("class_doc"),
+        F.col("first.place").cast("bigint").alias("class_place"),
+        "n_links",
+    )
+
+
 SQL = r"""
 WITH RECURSIVE cut AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS raw,
@@ -356,3 +381,14 @@ SELECT doc_id, count(place) AS n_lines, count(*) FILTER (WHERE again) AS n_remov
   coalesce(string_agg(CAST(place AS VARCHAR), ',' ORDER BY place) FILTER (WHERE again), '') AS removed_lines
 FROM documents LEFT JOIN ranked USING (doc_id) GROUP BY doc_id
 """
+
+# The first tables are those of SQL.
+CLASSES_SQL = (
+    SQL[: SQL.index("ranked AS (")]
+    + r"""degrees AS (SELECT a AS node, count(*) AS n_links FROM two_way GROUP BY a)
+SELECT doc_id, place, first_value(doc_id) OVER class AS class_doc, first_value(place) OVER class AS class_place,
+  coalesce(n_links, 0) AS n_links
+FROM lines JOIN nodes USING (line) JOIN classes USING (node) LEFT JOIN degrees USING (node)
+WINDOW class AS (PARTITION BY root ORDER BY doc_id, place)
+"""
+)

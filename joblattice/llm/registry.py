@@ -13,6 +13,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": packing.op1_packing,
     "op2_quality_rules": quality_rules.op2_quality_rules,
     "op3_line_dedup": line_dedup.op3_line_dedup,
+    "op3_line_classes": line_dedup.op3_line_classes,
     "op4_byte_bpe": byte_bpe.op4_byte_bpe,
     "op5_simhash": simhash.op5_simhash,
     "op6_suffix_dedup": suffix_dedup.op6_suffix_dedup,
@@ -26,6 +27,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op2_quality_rules": quality_rules.SQL,
     "op3_line_dedup": line_dedup.SQL,
+    "op3_line_classes": line_dedup.CLASSES_SQL,
     "op7_license_scan": licenses.SQL,
     "op8_substring_dedup": substring_dedup.SQL,
 }

@@ -2,6 +2,7 @@
 
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -76,3 +77,22 @@ def test_earliest_of_a_class_stays(spark):
     assert got[6, rows[6][1]] == ("x" * 30_000, [1])
     assert got[7, rows[7][1]] == (rows[7][1], [])
     assert line_dedup.dedup(docs.limit(0)).count() == 0
+
+
+def test_classes_and_links_of_lines(spark):
+    rows = [(3, f"{LINE} one\nshort"), (1, f"first\n{LINE.upper()}"), (2, f"{LINE}s\n{LINE[1:]} "), (4, f"{LINE}s"), (5, "y" * 40)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {(r.id, r.place): ((r.first.id, r.first.place), r.n_links) for r in line_dedup.classed(docs).collect()}
+    # The first line is within two edits of two others, which are three apart; 2 and 4 share one.
+    one = (1, 1)
+    assert got == {(1, 1): (one, 2), (2, 0): (one, 1), (2, 1): (one, 1), (4, 0): (one, 1), (3, 0): ((3, 0), 0), (5, 0): ((5, 0), 0)}
+    assert line_dedup.classed(docs.limit(0)).count() == 0
+
+
+def test_classes_query_equals_its_sql(spark, sf):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    expected = con.sql(line_dedup.CLASSES_SQL)
+    found = line_dedup.op3_line_classes(spark, sf)
+    assert found.columns == expected.columns
+    assert sorted(map(tuple, found.collect())) == sorted(expected.fetchall())
