@@ -1,0 +1,111 @@
+"""Importance resampling against a plain recomputation."""
+
+import hashlib
+import math
+import random
+import re
+import zlib
+
+import pytest
+from pyspark.sql import functions as F
+
+from joblattice.llm import resampling
+
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def words(text):
+    return WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+
+
+def features(text, run):
+    found = words(text)
+    return [" ".join(found[i : i + n]) for n in range(1, run + 1) for i in range(len(found) - n + 1)]
+
+
+def plain(docs, target, percent=10, least=20, run=1):
+    """docs: (doc_id, text) with distinct ids; {id: (features, weight, score, rank)}."""
+    bucket = lambda f: zlib.crc32(f.encode()) % 10_000
+    counts = [{}, {}]
+    for side, texts in zip(counts, ([t for _, t in docs], target)):
+        for text in texts:
+            for f in features(text, run):
+                side[bucket(f)] = side.get(bucket(f), 0) + 1
+    s, t = counts
+    all_s, all_t = sum(s.values()), sum(t.values())
+    gain = lambda b: math.floor(1000 * math.log((t.get(b, 0) + 1) * (all_s + 10_000) / ((s.get(b, 0) + 1) * (all_t + 10_000))))
+    out = {}
+    for doc, text in docs:
+        found = features(text, run)
+        weight = sum(gain(bucket(f)) for f in found)
+        h = int(hashlib.sha256(f"2024:{'' if doc is None else doc}".encode()).hexdigest()[:8], 16)
+        out[doc] = [len(found), weight, weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296))), None]
+    able = [d for d, text in docs if len(words(text)) >= least]
+    able.sort(key=lambda d: (-out[d][2], d is None, d or 0))
+    for rank, d in enumerate(able[: percent * len(able) // 100], 1):
+        out[d][3] = rank
+    return {d: tuple(v) for d, v in out.items()}
+
+
+def found(df):
+    return {r.doc_id: (r.n_features, r.weight, r.score, r["rank"]) for r in df.collect()}
+
+
+def test_given_documents(spark, sf):
+    docs = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
+    target = [r.text for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    expected = plain(docs, target)
+    assert sum(v[3] is not None for v in expected.values()) > 5
+    assert found(resampling.op12_importance_resampling(spark, sf)) == expected
+
+
+def test_odd_rows_and_pairs_of_words(spark):
+    rng = random.Random(3)
+    vocabulary = ["straße", "Ünï", "x1", "foo", "BAR", "日本", "a"]
+    text = lambda n: " -.\t".join(rng.choice(vocabulary) for _ in range(n))
+    docs = [(i, text(rng.randint(0, 60))) for i in range(60)]
+    docs += [(100, None), (101, ""), (102, "\x00 !"), (103, "foo " * 40_000), (None, text(30)), (-4, text(30))]
+    target = ["foo bar a", None, "", "日本 x1"]
+    df = spark.createDataFrame([(*d, 1, 2) for d in docs], "doc_id bigint, text string, score int, rank int")
+    want = spark.createDataFrame([(t,) for t in target], "text string")
+    for run, percent in ((1, 10), (2, 50), (1, 100)):
+        got = found(resampling.resample(df, want, percent, 20, run, pivots=3))
+        assert got == plain(docs, target, percent, 20, run)
+
+
+def test_empty_tables(spark):
+    docs = spark.createDataFrame([(1, "a " * 30), (2, "b " * 30)], "doc_id bigint, text string")
+    none = docs.limit(0)
+    assert resampling.resample(none, docs).count() == 0
+    got = found(resampling.resample(docs, none, percent=50))
+    assert got == plain([(1, "a " * 30), (2, "b " * 30)], [], percent=50)
+
+
+def test_repeated_rows_and_ties(spark):
+    rows = [(7, "a " * 30)] * 25 + [(7, "a " * 29 + "b")] * 25 + [(8, "a " * 30)] * 3
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = resampling.resample(df, df.limit(0), percent=60, pivots=2).collect()
+    assert len(got) == 53
+    drawn = sorted((r for r in got if r["rank"]), key=lambda r: r["rank"])
+    assert [r["rank"] for r in drawn] == list(range(1, 32))
+    order = [(-r.score, r.doc_id, r.h) for r in drawn]
+    assert order == sorted((-r.score, r.doc_id, r.h) for r in got)[:31]
+
+
+@pytest.mark.parametrize("pivots", [1, 4])
+def test_quickselect_finds_every_place(spark, pivots):
+    rng = random.Random(pivots)
+    rows = [(rng.randint(0, 3), rng.choice([None, 1, 2, -5]), rng.randint(0, 1), i) for i in range(30)]
+    df = spark.createDataFrame(rows, "score bigint, doc_id bigint, h bigint, number bigint")
+    keys = sorted(((-s, d is None, d, h, n) for s, d, h, n in rows), key=lambda k: (k[0], k[1], k[2] or 0, k[3], k[4]))
+    for k in (1, 2, 15, 29, 30):
+        assert resampling.kth_key(df, k, pivots) == keys[k - 1]
+
+
+def test_ranks_over_many_parts(spark):
+    df = spark.range(5000).select(
+        (F.col("id") % 70).alias("score"), F.col("id").alias("doc_id"), F.lit(0).cast("bigint").alias("h"), F.col("id").alias("number")
+    )
+    got = resampling.ranked(df.repartition(7)).orderBy("rank").collect()
+    assert [r["rank"] for r in got] == list(range(1, 5001))
+    assert [(r.score, r.doc_id) for r in got] == sorted(((r.score, r.doc_id) for r in got), key=lambda x: (-x[0], x[1]))
