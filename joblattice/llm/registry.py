@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from joblattice.llm import byte_bpe, licenses, line_dedup, media, packing, quality_classifier, quality_rules, resampling, simhash, substring_dedup, suffix_dedup, topk_search
+from joblattice.llm import byte_bpe, licenses, line_dedup, media, packing, prefix_trie, quality_classifier, quality_rules, resampling, simhash, substring_dedup, suffix_dedup, topk_search
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": packing.op1_packing,
@@ -21,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring_dedup": substring_dedup.op8_substring_dedup,
     "op9_gif_columns": media.op9_gif_columns,
     "op10_quality_classifier": quality_classifier.op10_quality_classifier,
+    "op11_prefix_trie": prefix_trie.op11_prefix_trie,
     "op12_importance_resampling": resampling.op12_importance_resampling,
     "op13_topk_search": topk_search.op13_topk_search,
     "pipeline": corpus_pipeline.run,
@@ -32,6 +33,7 @@ ORACLES: dict[str, str] = {
     "op3_line_classes": line_dedup.CLASSES_SQL,
     "op7_license_scan": licenses.SQL,
     "op8_substring_dedup": substring_dedup.SQL,
+    "op11_prefix_trie": prefix_trie.SQL,
     "op12_importance_resampling": resampling.SQL,
     "op13_topk_search": topk_search.SQL,
 }
