@@ -39,4 +39,7 @@ SALT_BUCKETS = 16
 # Longest piece of a saved search term that is used as its lookup key.
 GRAM_LENGTH = 4
 
+# Folders of the table of alerts sent, by a hash of the listing.
+ALERT_BUCKETS = 64
+
 SECRET_CONF = "spark.joblattice.secret.key"
