@@ -317,6 +317,7 @@ ORACLES: dict[str, str] = {
 }
 
 ORACLES |= {
+    "listings_store": ORACLES["listings_refresh"],
     "stream_intake": _with("R", """
         SELECT 'payload' AS kind, payload AS content FROM R WHERE status = 200
         UNION ALL SELECT 'reject', CAST(event_id AS VARCHAR) || CASE status WHEN 400 THEN ' 400 Missing required fields'

@@ -18,7 +18,7 @@ from joblattice.operators import alerts, dashboard, filters, intake, matching, s
 from joblattice.plans import bindings as b
 from joblattice.session import apply_settings, shared_folder
 from joblattice.sources import listings as boards
-from joblattice.sources import tables
+from joblattice.sources import store, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -67,8 +67,8 @@ def listings_union(spark, sf):
     return boards.union_boards(parts)
 
 
-@query
-def listings_refresh(spark, sf):
+def _pulls(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Stored listings and two pulls."""
     old = b.listings(spark, sf).select("id_num", "title", "posted_on", "score")
     # Pulls that are newer, of the same date and older; some listings come twice.
     days = (F.floor(F.col("id_num") / 3) % 3).cast("int") - 1
@@ -78,9 +78,26 @@ def listings_refresh(spark, sf):
     second = first.where(F.col("id_num") % 5 == 0).withColumns(
         {"posted_on": F.date_add("posted_on", -1), "score": F.lit(7)}
     )
+    return old, first, second
+
+
+@query
+def listings_refresh(spark, sf):
+    old, first, second = _pulls(spark, sf)
     return boards.refresh(old, first.unionByName(second))
 
 
+@query
+def listings_store(spark, sf):
+    """Listings stored in buckets of their id and refreshed by two pulls."""
+    path = _shared_path(spark, "listing-store")
+    old, first, second = _pulls(spark, sf)
+    store.create(old, path, buckets=8)
+    for pull in (first, second):
+        store.refresh(spark, path, pull)
+    return store.read(spark, path)
+
+
 @query
 def page_extract(spark, sf):
     return boards.extract_pages(b.table(spark, sf, "pages"))
