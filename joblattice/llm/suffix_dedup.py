@@ -1,7 +1,7 @@
 """Suffix-array dedup: bytes of repeated 100-byte strings go (operator 6).
 
 A byte is removed if a ``LENGTH``-byte string that covers it also starts earlier: in a
-document of smaller rank (id, then a hash of its text) or earlier in its own.
+document of smaller rank (id, then a 64-bit hash of its text) or earlier in its own.
 
 All suffixes of a large table cannot be sorted in one place, so strings first choose who
 meets. Each 100-byte string has an anchor: the first least hash of its ``GRAM``-byte
@@ -211,7 +211,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return given.select(
         "row",
         F.coalesce(F.col("row.doc_id").cast("bigint"), F.lit(2**63 - 1)).alias("did"),
-        F.hash(F.col("row.doc_id").isNull(), "row.text").alias("h"),
+        F.xxhash64(F.col("row.doc_id").isNull(), "row.text", F.octet_length("row.text")).alias("h"),
         F.col("row.text").cast("string").alias("text"),
     )
 
@@ -232,7 +232,7 @@ def runs(keyed: DataFrame) -> DataFrame:
             part = np.searchsorted(firsts, first, side="right") - 1
             column = lambda i, kind: np.asarray([p[i] for p in parts], dtype=kind)[part]
             start = first - firsts[part] + column(2, np.int64)
-            arrays = [ah.view(np.int64), th.view(np.int64), column(0, np.int64), column(1, np.int32)]
+            arrays = [ah.view(np.int64), th.view(np.int64), column(0, np.int64), column(1, np.int64)]
             arrays += [start.astype(np.int32), count.astype(np.int32)]
             return pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], names=names)
 
@@ -251,7 +251,7 @@ def runs(keyed: DataFrame) -> DataFrame:
             yield out(parts)
 
     return keyed.select("did", "h", "text").mapInArrow(
-        rows, "ah bigint, th bigint, did bigint, h int, start int, n int"
+        rows, "ah bigint, th bigint, did bigint, h bigint, start int, n int"
     )
 
 
@@ -263,7 +263,7 @@ def _texts(keyed: DataFrame, wanted: DataFrame) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["ah", "crowd", "sub", "did", "h", "start", "run"]
-        kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+        kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
 
         def out(found: list[tuple]) -> pa.RecordBatch:
             columns = zip(*found, strict=True)
@@ -292,7 +292,7 @@ def _texts(keyed: DataFrame, wanted: DataFrame) -> DataFrame:
     # All columns pass, so that this reads the exchange that the last join reads too.
     joined = keyed.join(per_doc, ["did", "h"]).select("row", "did", "h", "text", "runs")
     return joined.mapInArrow(
-        rows, "ah bigint, crowd boolean, sub bigint, did bigint, h int, start int, run binary"
+        rows, "ah bigint, crowd boolean, sub bigint, did bigint, h bigint, start int, run binary"
     )
 
 
@@ -305,7 +305,7 @@ def _sorted_repeats(texts: DataFrame) -> DataFrame:
             found = [(*ranks[t][:2], ranks[t][2] + i) for t, i in repeated_starts([g[4] for g in group], ranks)]
             if found:
                 did, h, start = zip(*found, strict=True)
-                arrays = [pa.array(did, pa.int64()), pa.array(h, pa.int32()), pa.array(start, pa.int32())]
+                arrays = [pa.array(did, pa.int64()), pa.array(h, pa.int64()), pa.array(start, pa.int32())]
                 arrays.append(pa.array([s + LENGTH for s in start], pa.int32()))
                 yield pa.RecordBatch.from_arrays(arrays, names=["did", "h", "start", "end"])
 
@@ -322,7 +322,7 @@ def _sorted_repeats(texts: DataFrame) -> DataFrame:
 
     dealt = texts.where(~F.col("crowd")).select("ah", "did", "h", "start", "run")
     dealt = dealt.repartition("ah").sortWithinPartitions("ah")
-    return dealt.mapInArrow(rows, "did bigint, h int, start int, end int")
+    return dealt.mapInArrow(rows, "did bigint, h bigint, start int, end int")
 
 
 def repeats(keyed: DataFrame, crowd: int = CROWD) -> DataFrame:

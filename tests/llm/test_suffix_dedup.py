@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from joblattice.llm import suffix_dedup as suffix
 
@@ -78,3 +79,18 @@ def test_suffix_array(seed):
         a, b = data[order[k - 1] :], data[order[k] :]
         n = shared[k]
         assert a[:n] == b[:n] and (n in (len(a), len(b)) or a[n] != b[n])
+
+
+def test_rows_without_id_and_repeated_ids_are_told_apart(spark):
+    """Two texts whose 32-bit hashes agree: one loses all to a copy, the other nothing."""
+    rng = random.Random(4)
+    texts = spark.range(300_000).selectExpr("id", "repeat(sha2(cast(id as string), 256), 3) text")
+    pairs = texts.selectExpr("hash(true, text) a", "hash(false, text) b", "text")
+    for name, given in (("a", None), ("b", 7)):
+        one, other = pairs.groupBy(name).agg(F.collect_list("text").alias("texts")).where("size(texts) > 1").first()["texts"][:2]
+        rows = [(1, one), (given, one), (given, other), (given, "".join(rng.choice("abc") for _ in range(500)))]
+        found = suffix.dedup(spark.createDataFrame(rows, "doc_id bigint, text string"))
+        lost = {(r.row.doc_id, r.row.text): r.n_bytes - len(r.kept) for r in found.collect()}
+        # 64 hex digits three times over: the second and third copy of the unit repeat it
+        assert lost[(given, one)] == len(one)
+        assert lost[(given, other)] == lost[(1, one)] < len(other)
