@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from joblattice.llm.common import documents, ship, stored
+from joblattice.llm.common import documents, kept_by_worker, ship, stored
 
 LENGTH = 100
 GRAM = 24
@@ -183,6 +183,7 @@ def repeated_starts(texts: list[bytes], ranks: list[tuple]) -> list[tuple[int, i
     ``ranks[i]`` is the rank of the first byte of text i, a tuple whose last part is
     the byte's place.
     """
+    texts, ranks, whose, offset = _stretches(texts, ranks)
     data = b"\xff".join(texts)  # no UTF-8 text holds this byte
     firsts = np.cumsum([0] + [len(t) + 1 for t in texts])
     order = np.asarray(suffix_array(data))
@@ -199,11 +200,44 @@ def repeated_starts(texts: list[bytes], ranks: list[tuple]) -> list[tuple[int, i
         if e - k > 1:
             group = [((*ranks[text[j]][:-1], ranks[text[j]][-1] + inside[j]), text[j], inside[j]) for j in range(k, e)]
             least = min(group)[0]
-            out += [(t, i) for r, t, i in group if r != least]
+            out += [(whose[t], offset[t] + i) for r, t, i in group if r != least]
         k = e
     return out
 
 
+def _stretches(texts: list[bytes], ranks: list[tuple]) -> tuple[list[bytes], list[tuple], list[int], list[int]]:
+    """The parts of the texts that hold strings which may be repeated: (parts, ranks of their
+    first bytes, their texts, their places there).
+
+    A string whose hash no other has is not repeated and need not be sorted.
+    """
+    data = np.frombuffer(b"".join(texts), dtype=np.uint8)
+    hasher = kept_by_worker("suffix_hasher", lambda: Hasher(4 * PART))
+    if len(data) > len(hasher.up):
+        hasher = Hasher(len(data))
+    sizes = np.array([len(t) for t in texts], dtype=np.int64)
+    ends = np.repeat(np.cumsum(sizes), sizes)
+    at = np.arange(max(len(data) - LENGTH + 1, 0))
+    at = at[at + LENGTH <= ends[: len(at)]]
+    hashes = hasher.pieces(hasher.sums(data), at, at + LENGTH)
+    _, place, count = np.unique(hashes, return_inverse=True, return_counts=True)
+    at = at[count[place] > 1]
+    if not len(at):
+        return [], [], [], []
+    text = np.searchsorted(np.cumsum(sizes), at, side="right")
+    new = np.flatnonzero(np.concatenate([[True], (np.diff(at) != 1) | (np.diff(text) != 0)]))
+    firsts = np.cumsum(sizes) - sizes
+    out: tuple[list, list, list, list] = ([], [], [], [])
+    for first, last in zip(at[new].tolist(), at[np.append(new[1:], len(at)) - 1].tolist(), strict=True):
+        t = int(np.searchsorted(firsts, first, side="right")) - 1
+        start = first - int(firsts[t])
+        out[0].append(texts[t][start : start + last - first + LENGTH])
+        out[1].append((*ranks[t][:-1], ranks[t][-1] + start))
+        out[2].append(t)
+        out[3].append(start)
+    return out
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
     """(row, did, h, text): did and h name a document; a null id ranks last."""
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
@@ -301,6 +335,8 @@ def _sorted_repeats(texts: DataFrame) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(group: list[tuple]) -> Iterator[pa.RecordBatch]:
+            # Texts of several groups are told apart by their anchors only in that equal strings
+            # have equal anchors, so one array serves them all.
             ranks = [(did, h, start) for _, did, h, start, _ in group]
             found = [(*ranks[t][:2], ranks[t][2] + i) for t, i in repeated_starts([g[4] for g in group], ranks)]
             if found:
