@@ -4,14 +4,15 @@ A naive join of profiles and listings on (field, place) grows with users times
 listings, and one key (all remote listings of a field) may hold a third of all
 rows. The jobs here never build that product. They use these facts:
 
-* The score of a pair depends on few values of each side. Listings that agree
-  in field, place, work mode, band and title words form a *class* and score
-  equal for every profile. A class is cut to its count, or to its k newest
+* The score of a pair depends on few values of each side. Of a title only the skill
+  phrases of the profiles that it holds count: each distinct title is scanned once for
+  them. Listings that agree in field, place, work mode, band and held phrases form a
+  *class* and score equal for every profile. A class is cut to its count, or to its k newest
   listings, before anything is joined; both are map-side reductions.
-* The skills part of a score depends on the distinct title and on the distinct
-  skill list (the *interest*) only. Most pairs of them share a single word, and
-  one-hit listings are found word by word, without forming such pairs. Pairs with two
-  hits or more meet on two words at once, so every pair formed has them.
+* The skills part of a score depends on the set of phrases held (called title below) and
+  on the distinct skill list (the *interest*) only. Most pairs of them share a single phrase,
+  and one-hit listings are found phrase by phrase, without forming such pairs. Pairs with
+  two hits or more meet on two phrases at once, so every pair formed has them.
 * Per interest, listings equal in place, mode, band and number of hits form a
   *cell* and again score equal, so k of them are enough.
 * Profiles equal in all scored values share one *signature*: it is scored and
@@ -36,12 +37,13 @@ from pyspark.sql import functions as F
 from joblattice.config import MATCH, MatchSettings
 from joblattice.functions import fixed_values as fixed
 from joblattice.functions.dimensions import experience_band
-from joblattice.functions.listing import title_tokens
+from joblattice.functions.listing import phrase, runs_of, words
 
 ANYWHERE = "*"
 NO_BAND = -9
 NO_MODE = "?"
 TWO = "two or more"
+BETWEEN = "\n"  # parts the phrases of a title; no word holds it
 
 PARTS = ["skill_points", "experience_points", "location_points", "score"]
 
@@ -62,13 +64,13 @@ def profile_places(work_preference: Column, country: Column) -> Column:
     )
 
 
-def _listing_side(listings: DataFrame, scope: Sequence[str]) -> DataFrame:
-    """``title`` becomes the sorted set of its words, as one text.
+def _listing_side(listings: DataFrame, scope: Sequence[str], interests: DataFrame) -> DataFrame:
+    """``title`` becomes the sorted set of the skill phrases it holds, as one text.
 
     Rows that can match nothing are dropped here, in one place: filters the
     optimizer adds to single branches would keep them from sharing a shuffle.
     """
-    return listings.select(
+    rows = listings.select(
         "id_num",
         "posted_on",
         *scope,
@@ -77,16 +79,43 @@ def _listing_side(listings: DataFrame, scope: Sequence[str]) -> DataFrame:
         # Classes are joined on it, so it is never null; no preference reads like this.
         F.coalesce("work_mode", F.lit(NO_MODE)).alias("work_mode"),
         F.coalesce(F.col("band").try_cast("int"), F.lit(NO_BAND)).alias("band"),
-        F.array_join(title_tokens(F.col("title")), " ").alias("title"),
-    ).where("title <> '' AND field IS NOT NULL AND place IS NOT NULL")
+        F.col("title").alias("text"),
+    ).where("text IS NOT NULL AND field IS NOT NULL AND place IS NOT NULL")
+    held = held_phrases(rows.select("text").distinct(), skill_phrases(interests))
+    return rows.join(held, "text").drop("text")
+
+
+def skill_phrases(interests: DataFrame) -> DataFrame:
+    """The dictionary: every ``phrase`` that some interest holds."""
+    return interests.select(F.explode("skills").alias("phrase")).distinct().where("phrase <> ''")
+
+
+def held_phrases(texts: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """(text, title): the dictionary's phrases that stand in a text as consecutive words,
+    sorted and joined; texts that hold none are left out.
+
+    Every phrase counts, also one inside a longer one, so that what a profile matches does
+    not depend on the skills of others. Runs of words are cut no longer than the longest
+    phrase of the dictionary.
+    """
+    longest = dictionary.agg(F.max(F.size(F.split("phrase", " ")))).scalar()
+    cut = texts.select("text", words(F.col("text")).alias("words"), F.sequence(F.lit(1), longest).alias("sizes"))
+    sized = cut.select("text", "words", F.explode("sizes").alias("n"))
+    runs = sized.select("text", F.explode(runs_of(F.col("words"), F.col("n"))).alias("phrase"))
+    found = runs.join(dictionary, "phrase").groupBy("text").agg(F.collect_set("phrase").alias("held"))
+    return found.select("text", F.array_join(F.sort_array("held"), BETWEEN).alias("title"))
+
+
+def _held(title: str = "title") -> Column:
+    return F.split(title, BETWEEN)
 
 
 def _profile_side(
     profiles: DataFrame, scope: Sequence[str], keep: Sequence[str] = ()
 ) -> DataFrame:
-    """``interest`` is the lower-case skill set as JSON text: one short key."""
+    """``interest`` is the set of skill phrases as JSON text: one short key."""
     # As for listings, rows that match nothing are dropped in one place.
-    skills = F.array_sort(F.array_distinct(F.transform("skills", lambda s: F.lower(s))))
+    skills = F.array_sort(F.array_distinct(F.transform("skills", phrase)))
     return profiles.where(F.size("skills") > 0).select(
         "user_id",
         *scope,
@@ -144,7 +173,7 @@ def _interests(side: DataFrame, scope: Sequence[str]) -> DataFrame:
 def _rare_first(interests: DataFrame, titles: DataFrame) -> DataFrame:
     """Order the skills by how many titles hold them, rarest first."""
     seen = (
-        titles.select(F.explode(F.split("title", " ")).alias("word"))
+        titles.select(F.explode(_held()).alias("word"))
         .groupBy("word")
         .agg(F.count("*").alias("n"))
     )
@@ -170,16 +199,16 @@ def _meet(
     arrives once for each, and only the arrival on the first is kept, so no
     aggregate follows the join. Where one hit is enough single words do the same.
     """
-    words = F.split("title", " ")
-    hits = F.size(F.array_intersect("skills", words))
+    held = _held()
+    hits = F.size(F.array_intersect("skills", held))
     columns = [*scope, "field", "title", "interest", "n_skills", hits.alias("hits")]
 
     def first(probe: Column, i: int) -> Column:
-        return F.get(F.array_intersect(probe, words), F.lit(i))
+        return F.get(F.array_intersect(probe, held), F.lit(i))
 
     few = F.slice("skills", 1, F.greatest(F.col("n_skills") - needed + 2, F.lit(0)))
     probes = interests.where(needed > 1).select("*", F.explode(_word_pairs(few)).alias("two")).select("*", "two.*")
-    found = titles.select("*", F.explode(_word_pairs(words)).alias("two")).select("*", "two.*")
+    found = titles.select("*", F.explode(_word_pairs(held)).alias("two")).select("*", "two.*")
     met = found.drop("two").join(probes.drop("two"), [*scope, "field", "w1", "w2"])
     on_first = (F.col("w1") == F.least(first(few, 0), first(few, 1))) & (
         F.col("w2") == F.greatest(first(few, 0), first(few, 1))
@@ -187,7 +216,7 @@ def _meet(
     pairs = met.where(on_first & (hits >= needed)).select(*columns)
 
     all_words = interests.where(needed <= 1).select("*", F.explode("skills").alias("word"))
-    single = titles.select("*", F.explode(words).alias("word")).join(all_words, [*scope, "field", "word"])
+    single = titles.select("*", F.explode(held).alias("word")).join(all_words, [*scope, "field", "word"])
     single = single.where(F.col("word") == first(F.col("skills"), 0)).select(*columns)
     return pairs.unionByName(single)
 
@@ -224,7 +253,7 @@ def _looks(
 
 
 def _words(rows: DataFrame) -> DataFrame:
-    return rows.select("*", F.explode(F.split("title", " ")).alias("word"))
+    return rows.select("*", F.explode(_held()).alias("word"))
 
 
 def _word_looks(
@@ -307,7 +336,7 @@ def score_counts(
     """
     side = _profile_side(profiles, ())
     signatures, interests = _signatures(side, ()), _interests(side, ())
-    classes = _listing_side(listings, ()).groupBy(*_class_keys(())).agg(F.count("*").alias("n"))
+    classes = _listing_side(listings, (), interests).groupBy(*_class_keys(())).agg(F.count("*").alias("n"))
     # Always true; it has every branch below read the same shuffled counts.
     classes = classes.where("n > 0")
 
@@ -374,14 +403,14 @@ def top_matches(
     newest = [F.col("posted_on").desc_nulls_last(), F.col("id_num").asc()]
     side = _profile_side(profiles, scope, keep)
     signatures, interests = _signatures(side, scope), _interests(side, scope)
-    classes = _best(_listing_side(listings, scope), _class_keys(scope), newest, k)
+    classes = _best(_listing_side(listings, scope, interests), _class_keys(scope), newest, k)
     classes = classes.drop("hash", "rank")
 
     by_word = _best(
         _words(classes), [*scope, "field", "place", "work_mode", "band", "word"], newest, k
     )
     one_hit = _word_looks(by_word, interests, signatures, scope).where(
-        ~F.arrays_overlap("others", F.split("title", " "))
+        ~F.arrays_overlap("others", _held())
     )
     more = _looks(classes, interests, signatures, scope, TWO)
 
@@ -420,9 +449,10 @@ def matches_at_least(
     signatures = _signatures(side, ())
     least = max(score - settings.points_beside_skills, 1)
     needed = F.ceil(F.lit(least) * F.col("n_skills") / settings.skill_points).cast("int")
-    rows = _listing_side(listings, ())
+    interests = _interests(side, ())
+    rows = _listing_side(listings, (), interests)
     classes = rows.select(*_class_keys(())).distinct()
-    met = _looks(classes, _interests(side, ()), signatures, (), needed)
+    met = _looks(classes, interests, signatures, (), needed)
     wanted = _score_signatures(signatures, met, (), settings).where(F.col("score") >= score)
     keys = list(dict.fromkeys([*_class_keys(()), *_signature(())]))
     found = rows.join(wanted.select(*keys, *PARTS), _class_keys(()))

@@ -11,6 +11,8 @@ WORDS = (
     "anvil", "blue", "bolt", "cold", "gear", "gizmo", "hot", "large",
     "new", "old", "plate", "red", "ring", "rod", "small", "widget",
 )
+KINDS = ("blue", "cold", "hot", "large", "new", "old", "red", "small")
+THINGS = ("anvil", "bolt", "gear", "gizmo", "plate", "ring", "rod", "widget")
 FIELDS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
 
 
@@ -37,7 +39,7 @@ def listings_of(orders: DataFrame, parts: DataFrame) -> DataFrame:
     return orders.join(parts, "p_partkey").select(
         k.alias("id_num"),
         k_text.alias("id"),
-        F.concat_ws(" ", "p_name", "p_type").alias("title"),
+        F.concat("p_name", F.when(k % 6 == 0, " / ").otherwise(" "), "p_type").alias("title"),
         F.col("p_brand").alias("company"),
         F.when(status == "O", "Remote").otherwise(country).alias("location"),
         country.alias("country"),
@@ -73,13 +75,16 @@ def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One profile per customer; one or two distinct skills, every fourth up to six."""
+    """One profile per customer; one or two distinct skills, every fourth up to six, among them
+    one of two words, in every eighth typed as "NEW-ROD"."""
     c = F.col("c_custkey")
     nations = table(spark, sf_dir, "nation").select(
         F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("country")
     )
     skill1, skill2 = _pick(WORDS, c % 16), _pick(WORDS, F.floor(c / 16) % 16)
-    third, fourth = _pick(WORDS, (F.floor(c / 256) + 5) % 16), _pick(WORDS, (c * 7 + 3) % 16)
+    kind, thing = _pick(KINDS, F.floor(c / 4) % 8), _pick(THINGS, F.floor(c / 32) % 8)
+    third = F.when(c % 8 == 0, F.upper(F.concat_ws("-", kind, thing))).otherwise(F.concat_ws(" ", kind, thing))
+    fourth = _pick(WORDS, (c * 7 + 3) % 16)
     fifth, sixth = _pick(WORDS, (F.floor(c / 64) + 11) % 16), _pick(WORDS, (F.floor(c / 1024) + 2) % 16)
     skills = (
         F.when(c % 8 == 0, F.array(skill1, skill2, third, fourth, fifth, sixth))

@@ -5,9 +5,12 @@ from __future__ import annotations
 _WORDS = """['anvil', 'blue', 'bolt', 'cold', 'gear', 'gizmo', 'hot', 'large', 'new', 'old', 'plate', 'red', 'ring',
   'rod', 'small', 'widget']"""
 
+_KINDS = "['blue', 'cold', 'hot', 'large', 'new', 'old', 'red', 'small']"
+_THINGS = "['anvil', 'bolt', 'gear', 'gizmo', 'plate', 'ring', 'rod', 'widget']"
+
 _VIEWS = {
     "L": """
-SELECT k AS id_num, CAST(k AS VARCHAR) AS id, p.p_name || ' ' || p.p_type AS title, p.p_brand AS company,
+SELECT k AS id_num, CAST(k AS VARCHAR) AS id, p.p_name || CASE WHEN k % 6 = 0 THEN ' / ' ELSE ' ' END || p.p_type AS title, p.p_brand AS company,
   CASE WHEN o.o_orderstatus = 'O' THEN 'Remote' ELSE 'NATION_' || CAST(k % 25 AS VARCHAR) END AS location,
   'NATION_' || CAST(k % 25 AS VARCHAR) AS country,
   CASE o.o_orderstatus WHEN 'O' THEN 'remote' WHEN 'F' THEN 'on-site' ELSE 'hybrid' END AS work_mode,
@@ -41,9 +44,12 @@ FROM (
   FROM (
     SELECT c.*, words[1 + c % 16] AS skill1, words[1 + c // 16 % 16] AS skill2,
       [words[1 + c % 16], words[1 + c // 16 % 16]]
-        || CASE WHEN c % 4 = 0 THEN [words[1 + (c // 256 + 5) % 16], words[1 + (c * 7 + 3) % 16]] ELSE [] END
+        || CASE WHEN c % 4 = 0 THEN [third, words[1 + (c * 7 + 3) % 16]] ELSE [] END
         || CASE WHEN c % 8 = 0 THEN [words[1 + (c // 64 + 11) % 16], words[1 + (c // 1024 + 2) % 16]] ELSE [] END AS listed
-    FROM (SELECT *, c_custkey AS c FROM customer) c, (SELECT {_WORDS} AS words) w)
+    FROM (
+      SELECT *, CASE WHEN c % 8 = 0 THEN upper(kind || '-' || thing) ELSE kind || ' ' || thing END AS third
+      FROM (SELECT *, c_custkey AS c, {_KINDS}[1 + c_custkey // 4 % 8] AS kind, {_THINGS}[1 + c_custkey // 32 % 8] AS thing FROM customer)
+    ) c, (SELECT {_WORDS} AS words) w)
 ) c JOIN nation n ON n.n_nationkey = c.c_nationkey""",
     "E": """
 SELECT event_id, ts, user_id, event_type, value, props,
@@ -103,8 +109,8 @@ SELECT *, skill_points + experience_points + location_points AS score FROM (
     CASE WHEN l.work_mode = u.work_preference THEN 10 ELSE 0 END
       + CASE WHEN l.work_mode = 'remote' OR l.country = u.country THEN 10 ELSE 0 END AS location_points
   FROM (
-    SELECT u.*, t.title, len(list_intersect(t.words, u.skills)) AS hits
-    FROM U u, (SELECT DISTINCT title, string_split(lower(title), ' ') AS words FROM L) t
+    SELECT u.*, t.title, len(list_filter(u.skills, lambda s: contains(t.line, ' ' || replace(lower(s), '-', ' ') || ' '))) AS hits
+    FROM U u, (SELECT DISTINCT title, ' ' || replace(lower(title), ' / ', ' ') || ' ' AS line FROM L) t
   ) u JOIN L l ON l.title = u.title AND l.field = u.field AND (
     (l.work_mode = 'remote' AND u.work_preference IN ('remote', 'hybrid'))
     OR (l.work_mode <> 'remote' AND l.country = u.country AND u.work_preference IN ('on-site', 'hybrid')))

@@ -3,6 +3,7 @@
 import datetime as dt
 import json
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -28,7 +29,9 @@ def make(seed, n_listings, n_profiles, hot):
     for i in range(n_listings):
         common = r.random() < hot
         words = ["react", "web"] if common else r.sample(WORDS, r.randint(0, 4))
-        title = " ".join(w.upper() if r.random() < 0.2 else w for w in words)
+        if not common and r.random() < 0.3:
+            words.insert(r.randint(0, len(words)), r.choice(["Machine Learning", "learning-machine", "c++", "machine"]))
+        title = r.choice([" ", " ", ", ", " / ", "-"]).join(w.upper() if r.random() < 0.2 else w for w in words)
         listings.append((
             i, title if r.random() > 0.03 else None, "c", "l", "#", "f1" if common else r.choice(["f1", "f2", None]),
             "remote" if common else r.choice(["remote", "on-site", "hybrid", None]),
@@ -40,8 +43,8 @@ def make(seed, n_listings, n_profiles, hot):
         skills = ["React", "web"] if common else [
             r.choice([str.upper, str.lower])(w) for w in r.choices(WORDS, k=r.randint(0, 4))
         ]
-        if r.random() < 0.1:
-            skills.append("machine learning")
+        if r.random() < 0.4:
+            skills.append(r.choice(["machine learning", "Machine-LEARNING", "C++", "c", "learning", "web data", "  ", "java go sql"]))
         profiles.append((
             u, "f1" if common else r.choice(["f1", "f2"]), skills,
             "remote" if common else r.choice(["remote", "on-site", "hybrid", "other", None]),
@@ -57,11 +60,15 @@ def band_of(years):
     return 0 if years < 2 else 1 if years < 5 else 2 if years < 10 else 3
 
 
+def plain_words(text):
+    return re.findall(r"\.?[^\W_]+(?:[.+#]+[^\W_]+)*[+#]*", text.lower())
+
+
 def all_pairs(listings, profiles):
     """{user: [(id, date, skill, experience, location, score, source)]}"""
     out = {}
     for u, field, skills, mode, country, years, _ in profiles:
-        skills = {s.lower() for s in skills}
+        skills = {" ".join(plain_words(s)) for s in skills}
         for i, title, _, _, _, l_field, l_mode, l_country, l_band, day, source in listings:
             if l_field != field or l_field is None or not skills or title is None:
                 continue
@@ -69,7 +76,8 @@ def all_pairs(listings, profiles):
                 reach = mode in ("remote", "hybrid")
             else:
                 reach = mode in ("on-site", "hybrid") and country is not None and l_country == country
-            hits = len(skills & set(title.lower().split(" ")))
+            line = " " + " ".join(plain_words(title)) + " "
+            hits = sum(s != "" and f" {s} " in line for s in skills)
             if not reach or not hits:
                 continue
             own = band_of(years)
@@ -161,18 +169,32 @@ def test_plan_limits_and_sources(spark, tables):
 
 def test_no_pair_with_one_hit_is_formed(spark):
     """What two words are needed for meets on two words: the join's own rows have them."""
-    titles = spark.createDataFrame([("f", "a b c"), ("f", "b d"), ("f", "c"), ("g", "a b")], "field string, title string")
+    held = lambda text: text.replace(" ", matching.BETWEEN)
+    titles = [("f", held("a b c")), ("f", held("b d")), ("f", "c"), ("g", held("a b"))]
+    titles = spark.createDataFrame(titles, "field string, title string")
     rows = [("f", ["a", "b", "x"]), ("f", ["d", "b", "c"]), ("f", ["x", "a"]), ("g", ["b", "a"])]
     interests = spark.createDataFrame(
         [(f, ",".join(s), s, len(s)) for f, s in rows], "field string, interest string, skills array<string>, n_skills int"
     )
     found = matching._meet(titles, interests, (), F.lit(2))
-    got = sorted((r["field"], r["title"], r["interest"], r["hits"]) for r in found.collect())
+    got = sorted((r["field"], r["title"].replace(matching.BETWEEN, " "), r["interest"], r["hits"]) for r in found.collect())
     assert got == [("f", "a b c", "a,b,x", 2), ("f", "a b c", "d,b,c", 2), ("f", "b d", "d,b,c", 2), ("g", "a b", "b,a", 2)]
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join Inner") == 1 and "w1" in plan.split("Join Inner")[1].split("\n")[0]
 
 
+def test_only_phrases_of_the_dictionary_are_held(spark):
+    titles = ["Machine Learning Engineer", "Learning Machine", "C++ / C# dev", "nothing here", "machine, learning"]
+    texts = spark.createDataFrame([(t,) for t in titles], "text string")
+    dictionary = spark.createDataFrame([(p,) for p in ("machine learning", "learning", "c++", "c", "deep machine learning")], "phrase string")
+    got = {r.text: r.title.split(matching.BETWEEN) for r in matching.held_phrases(texts, dictionary).collect()}
+    assert got == {
+        "Machine Learning Engineer": ["learning", "machine learning"], "Learning Machine": ["learning"],
+        "C++ / C# dev": ["c++"], "machine, learning": ["learning", "machine learning"],
+    }
+    assert matching.held_phrases(texts, dictionary.limit(0)).isEmpty()
+
+
 def test_result_documents(tables):
     (listings, profiles), _, pairs = tables
     top = matching.top_matches(listings, profiles, 3)

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from joblattice.functions import dimensions, secrets, skills, values
-from joblattice.functions.listing import title_tokens
+from joblattice.functions.listing import phrase, runs_of, words
 from joblattice.operators.searches import search_strings
 
 
@@ -71,8 +71,27 @@ def test_labels(spark):
     assert dimensions.seniorities(spark).where("code = 'lead'").first()["years"] == "10+ years"
 
 
-def test_title_tokens(spark):
-    assert one(spark, title_tokens(F.lit("Senior  React Developer react"))) == ["developer", "react", "senior"]
+@pytest.mark.parametrize(
+    "text, expected",
+    [
+        ("Senior  React Developer react", ["senior", "react", "developer", "react"]),
+        ("C++/C# (.NET) dev.", ["c++", "c#", ".net", "dev"]),
+        ("Node.js, Machine-Learning & CI/CD", ["node.js", "machine", "learning", "ci", "cd"]),
+        ("Ingénieur·e C++11\tüber", ["ingénieur", "e", "c++11", "über"]),
+        (" -- ", []),
+        ("", []),
+    ],
+)
+def test_words(spark, text, expected):
+    assert one(spark, words(F.lit(text))) == expected
+    assert one(spark, phrase(F.lit(text))) == " ".join(expected)
+
+
+def test_runs_of_words(spark):
+    runs = lambda text, n: one(spark, runs_of(words(F.lit(text)), F.lit(n)))
+    assert runs("a b, a b", 2) == ["a b", "b a"]
+    assert runs("a", 1) == ["a"]
+    assert runs("a", 2) == runs("...", 1) == []
 
 
 def test_secrets(spark):
