@@ -124,13 +124,6 @@ def _masks(blocks: int) -> list[int]:
     return [m - (1 << 64) if m >> 63 else m for m in masks]
 
 
-def _flips() -> list[int]:
-    """All values with at most two bits set, as signed numbers."""
-    ones = [1 << i for i in range(64)]
-    values = [0, *ones, *(a | b for a, b in combinations(ones, 2))]
-    return [v - (1 << 64) if v >> 63 else v for v in values]
-
-
 def links(distinct: DataFrame, total: int, crowd: int = CROWD) -> DataFrame:
     """Links (a, b), a > b, that join the fingerprints ``fp`` as all linked pairs would."""
     blocks = next(m for m, most in SCHEMES if total <= most)
@@ -141,19 +134,28 @@ def links(distinct: DataFrame, total: int, crowd: int = CROWD) -> DataFrame:
         "p1",
     )
     counts = keys.groupBy("k", "key").agg(F.count("*").alias("n")).where("n > 1")
-    met = stored(keys.join(counts, ["k", "key"]), "simhash-keys")
+    met = stored(keys.join(counts.hint("merge"), ["k", "key"]), "simhash-keys")
     few = met.where(F.col("n") <= crowd).drop("n")
     a, b = few.alias("a"), few.alias("b")
     on = (F.col("a.k") == F.col("b.k")) & (F.col("a.key") == F.col("b.key"))
-    pairs = a.join(b, on & (F.col("a.fp") > F.col("b.fp")) & _close("a", "b")).select(
+    pairs = a.join(b.hint("merge"), on & (F.col("a.fp") > F.col("b.fp")) & _close("a", "b")).select(
         F.col("a.fp").alias("a"), F.col("b.fp").alias("b")
     )
-    many = met.where(F.col("n") > crowd).select("fp").distinct()
-    flips = F.explode(F.array(*[F.lit(v) for v in _flips()]))
-    named = many.select("fp", flips.alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("z"))
+    found = stored(pairs.distinct(), "simhash-links")
+    many = stored(met.where(F.col("n") > crowd).select("fp").distinct(), "simhash-crowd")
+    if many.isEmpty():
+        return found
+    # All values of at most two set bits: one bit shifted to place i, another to place j <= i
+    # (the same place counts once), and none.
+    place = F.sequence(F.lit(0), F.lit(63))
+    named = many.select("fp", F.explode(place).alias("i")).select("fp", "i", F.explode(F.sequence(F.lit(-1), F.col("i"))).alias("j"))
+    bit = lambda c: F.expr(f"shiftleft(1L, {c})")
+    two = F.when(F.col("j") == F.col("i"), bit("i")).otherwise(bit("i").bitwiseOR(bit("j")))
+    flip = F.when(F.col("j") >= 0, two).when(F.col("i") == 0, F.lit(0).cast("bigint"))
+    named = named.select("fp", F.col("fp").bitwiseXOR(flip).alias("z")).where("z IS NOT NULL")
     least = named.groupBy("z").agg(F.min("fp").alias("least"), F.count("*").alias("n")).where("n > 1")
-    through = named.join(least, "z").where("fp > least").select(F.col("fp").alias("a"), F.col("least").alias("b"))
-    return pairs.union(through).distinct()
+    through = named.join(least.hint("merge"), "z").where("fp > least").select(F.col("fp").alias("a"), F.col("least").alias("b"))
+    return found.union(through).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -166,7 +168,8 @@ def components(edges: DataFrame) -> DataFrame:
 
     def star(sym: DataFrame, large: bool) -> DataFrame:
         least = sym.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        near = sym.join(least, "a")
+        # Dealt out in any case: a hash table on the driver would grow with the edges.
+        near = sym.join(least.hint("merge"), "a")
         if large:
             return near.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         out = near.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -179,7 +182,7 @@ def components(edges: DataFrame) -> DataFrame:
     seen = state(now)
     while seen[0]:
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        now = stored(star(star(both, True), False), "edges")
+        now = stored(star(stored(star(both, True), "edges"), False), "edges")
         last, seen = seen, state(now)
         if seen == last:
             break
