@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from joblattice.llm.common import documents, ship, stored
+from joblattice.llm.common import broadcast_if_small, documents, ship, stored
 
 SAMPLE = 12_000  # labelled documents the models are fitted on
 WORDS = 128  # telling words for each of the two models
@@ -142,11 +142,15 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[list[
             (F.col("quality") == 0).cast("int").alias("junk"),
             F.coalesce((F.col("toxic") == 1).cast("int"), F.lit(0)).alias("toxic"),
         )
-        .orderBy(F.xxhash64("_id"), "_id", "junk", "toxic")
+        .groupBy("_id")
+        .agg(*[F.max(h).alias(h) for h in HEADS])
+        .orderBy(F.xxhash64("_id"), "_id")
         .limit(sample)
     )
-    # At most ``sample`` short rows: small enough to broadcast at any size of the input.
-    rows = docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("text", *HEADS)
+    # At most ``sample`` short rows: small enough to broadcast at any size of the input. Of
+    # rows with one id the text of the least hash counts, chosen within each task first.
+    rows = docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
+    rows = rows.groupBy("_id", *HEADS).agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("text", *HEADS)
     rows = stored(rows, "labelled-sample")
     words = telling_words(rows)
     columns = {w: i for i, w in enumerate(words)}
@@ -231,6 +235,8 @@ def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
     lean = evidence(docs.select("source", "lang", "text"), words, weights)
     sites, overall = site_posteriors(lean.select(*site, good.alias("good")))
     sites = sites.select(F.col("host").alias("_host"), F.col("path").alias("_path"), "host_posterior", "path_posterior")
+    # A row per path: broadcast where they are few, so that no text is shuffled.
+    sites = broadcast_if_small(stored(sites, "site-posteriors"), 100_000)
     rows = evidence(docs, words, weights).select("*", *site)
     shift = _logit(F.col("path_posterior")) - F.lit(float(np.log(max(overall, 1e-9) / max(1 - overall, 1e-9))))
     shift = F.greatest(F.least(shift, F.lit(MOST_SHIFT)), F.lit(-MOST_SHIFT))
