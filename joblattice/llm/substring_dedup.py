@@ -1,11 +1,14 @@
 """Substring dedup by line or paragraph hashing (operator 8).
 
-A text is cut into units: its lines, or its paragraphs (runs of lines that are not blank).
-A unit is normalised: ASCII letters in lower case, runs of blanks as one space, none at
-the ends. Units of ``MIN_WORDS`` words or more are grouped over the whole table by a
-128-bit digest of the normalised text. The earliest occurrence stays, ranked by document (id,
-then the hash of its text) and place; all others are removed with their line ends,
-and every document keeps the offsets of what it lost.
+A text is cut into units: its lines, cut further behind sentence ends (. ! ? and a blank), so
+that a passage inside a long line has units of its own, or its paragraphs (runs of lines that
+are not blank). A unit is normalised: ASCII letters in lower case, runs of blanks as one
+space, none at the ends. Units with a word are grouped over the whole table by a 128-bit
+digest of the normalised text. The earliest occurrence stays, ranked by document (id, then
+the hash of its text) and place. All others are removed, with the blanks or line end behind
+them, where they stand in a stretch: repeated units next to each other with ``STRETCH`` words
+or more in all. A short line that many texts share by chance or by custom stays.
+Every document keeps the offsets of what it lost.
 
 Only digests and places are shuffled for the grouping, partly grouped in each task
 first, so a unit in a third of all documents costs one row per task. A digest that
@@ -22,6 +25,7 @@ table gives no row; all columns of the input stay as they are.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -30,19 +34,24 @@ from pyspark.sql import functions as F
 
 from joblattice.llm.common import documents, ship, stored
 
-MIN_WORDS = 6
+STRETCH = 25  # words of neighbouring repeated units that are a passage
+_END = re.compile(r"[.!?][\x20\x09\x0B-\x0D]+|\n")
 
 
 def spans(text: str, unit: str = "line") -> Iterator[tuple[int, int]]:
-    """(start, end) of every unit in characters, line ends included."""
+    """(start, end) of every unit in characters, with what ends it; some may have no word."""
     at, begun = 0, None
+    if unit == "line":
+        for end in _END.finditer(text):
+            yield at, end.end()
+            at = end.end()
+        if at < len(text):
+            yield at, len(text)
+        return
     for line in text.split("\n"):
         end = min(at + len(line) + 1, len(text))
         blank = not line.strip()
-        if unit == "line":
-            if not blank:
-                yield at, end
-        elif blank:
+        if blank:
             if begun is not None:
                 yield begun, at
             begun = None
@@ -53,8 +62,20 @@ def spans(text: str, unit: str = "line") -> Iterator[tuple[int, int]]:
         yield begun, len(text)
 
 
-def units(docs: DataFrame, unit: str = "line", min_words: int = MIN_WORDS) -> DataFrame:
-    """(digest, id, h, place, start, end) of every unit that is long enough."""
+def passages(again: list[tuple[int, int, int, int]], stretch: int = STRETCH) -> list[tuple[int, int]]:
+    """Spans of the repeated units (place, start, end, words) that stand in long stretches."""
+    out, run, words = [], [], 0
+    for place, start, end, n in [*sorted(again), (-1, 0, 0, 0)]:
+        if run and place != run[-1][0] + 1:
+            out += [u[1:] for u in run] if words >= stretch else []
+            run, words = [], 0
+        run.append((place, start, end))
+        words += n
+    return out
+
+
+def units(docs: DataFrame, unit: str = "line") -> DataFrame:
+    """(digest, id, h, place, start, end, words) of every unit with a word; ``place`` counts them."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -63,61 +84,68 @@ def units(docs: DataFrame, unit: str = "line", min_words: int = MIN_WORDS) -> Da
                 ids, hashes, texts = (c.to_pylist() for c in part.columns)
                 out = []
                 for doc, h, text in zip(ids, hashes, texts, strict=True):
-                    for place, (start, end) in enumerate(spans(text or "", unit)):
+                    place = 0
+                    for start, end in spans(text or "", unit):
                         words = text[start:end].encode().lower().split()
-                        if len(words) >= min_words:
+                        if words:
                             digest = hashlib.blake2b(b" ".join(words), digest_size=16).digest()
-                            out.append((digest, doc, h, place, start, end))
+                            out.append((digest, doc, h, place, start, end, len(words)))
+                            place += 1
                 if out:
-                    kinds = (pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
-                    names = ["digest", "id", "h", "place", "start", "end"]
+                    kinds = (pa.binary(), pa.int64(), pa.int64(), *[pa.int32()] * 4)
+                    names = ["digest", "id", "h", "place", "start", "end", "words"]
                     arrays = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)]
                     yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     narrow = docs.select(F.col("doc_id").cast("bigint"), F.xxhash64("text"), F.col("text").cast("string"))
-    return narrow.mapInArrow(rows, "digest binary, id bigint, h bigint, place int, start int, end int")
+    return narrow.mapInArrow(rows, "digest binary, id bigint, h bigint, place int, start int, end int, words int")
 
 
-def dedup(docs: DataFrame, unit: str = "line", min_words: int = MIN_WORDS) -> DataFrame:
+def dedup(docs: DataFrame, unit: str = "line", stretch: int = STRETCH) -> DataFrame:
     """``row`` (all columns of the input), ``kept`` text, ``n_units`` and ``removed`` spans."""
     # The units of a table are a few numbers each and are used twice: stored once.
-    found = stored(units(docs, unit, min_words), "units")
+    found = stored(units(docs, unit), "units")
     rank = F.struct(F.col("id").isNull(), "id", "h", "place")
     firsts = found.groupBy("digest").agg(F.min(rank).alias("first"), F.count("*").alias("n")).where("n > 1")
     later = found.join(firsts, "digest").where(rank != F.col("first"))
     cuts = (
-        later.select("id", "h", "start", "end")
-        .distinct()
+        later.select("id", "h", "place", "start", "end", "words")
         .groupBy("id", "h")
-        .agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("removed"))
-        .select(F.col("id").alias("_id"), F.col("h").alias("_h"), "removed")
+        .agg(F.collect_set(F.struct("place", "start", "end", "words")).alias("again"), F.sum("words").alias("words"))
+        .where(F.col("words") >= stretch)
+        .select(F.col("id").alias("_id"), F.col("h").alias("_h"), "again")
     )
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     given = docs.select(row.alias("row"), F.col("doc_id").cast("bigint").alias("id"), F.xxhash64("text").alias("h"))
     joined = given.join(cuts, F.col("id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h")), "left")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                kept, n_units = [], []
-                for text, removed in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
-                    long = [s for s in spans(text or "", unit) if len(text[slice(*s)].split()) >= min_words]
-                    n_units.append(len(long))
-                    if removed:
-                        edges = [0, *(x for s in removed for x in (s["start"], s["end"])), len(text)]
+                kept, n_units, removed = [], [], []
+                for text, again in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
+                    n_units.append(sum(bool(text[a:b].encode().split()) for a, b in spans(text or "", unit)))
+                    gone = passages([(u["place"], u["start"], u["end"], u["words"]) for u in again or ()], stretch)
+                    if gone:
+                        edges = [0, *(x for s in gone for x in s), len(text)]
                         text = "".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
                     kept.append(text)
+                    removed.append([{"start": a, "end": b} for a, b in gone])
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(2), pa.array(kept, pa.string()), pa.array(n_units, pa.int64())],
+                    [part.column(0), pa.array(removed, kind), pa.array(kept, pa.string()), pa.array(n_units, pa.int64())],
                     names=["row", "removed", "kept", "n_units"],
                 )
 
-    ready = joined.select("row", F.col("row.text").cast("string").alias("text"), "removed")
-    schema = ready.select("row", "removed", F.lit(None).cast("string").alias("kept"), F.lit(0).cast("bigint").alias("n_units")).schema
-    done = ready.mapInArrow(cut, schema)
-    none = F.array().cast("array<struct<start:int,end:int>>")
-    return done.withColumn("removed", F.coalesce("removed", none))
+    ready = joined.select("row", F.col("row.text").cast("string").alias("text"), "again")
+    schema = ready.select(
+        "row",
+        F.lit(None).cast("array<struct<start:int,end:int>>").alias("removed"),
+        F.lit(None).cast("string").alias("kept"),
+        F.lit(0).cast("bigint").alias("n_units"),
+    ).schema
+    return ready.mapInArrow(cut, schema)
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,27 +161,32 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-SQL = r"""
-WITH lines AS (
-  SELECT doc_id, coalesce(text, '') AS t, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
-    generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS place
-  FROM documents),
+SQL = rf"""
+WITH pieces AS (
+  SELECT doc_id, t, unnest(pieces) AS piece, generate_subscripts(pieces, 1) AS nth
+  FROM (
+    SELECT doc_id, coalesce(text, '') AS t,
+      string_split(regexp_replace(coalesce(text, ''), '([.!?][\x20\x09\x0B-\x0D]+|\n)', '\1' || chr(1), 'g'), chr(1)) AS pieces
+    FROM documents)),
 placed AS (
-  SELECT *, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY place
+  SELECT *, coalesce(sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY nth
       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start_at,
-    trim(regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    trim(regexp_replace(translate(piece, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
       '[\x20\x09-\x0D]+', ' ', 'g')) AS normal
-  FROM lines),
+  FROM pieces),
 ranked AS (
-  SELECT *, least(start_at + length(line) + 1, length(t)) AS end_at,
-    len(string_split(normal, ' ')) >= 6 AS long,
-    row_number() OVER (PARTITION BY normal ORDER BY doc_id, place) > 1 AS again
-  FROM placed)
-SELECT doc_id, count(*) FILTER (WHERE long) AS n_units, count(*) FILTER (WHERE long AND again) AS n_removed,
-  coalesce(string_agg(start_at || '-' || end_at, ' ' ORDER BY place) FILTER (WHERE long AND again), '') AS removed_spans,
-  sha256(coalesce(string_agg(substr(t, CAST(start_at + 1 AS BIGINT), CAST(end_at - start_at AS BIGINT)), '' ORDER BY place)
-    FILTER (WHERE NOT (long AND again)), '')) AS kept_sha256
-FROM ranked GROUP BY doc_id
+  SELECT *, normal <> '' AS is_unit, len(string_split(normal, ' ')) AS words,
+    row_number() OVER (PARTITION BY doc_id, normal <> '' ORDER BY nth) AS place,
+    normal <> '' AND row_number() OVER (PARTITION BY normal ORDER BY doc_id, nth) > 1 AS again
+  FROM placed),
+runs AS (
+  SELECT *, place - row_number() OVER (PARTITION BY doc_id, is_unit, again ORDER BY place) AS run FROM ranked),
+judged AS (
+  SELECT *, again AND sum(words) OVER (PARTITION BY doc_id, is_unit, again, run) >= {STRETCH} AS gone FROM runs)
+SELECT doc_id, count(*) FILTER (WHERE is_unit) AS n_units, count(*) FILTER (WHERE gone) AS n_removed,
+  coalesce(string_agg(start_at || '-' || (start_at + length(piece)), ' ' ORDER BY nth) FILTER (WHERE gone), '') AS removed_spans,
+  sha256(coalesce(string_agg(piece, '' ORDER BY nth) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM judged GROUP BY doc_id
 """
 
 ship(__name__)

@@ -34,17 +34,6 @@ def distance(a, b, most=2):
     return row[-1]
 
 
-def cut(texts, drop):
-    """texts: {id: text}; drop(line, doc, place): whether a line goes."""
-    out = {}
-    for doc in sorted(texts):
-        pieces = re.findall(r"[^\n]*\n|[^\n]+", texts[doc])
-        kept = [p for i, p in enumerate(pieces) if not drop(p, doc, i)]
-        if len(kept) == len(pieces) or "".join(kept).split():
-            out[doc] = "".join(kept)
-    return out
-
-
 @pytest.fixture(scope="module")
 def stages(spark, sf):
     docs, out = spark.read.parquet(f"{sf}/documents.parquet"), []
@@ -121,13 +110,25 @@ def test_near_duplicate_stage(stages):
 
 def test_substring_stage(stages):
     _, docs, found = stages[3]
-    seen = {}
-
-    def drop(line, doc, place):
-        line = normal(line)
-        return len(line.split(" ")) >= 6 and seen.setdefault(line, (doc, place)) != (doc, place)
-
-    assert texts(found) == cut(texts(docs), drop)
+    given, seen, expected = texts(docs), {}, {}
+    for doc in sorted(given):
+        pieces = [p for p in re.findall(r"(?s).*?(?:[.!?][ \t\v\f\r]+|\n)|.+$", given[doc]) if p]
+        assert "".join(pieces) == given[doc]
+        again = [bool(normal(p)) and seen.setdefault(normal(p), (doc, i)) != (doc, i) for i, p in enumerate(pieces)]
+        gone, run = set(), []
+        for i, p in enumerate([*pieces, "end"]):
+            if i < len(pieces) and not normal(p):
+                continue
+            if i < len(pieces) and again[i]:
+                run.append(i)
+                continue
+            if sum(len(normal(pieces[j]).split(" ")) for j in run) >= 25:
+                gone |= set(run)
+            run = []
+        kept = "".join(p for i, p in enumerate(pieces) if i not in gone)
+        if not gone or kept.split():
+            expected[doc] = kept
+    assert texts(found) == expected
 
 
 def test_packing_stage(stages):
