@@ -438,12 +438,22 @@ def top_matches(
 def matches_at_least(
     listings: DataFrame, profiles: DataFrame, score: int, settings: MatchSettings = MATCH
 ) -> DataFrame:
-    """Every (user, listing) pair scoring at least ``score``.
+    """Every (user, listing) pair scoring at least ``score``."""
+    return expanded(*class_matches_at_least(listings, profiles, score, settings))
+
+
+def class_matches_at_least(
+    listings: DataFrame, profiles: DataFrame, score: int, settings: MatchSettings = MATCH
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The pairs scoring at least ``score``, by class: (pairs, members, owners).
+
+    ``pairs`` has one row per class of listings and signature of profiles with the parts of
+    the score, however many listings and users they hold; ``members`` names the listings of
+    each class, ``owners`` the users of each signature.
 
     Skills carry most points, so a high bound needs most skills in the title;
-    pairs short of that are not formed. Skills are looked up rarest first. Classes
-    of listings are scored with signatures; ids and users are put in at the end, for
-    what has reached the score.
+    pairs short of that are not formed. Skills are looked up rarest first. Ids and users
+    are put in at the end (``expanded``), for what has reached the score.
     """
     side = _profile_side(profiles, ())
     signatures = _signatures(side, ())
@@ -455,8 +465,43 @@ def matches_at_least(
     met = _looks(classes, interests, signatures, (), needed)
     wanted = _score_signatures(signatures, met, (), settings).where(F.col("score") >= score)
     keys = list(dict.fromkeys([*_class_keys(()), *_signature(())]))
-    found = rows.join(wanted.select(*keys, *PARTS), _class_keys(()))
-    return side.join(found, _signature(())).select("user_id", "id_num", "posted_on", *PARTS)
+    return wanted.select(*keys, *PARTS), rows, side
+
+
+def expanded(pairs: DataFrame, members: DataFrame, owners: DataFrame) -> DataFrame:
+    """One row for each (user, listing) of matched classes."""
+    found = members.join(pairs, _class_keys(()))
+    return owners.join(found, _signature(())).select("user_id", "id_num", "posted_on", *PARTS)
+
+
+def named_classes(pairs: DataFrame, members: DataFrame, owners: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The same with one short name per class in place of its values: (listing_class, user_class
+    and PARTS), (listing_class, id_num, posted_on), (user_class, user_id)."""
+    listing = F.md5(F.to_json(F.struct(*_class_keys(())))).alias("listing_class")
+    user = F.md5(F.to_json(F.struct(*_signature(())))).alias("user_class")
+    return pairs.select(listing, user, *PARTS), members.select(listing, "id_num", "posted_on"), owners.select(user, "user_id")
+
+
+def refreshed_top(
+    top: DataFrame, listings: DataFrame, changed: DataFrame, profiles: DataFrame, k: int, settings: MatchSettings = MATCH
+) -> DataFrame:
+    """``top_matches`` of ``listings`` from the ``top`` of before some of them changed.
+
+    ``changed``: id_num of every listing that is new, has changed or is gone. A user none of
+    whose k best has changed keeps them: they are united with the k best of the changed
+    listings, and the k best of both are the result. Users who lost one are ranked anew, as
+    anything may follow. ``top`` has the columns of ``top_matches`` without further ones.
+    """
+    ids = changed.select("id_num").distinct()
+    lost = top.join(ids, "id_num", "left_semi").select("user_id").distinct()
+    anew = top_matches(listings, profiles.join(lost, "user_id", "left_semi"), k, settings=settings)
+    others = profiles.join(lost, "user_id", "left_anti")
+    fresh = top_matches(listings.join(ids, "id_num", "left_semi"), others, k, settings=settings)
+    kept = top.join(lost, "user_id", "left_anti").join(others.select("user_id"), "user_id", "left_semi")
+    both = kept.unionByName(fresh).drop("rank")
+    order = [F.col("score").desc(), F.col("posted_on").desc_nulls_last(), F.col("id_num").asc()]
+    nth = F.row_number().over(Window.partitionBy("user_id").orderBy(*order))
+    return both.withColumn("rank", nth).where(F.col("rank") <= k).unionByName(anew)
 
 
 def with_listing(matches: DataFrame, listings: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -324,6 +324,14 @@ ORACLES: dict[str, str] = {
 
 ORACLES |= {
     "listings_store": ORACLES["listings_refresh"],
+    "experience_band_table": ORACLES["experience_band"],
+    "alerts_by_class": ORACLES["alerts_new"],
+    "matches_refreshed": _with("TOP", """
+        SELECT user_id, id_num, posted_on, CAST(skill_points AS INT) AS skill_points, experience_points, location_points,
+          CAST(score AS INT) AS score, CAST(rank AS INT) AS rank FROM TOP"""),
+    "search_stored": _with("L", """
+        SELECT term, id_num FROM L, (VALUES ('old RING'), ('brand#13'), ('#')) s(term)
+        WHERE contains(lower(title), lower(term)) OR contains(lower(company), lower(term))"""),
     "stream_intake": _with("R", """
         SELECT 'payload' AS kind, payload AS content FROM R WHERE status = 200
         UNION ALL SELECT 'reject', CAST(event_id AS VARCHAR) || CASE status WHEN 400 THEN ' 400 Missing required fields'

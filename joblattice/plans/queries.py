@@ -14,11 +14,11 @@ from joblattice.config import SECRET_CONF
 from joblattice.functions import dimensions, secrets, skills, values
 from joblattice.functions import fixed_values as fixed
 from joblattice.functions.listing import display_line, salary_parts
-from joblattice.operators import alerts, dashboard, filters, intake, matching, searches, state
+from joblattice.operators import alerts, bands, dashboard, filters, intake, matching, searches, state
 from joblattice.plans import bindings as b
 from joblattice.session import apply_settings, shared_folder
 from joblattice.sources import listings as boards
-from joblattice.sources import store, tables
+from joblattice.sources import search_files, store, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -221,6 +221,13 @@ def experience_band(spark, sf):
     )
 
 
+@query
+def experience_band_table(spark, sf):
+    """The band of ``experience_band`` by a join with the bands as a table."""
+    people = b.profiles(spark, sf).select("user_id", "experience")
+    return bands.in_bands(people, "experience", bands.experience_bands(spark)).drop("lo", "hi")
+
+
 @query
 def skills_clean(spark, sf):
     typed = F.array(
@@ -355,6 +362,41 @@ def saved_search_hits(spark, sf):
     return alerts.saved_search_hits(b.listings(spark, sf), terms)
 
 
+@query
+def alerts_by_class(spark, sf):
+    """``alerts_new`` from stored classes, expanded for all buckets of users."""
+    path = _shared_path(spark, "class-alerts")
+    new = b.listings(spark, sf).where(F.col("id_num") % 3 == 0)
+    found = matching.class_matches_at_least(new, b.profiles(spark, sf), fixed.SCORE_HIGH)
+    alerts.write_class_alerts(*found, path)
+    return alerts.not_sent(alerts.class_alerts(spark, path), b.toggles(spark, sf)).select("user_id", "id_num", "score")
+
+
+@query
+def matches_refreshed(spark, sf):
+    """The best matches before a pull, stored, and brought up to date by it."""
+    path = _shared_path(spark, "top")
+    now, people = b.listings(spark, sf), b.profiles(spark, sf)
+    i = F.col("id_num")
+    # Before: a tenth of the listings not there yet, some with another title, some that go.
+    old = now.where(i % 10 != 0).withColumn("title", F.when(i % 31 == 1, "red ring PROMO").otherwise(F.col("title")))
+    gone = now.where(i % 97 == 5).withColumn("id_num", -i - 1)
+    matching.top_matches(old.unionByName(gone), people, fixed.TOP_MATCHES).write.parquet(path)
+    changed = now.where((i % 10 == 0) | (i % 31 == 1)).select("id_num").unionByName(gone.select("id_num"))
+    top = spark.read.parquet(path)
+    return matching.refreshed_top(top, now, changed, people, fixed.TOP_MATCHES)
+
+
+@query
+def search_stored(spark, sf):
+    """Searches over stored listings that open only files which can hold the term."""
+    path = _shared_path(spark, "searchable")
+    search_files.write_searchable(b.listings(spark, sf).select(*CARD), path)
+    terms = ("old RING", "brand#13", "#")
+    found = [search_files.search_stored(spark, path, t).select(F.lit(t).alias("term"), "id_num") for t in terms]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
 # --- stored tables ---------------------------------------------------------
 
 
