@@ -12,8 +12,9 @@ Both work on one row at a time inside Arrow batches: no shuffle, and a task hold
 few rows. A lost task repeats its rows.
 
 Defined results: a null or empty text is 64 zero bytes; repeated rows and equal texts
-give equal values; an empty table gives no row; other columns are not read;
-bytes that are no GIF raise ValueError.
+give equal values; an empty table gives no row; other columns are not read. ``read`` gives
+a row without media, with bytes that are no GIF or a cut one, or with a picture of more than
+``MOST_PIXELS`` pixels null columns and says why in ``error``, which is null otherwise.
 """
 
 from __future__ import annotations
@@ -107,6 +108,9 @@ def write_gif(payload: bytes, delay: int = DELAY) -> bytes:
 # Reading
 
 
+MOST_PIXELS = 1 << 24  # of a screen or frame that is read: 64 MB as RGBA
+
+
 @dataclass
 class Frame:
     left: int
@@ -201,6 +205,8 @@ def read_gif(data: bytes) -> tuple[tuple[int, int], list[Frame]]:
         at += 1
         return b"".join(parts)
 
+    if width * height > MOST_PIXELS:
+        raise ValueError("screen too large")
     shared = palette(flags & 7) if flags & 0x80 else np.zeros((2, 3), dtype=np.uint8)
     frames, control = [], (0, 0, None)
     while data[at] != 0x3B:
@@ -214,6 +220,8 @@ def read_gif(data: bytes) -> tuple[tuple[int, int], list[Frame]]:
         elif kind == 0x2C:
             left, top, w, h, local = struct.unpack_from("<HHHHB", data, at)
             at += 9
+            if w * h > MOST_PIXELS:
+                raise ValueError("frame too large")
             colours = palette(local & 7) if local & 0x80 else shared
             least, at = data[at], at + 1
             samples = _rows_of(_lzw(blocks(), least, w * h), w, h, bool(local & 0x40))
@@ -277,7 +285,7 @@ STORED = "doc_id bigint, n_bytes bigint, media binary"
 READ = (
     "doc_id bigint, n_bytes bigint, media binary, width int, height int, payload binary, "
     "frames array<struct<left:int,top:int,width:int,height:int,delay:int,disposal:int,time:bigint,"
-    "shown_sha256:binary,red:array<bigint>,green:array<bigint>,blue:array<bigint>>>"
+    "shown_sha256:binary,red:array<bigint>,green:array<bigint>,blue:array<bigint>>>, error string"
 )
 
 
@@ -328,16 +336,26 @@ def read(media: DataFrame) -> DataFrame:
             }
             time += f.delay
 
+    def opened(data: bytes | None) -> tuple[tuple, str | None]:
+        """((screen, payload, frames), error); one bad file must not stop a table."""
+        if data is None:
+            return ((None, None), None, None), "no media"
+        try:
+            screen, shown = read_gif(data)
+            return (screen, b"".join([f.samples.tobytes() for f in shown]), list(timed(screen, shown))), None
+        except (ValueError, IndexError, struct.error) as error:
+            return ((None, None), None, None), str(error)
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 128):
                 part = batch.slice(at, 128)
-                sizes, payloads, frames = [], [], []
+                sizes, payloads, frames, errors = [], [], [], []
                 for item in part.column(2):
-                    screen, shown = read_gif(item.as_py())
-                    sizes.append(screen)
-                    payloads.append(b"".join([f.samples.tobytes() for f in shown]))
-                    frames.append(list(timed(screen, shown)))
+                    found, error = opened(item.as_py())
+                    for column, value in zip((sizes, payloads, frames), found, strict=True):
+                        column.append(value)
+                    errors.append(error)
                 kind = pa.list_(
                     pa.struct(
                         [(n, pa.int32()) for n in ("left", "top", "width", "height", "delay", "disposal")]
@@ -352,8 +370,9 @@ def read(media: DataFrame) -> DataFrame:
                         pa.array([h for _, h in sizes], pa.int32()),
                         pa.array(payloads, pa.binary()),
                         pa.array(frames, kind),
+                        pa.array(errors, pa.string()),
                     ],
-                    names=["doc_id", "n_bytes", "media", "width", "height", "payload", "frames"],
+                    names=["doc_id", "n_bytes", "media", "width", "height", "payload", "frames", "error"],
                 )
 
     return media.select("doc_id", "n_bytes", "media").mapInArrow(rows, READ)

@@ -127,3 +127,14 @@ def test_read_shows_frames(spark):
     # Drawn pixels without and with the colour, of red, green and blue.
     ends = [[(c[0], c[15]) for c in (f.red, f.green, f.blue)] for f in row.frames]
     assert ends == [[(1, 1), (1, 1), (2, 0)], [(1, 0), (1, 0), (0, 1)], [(1, 0), (1, 0), (0, 1)], [(1, 0), (0, 1), (1, 0)]]
+
+
+def test_bad_files_do_not_stop_a_table(spark):
+    good = media.write_gif(media.payload_of("some text")[1])
+    hostile = b"GIF89a" + bytes([255, 255, 255, 255, 0, 0, 0]) + b";"
+    wide = b"GIF89a" + bytes([1, 0, 1, 0, 0, 0, 0]) + b"," + bytes([0, 0, 0, 0, 255, 255, 255, 255, 0, 2, 0]) + b";"
+    bad = [None, b"", b"GIF89a", b"PNG", good[:-1], good[: len(good) // 2], good[:14], hostile, wide]
+    rows = [(i, 1, b) for i, b in enumerate([good, *bad])]
+    found = media.read(spark.createDataFrame(rows, "doc_id bigint, n_bytes bigint, media binary")).orderBy("doc_id").collect()
+    assert found[0].error is None and bytes(found[0].payload).startswith(b"some text")
+    assert all(r.error and r.payload is None and r.frames is None and r.width is None for r in found[1:])
