@@ -104,6 +104,7 @@ def measured(docs: DataFrame) -> DataFrame:
     rows = rows.select(
         "doc_id",
         "lang",
+        F.xxhash64("_text").alias("text_hash"),
         _size(F.col("_words")).alias("n_words"),
         F.length(bare).cast("bigint").alias("word_chars"),
         (F.length("_text") - F.length(F.translate("_text", SYMBOLS, ""))).cast("bigint").alias("n_symbols"),
@@ -149,9 +150,14 @@ def _tail_log(n: Column, k: Column, rate: float) -> Column:
 
 
 def chosen_cutoffs(measures: DataFrame, labels: DataFrame, limit: float = MAX_FALSE_REJECTION, delta: float = DELTA) -> DataFrame:
-    """Per stratum: ``lang``, and for each rule its lowest certified cutoff or null."""
+    """Per stratum: ``lang``, and for each rule its lowest certified cutoff or null.
+
+    A text counts once in its stratum, however many labelled copies it has: the bound holds
+    for independent draws.
+    """
     good = labels.where("quality = 1").select(F.col("doc_id").alias("_labelled"))
     held = measures.where(~F.col("base_failed")).join(good, F.col("doc_id") == F.col("_labelled"))
+    held = held.groupBy("lang", "text_hash").agg(*[F.any_value(m).alias(m) for m in METRICS])
     counts = held.groupBy("lang").agg(
         F.count("*").alias("n"),
         *[
@@ -235,7 +241,7 @@ repeats AS (
   FROM (SELECT doc_id, unnest(range(i, i + 8)) AS p FROM windows SEMI JOIN twice USING (doc_id, w))
   GROUP BY doc_id),
 measures AS (
-  SELECT doc_id, lang, CAST(len(words) AS BIGINT) AS n_words,
+  SELECT doc_id, lang, t, CAST(len(words) AS BIGINT) AS n_words,
     CAST(length(regexp_replace(t, '[\\x20\\x09-\\x0D]+', '', 'g')) AS BIGINT) AS word_chars,
     CAST(length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols,
     CAST(len(lines) AS BIGINT) AS n_lines,
@@ -249,7 +255,10 @@ rated AS (
   FROM measures),
 counts AS (
   SELECT lang, count(*) AS n, {_COUNTS}
-  FROM rated JOIN labels USING (doc_id) WHERE NOT base_failed AND quality = 1 GROUP BY lang),
+  FROM (
+    SELECT DISTINCT lang, t, {", ".join(METRICS)} FROM rated JOIN labels USING (doc_id)
+    WHERE NOT base_failed AND quality = 1)
+  GROUP BY lang),
 cutoffs AS (
   SELECT lang, {", ".join(_certified(m) for m in METRICS)}
   FROM counts, (SELECT count(*) AS strata FROM counts))
