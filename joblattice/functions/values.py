@@ -49,6 +49,11 @@ def generated_user_id(ts: Column, same_time: Column | None = None) -> Column:
     return F.concat(F.lit("user_"), F.concat_ws("_", *parts))
 
 
+def _without_mark(body: Column) -> Column:
+    mark = F.lit("\ufeff")
+    return F.when(F.startswith(body, mark), F.substring(body, 2, 2**31 - 1)).otherwise(body)
+
+
 def strict_json(body: Column) -> Column:
     """VARIANT of a text that is one JSON value and nothing else; null otherwise.
 
@@ -57,14 +62,14 @@ def strict_json(body: Column) -> Column:
     behind the value moves the hash, closes the array before it or is no JSON.
     A leading U+FEFF is stripped, as a web server's JSON reader does.
     """
-    text = F.regexp_replace(body, "^\\x{FEFF}", "")
+    text = _without_mark(body)
     mark = F.xxhash64(text).cast("string")
     return F.try_parse_json(F.concat(F.lit("["), text, F.lit(',"'), mark, F.lit('"]')))
 
 
 def strict_json_value(parsed: Column, body: Column) -> Column:
     """The value that ``strict_json`` has parsed, if it stood alone."""
-    text = F.regexp_replace(body, "^\\x{FEFF}", "")
+    text = _without_mark(body)
     alone = (F.try_variant_get(parsed, "$[1]", "string") == F.xxhash64(text).cast("string")) & F.try_variant_get(
         parsed, "$[2]", "variant"
     ).isNull()
@@ -92,7 +97,10 @@ def json_truthy(value: Column) -> Column:
 
     Arrays and objects are true, empty ones too.
     """
-    return F.coalesce(~F.to_json(value).rlike(_FALSY_JSON), F.lit(False))
+    text = F.to_json(value)
+    # Most values are told by comparing; the pattern is for numbers that start with 0.
+    falsy = text.isin("null", "false", '""', "0") | (F.ltrim(text, F.lit("-")).startswith("0") & text.rlike(_FALSY_JSON))
+    return F.coalesce(~falsy, F.lit(False))
 
 
 def json_is_array(value: Column) -> Column:

@@ -49,10 +49,11 @@ def classify(raw: DataFrame) -> DataFrame:
     workPreference, field and skills must be truthy and skills not empty (400).
     Blank text passes, enum values are not checked, a text as skills passes.
     """
-    # As a generator the parse is a step of its own. As a plain column it would
-    # be copied into every filter on the status, once per mention.
-    parsed = raw.select("*", F.explode(F.array(v.strict_json(F.col("body")))).alias("request"))
-    parsed = parsed.withColumn("request", v.strict_json_value(F.col("request"), F.col("body")))
+    # As generators the parse and the test of what follows it are steps of their own. As plain
+    # columns they would be copied into every filter on the status, once per mention.
+    parsed = raw.select("*", F.explode(F.array(v.strict_json(F.col("body")))).alias("_parsed"))
+    value = v.strict_json_value(F.col("_parsed"), F.col("body"))
+    parsed = parsed.select("*", F.explode(F.array(value)).alias("request")).drop("_parsed")
     shared = F.when(~F.col("own_time"), F.xxhash64("body")) if "own_time" in raw.columns else None
     parsed = parsed.withColumn("_made_id", v.generated_user_id(F.col("ts"), shared))
     request, skills = F.col("request"), F.col("_skills")
