@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from joblattice.session import shared_folder
+from joblattice.sources.files import Files
 
 # Word separators of the contracts: space and U+0009 to U+000D.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -42,7 +43,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Write a frame below the shared folder and read it back: its lineage ends there."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back.stored_at = path
+    return back
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove ``stored`` tables; whatever was made from them must be stored itself by now."""
+    for table in tables:
+        folder, name = table.stored_at.rsplit("/", 1)
+        Files(table.sparkSession, folder).remove(name)
 
 
 def broadcast_if_small(df: DataFrame, most_rows: int = 500_000) -> DataFrame:

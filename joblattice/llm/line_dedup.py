@@ -33,7 +33,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from joblattice.llm.common import ascii_lower, broadcast_if_small, documents, stored
+from joblattice.llm.common import ascii_lower, broadcast_if_small, discard, documents, stored
 from joblattice.llm.simhash import components
 
 MIN_CHARS = 32
@@ -259,7 +259,7 @@ def trimmed(a: Column, b: Column, keep: int = 4) -> Column:
 
 
 def links(found: DataFrame, edits: int = EDITS, crowd: int = CROWD) -> DataFrame:
-    """Linked pairs (a, b), a > b, of distinct lines given as (lh, line)."""
+    """Linked pairs (a, b), a > b, of distinct lines given as (lh, line); stored."""
     # Read several times below: the distinct lines are cut, shuffled and stored once.
     distinct = stored(found.groupBy("lh").agg(F.any_value("line").alias("line")), "distinct-lines")
     pairs = stored(candidates(distinct, edits, crowd), "line-candidates")
@@ -270,7 +270,12 @@ def links(found: DataFrame, edits: int = EDITS, crowd: int = CROWD) -> DataFrame
     met = pairs.join(left, "a").join(right, "b")
     # As a generator the trimming is a step of its own, not copied into the distance.
     met = met.select("a", "b", F.explode(F.array(trimmed(F.col("line_a"), F.col("line_b"), edits + 2))).alias("t"))
-    return met.where(banded_distance(F.col("t.a"), F.col("t.b"), edits) <= edits).select("a", "b")
+    # Pairs are few bytes and much work: dealt out evenly, as merging partitions goes by bytes.
+    met = met.repartition(4 * distinct.sparkSession.sparkContext.defaultParallelism)
+    linked = met.where(banded_distance(F.col("t.a"), F.col("t.b"), edits) <= edits).select("a", "b")
+    linked = stored(linked, "line-links")
+    discard(distinct, pairs, wanted, texts)
+    return linked
 
 
 def _rank() -> Column:
@@ -286,7 +291,7 @@ def classed(docs: DataFrame, edits: int = EDITS) -> DataFrame:
     found = lines(docs)
     # Hashes and places only: the texts of all lines are not stored.
     places = stored(found.select("lh", "id", "h", "place"), "line-places")
-    edges = stored(links(found.select("lh", "line"), edits), "line-links")
+    edges = links(found.select("lh", "line"), edits)
     roots = components(edges)
     degree = (
         edges.select(F.explode(F.array("a", "b")).alias("lh")).groupBy("lh").agg(F.count("*").alias("n_links"))

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from joblattice.llm.common import documents, ship, stored
+from joblattice.llm.common import discard, documents, ship, stored
 
 SHINGLE = 4
 SEED = 42
@@ -182,7 +182,10 @@ def components(edges: DataFrame) -> DataFrame:
     seen = state(now)
     while seen[0]:
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        now = stored(star(stored(star(both, True), "edges"), False), "edges")
+        large = stored(star(both, True), "edges")
+        small = stored(star(large, False), "edges")
+        discard(now, large)
+        now = small
         last, seen = seen, state(now)
         if seen == last:
             break

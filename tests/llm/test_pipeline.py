@@ -52,7 +52,7 @@ def texts(df):
 
 def test_order_of_stages():
     assert [n for n, _ in corpus_pipeline.STAGES] == [
-        "quality_classifier", "line_dedup", "simhash_near_dedup", "substring_dedup", "packing",
+        "quality_classifier", "line_dedup", "near_dedup", "substring_dedup", "packing",
     ]
 
 
