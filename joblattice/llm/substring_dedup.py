@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from joblattice.llm.common import documents, ship, stored
+from joblattice.llm.common import documents, ship
 
 STRETCH = 25  # words of neighbouring repeated units that are a passage
 _END = re.compile(r"[.!?][\x20\x09\x0B-\x0D]+|\n")
@@ -103,8 +103,8 @@ def units(docs: DataFrame, unit: str = "line") -> DataFrame:
 
 def dedup(docs: DataFrame, unit: str = "line", stretch: int = STRETCH) -> DataFrame:
     """``row`` (all columns of the input), ``kept`` text, ``n_units`` and ``removed`` spans."""
-    # The units of a table are a few numbers each and are used twice: stored once.
-    found = stored(units(docs, unit), "units")
+    # Cut twice rather than stored: units are many, and cutting is cheap beside their disk.
+    found = units(docs, unit)
     rank = F.struct(F.col("id").isNull(), "id", "h", "place")
     firsts = found.groupBy("digest").agg(F.min(rank).alias("first"), F.count("*").alias("n")).where("n > 1")
     later = found.join(firsts, "digest").where(rank != F.col("first"))
