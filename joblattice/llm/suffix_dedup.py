@@ -335,8 +335,7 @@ def _sorted_repeats(texts: DataFrame) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(group: list[tuple]) -> Iterator[pa.RecordBatch]:
-            # Texts of several groups are told apart by their anchors only in that equal strings
-            # have equal anchors, so one array serves them all.
+            # Equal strings have equal anchors, so whole groups can share one array.
             ranks = [(did, h, start) for _, did, h, start, _ in group]
             found = [(*ranks[t][:2], ranks[t][2] + i) for t, i in repeated_starts([g[4] for g in group], ranks)]
             if found:
