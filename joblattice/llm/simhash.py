@@ -65,9 +65,14 @@ def fingerprint(text: str | None, width: int = SHINGLE, seed: int = SEED) -> byt
     starts = (ends - lengths)[: len(words) - width + 1].tolist()
     digest = xxhash.xxh64_digest
     hashes = b"".join([digest(joined[a:b], seed) for a, b in zip(starts, ends[width - 1 :].tolist())])
+    return majority(hashes)
+
+
+def majority(hashes: bytes) -> bytes:
+    """The bits set in more than half of the given eight-byte hashes."""
     seen = np.frombuffer(hashes, dtype=np.uint8).reshape(-1, 8)
     counts = np.bincount((seen + _PLACES).ravel(), minlength=2048).reshape(8, 256) @ _BITS
-    return np.packbits((2 * counts > len(starts)).ravel()).tobytes()
+    return np.packbits((2 * counts > len(seen)).ravel()).tobytes()
 
 
 def fingerprints(docs: DataFrame, width: int = SHINGLE, seed: int = SEED) -> DataFrame:
