@@ -406,35 +406,54 @@ def top_matches(
     classes = _best(_listing_side(listings, scope, interests), _class_keys(scope), newest, k)
     classes = classes.drop("hash", "rank")
 
-    by_word = _best(
-        _words(classes), [*scope, "field", "place", "work_mode", "band", "word"], newest, k
-    )
-    one_hit = _word_looks(by_word, interests, signatures, scope).where(
-        ~F.arrays_overlap("others", _held())
-    )
-    more = _looks(classes, interests, signatures, scope, TWO)
+    word_keys = [*scope, "field", "place", "work_mode", "band", "word"]
+    by_word = _best(_words(classes), word_keys, newest, k)
+    # The k rows of a word go to its interests, and the k of a cell to its signatures, as lists.
+    by_word = by_word.groupBy("hash", *word_keys).agg(F.collect_list(F.struct("title", "posted_on", "id_num")).alias("rows"))
+    alone = F.filter("rows", lambda r: ~F.arrays_overlap("others", F.split(r["title"], BETWEEN)))
+    alone = F.transform(alone, lambda r: F.struct(r["posted_on"].alias("posted_on"), r["id_num"].alias("id_num")))
+    one_hit = _word_looks(by_word.drop("hash"), interests, signatures, scope).withColumn("hits", F.lit(1))
+    one_hit = one_hit.select(*_cell_keys(scope), alone.alias("rows")).where(F.size("rows") > 0)
+    one_hit = one_hit.groupBy(*_cell_keys(scope)).agg(F.flatten(F.collect_list("rows")).alias("rows"))
+    one_hit = one_hit.withColumn("rows", F.slice(_newest_first(F.col("rows")), 1, k))
 
-    columns = [*_cell_keys(scope), "id_num", "posted_on"]
-    met = one_hit.withColumn("hits", F.lit(1)).select(*columns).unionByName(more.select(*columns))
-    cells = _best(met, _cell_keys(scope), newest, k)
-    cells = cells.groupBy("hash", *_cell_keys(scope)).agg(
-        F.collect_list(F.struct("id_num", "posted_on")).alias("rows")
+    more = _looks(classes, interests, signatures, scope, TWO)
+    more = _best(more.select(*_cell_keys(scope), "id_num", "posted_on"), _cell_keys(scope), newest, k)
+    more = more.groupBy("hash", *_cell_keys(scope)).agg(F.collect_list(F.struct("posted_on", "id_num")).alias("rows"))
+    # Cells of the two differ in their hits. Two lists of plain values are a third of one of pairs.
+    cells = one_hit.unionByName(more.drop("hash")).select(
+        *_cell_keys(scope), F.col("rows.id_num").alias("id_num"), F.col("rows.posted_on").alias("posted_on")
     )
 
+    # One short name per signature: its rows are shuffled and sorted several times.
+    name = F.unhex(F.md5(F.to_json(F.struct(*_signature(scope))))).alias("signature")
     # A score level is needed only while the levels above it hold fewer than k.
-    levels = Window.partitionBy(*_signature(scope)).orderBy(F.col("score").desc())
+    levels = Window.partitionBy("signature").orderBy(F.col("score").desc())
     above = F.coalesce(
-        F.sum(F.size("rows")).over(levels.rangeBetween(Window.unboundedPreceding, -1)), F.lit(0)
+        F.sum(F.size("id_num")).over(levels.rangeBetween(Window.unboundedPreceding, -1)), F.lit(0)
     )
-    scored = _score_signatures(signatures, cells, scope, settings)
+    scored = _score_signatures(signatures, cells, scope, settings).select(name, *PARTS, "id_num", "posted_on")
     needed = scored.withColumn("above", above).where(F.col("above") < k)
-    expanded = needed.select(*_signature(scope), *PARTS, F.inline("rows"))
-    ranked = _best(expanded, _signature(scope), [F.col("score").desc(), *newest], k)
-    return side.join(ranked, _signature(scope)).select(
+    rows = needed.select("signature", *PARTS, F.inline(F.arrays_zip("id_num", "posted_on")))
+    ranked = _best(rows, ["signature"], [F.col("score").desc(), *newest], k)
+    return side.select("user_id", *scope, *keep, name).join(ranked, "signature").select(
         "user_id", *scope, *keep, "id_num", "posted_on", *PARTS, "rank"
     )
 
 
+def _newest_first(rows: Column) -> Column:
+    """A list of (posted_on, id_num) in the order of ``top_matches``: newest first, no date
+    last, then the lowest id, none first."""
+    def turned(row: Column) -> Column:
+        posted, number = row["posted_on"], row["id_num"]
+        return F.struct(posted.alias("posted_on"), number.isNull().alias("none"), F.bitwise_not(number).alias("back"))
+
+    def back(row: Column) -> Column:
+        return F.struct(row["posted_on"].alias("posted_on"), F.bitwise_not(row["back"]).alias("id_num"))
+
+    return F.transform(F.sort_array(F.transform(rows, turned), asc=False), back)
+
+
 def matches_at_least(
     listings: DataFrame, profiles: DataFrame, score: int, settings: MatchSettings = MATCH
 ) -> DataFrame:
