@@ -394,6 +394,25 @@ def top_matches(
 
     Order: score, then newest, then lowest id. ``keep`` names further profile
     columns to hand through.
+    """
+    owners, ranked = top_signatures(listings, profiles, k, scope, keep, settings)
+    return owners.join(ranked, "signature").select(
+        "user_id", *scope, *keep, "id_num", "posted_on", *PARTS, "rank"
+    )
+
+
+def top_signatures(
+    listings: DataFrame,
+    profiles: DataFrame,
+    k: int,
+    scope: Sequence[str] = (),
+    keep: Sequence[str] = (),
+    settings: MatchSettings = MATCH,
+) -> tuple[DataFrame, DataFrame]:
+    """``top_matches`` before users are put in: (owners, ranked).
+
+    ``owners`` names the ``signature`` of each user, ``ranked`` the k best listings of each
+    signature with their rank.
 
     Listings with one hit come from the k newest per (field, place, mode, band,
     word): what is not among them has k listings with that word, so with at
@@ -436,9 +455,7 @@ def top_matches(
     needed = scored.withColumn("above", above).where(F.col("above") < k)
     rows = needed.select("signature", *PARTS, F.inline(F.arrays_zip("id_num", "posted_on")))
     ranked = _best(rows, ["signature"], [F.col("score").desc(), *newest], k)
-    return side.select("user_id", *scope, *keep, name).join(ranked, "signature").select(
-        "user_id", *scope, *keep, "id_num", "posted_on", *PARTS, "rank"
-    )
+    return side.select("user_id", *scope, *keep, name), ranked.select("signature", "id_num", "posted_on", *PARTS, "rank")
 
 
 def _newest_first(rows: Column) -> Column:
@@ -562,8 +579,20 @@ def top_by_plan(listings: DataFrame, profiles: DataFrame, settings: MatchSetting
     return reduce(DataFrame.unionByName, parts)
 
 
-def result_documents(matches: DataFrame) -> DataFrame:
-    """One JSON document per user, jobs in rank order (at most k each)."""
+def result_documents(matches: DataFrame, by: str = "user_id") -> DataFrame:
+    """One JSON document per user, or other value of ``by``, jobs in rank order."""
     job = F.struct("title", "company", "location", "score", "link").alias("job")
     jobs = F.sort_array(F.collect_list(F.struct("rank", job))).getField("job")
-    return matches.groupBy("user_id").agg(F.to_json(F.struct(jobs.alias("jobs"))).alias("document"))
+    return matches.groupBy(by).agg(F.to_json(F.struct(jobs.alias("jobs"))).alias("document"))
+
+
+def user_documents(owners: DataFrame, matches: DataFrame) -> DataFrame:
+    """``result_documents`` of users from the ``owners`` and the matches of ``top_signatures``.
+
+    Users of one signature have one document, so it is made once and handed to each of them.
+    A user with several profiles has the matches of all in one document.
+    """
+    users = owners.groupBy("user_id").agg(F.sort_array(F.collect_list("signature")).alias("signatures"))
+    wanted = users.select("signatures").distinct().select("signatures", F.explode("signatures").alias("signature"))
+    documents = result_documents(wanted.join(matches, "signature"), "signatures")
+    return users.join(documents, "signatures").select("user_id", "document")

@@ -206,6 +206,19 @@ def test_result_documents(tables):
     assert all(list(j) == ["title", "company", "location", "score", "link"] for d in docs.values() for j in d["jobs"])
 
 
+def test_documents_are_made_once_for_users_alike(spark, tables):
+    (listings, profiles), _, _ = tables
+    columns = ["title", "company", "location", "link"]
+    # Some users stand twice, with the same or another profile; some have no id.
+    more = profiles.withColumn("user_id", F.when(F.col("user_id") % 3 > 0, F.col("user_id") - F.col("user_id") % 3))
+    people = profiles.unionByName(more)
+    owners, top = matching.top_signatures(listings, people, 3)
+    got = matching.user_documents(owners, matching.with_listing(top, listings, columns))
+    plain = matching.result_documents(matching.with_listing(matching.top_matches(listings, people, 3), listings, columns))
+    assert sorted(map(str, got.collect())) == sorted(map(str, plain.collect()))
+    assert top.count() < matching.top_matches(listings, people, 3).count()
+
+
 def test_groups_are_cut_before_the_first_shuffle(tables):
     (listings, profiles), _, _ = tables
     plan = matching.top_matches(listings, profiles, 20)._jdf.queryExecution().executedPlan().toString()
