@@ -33,7 +33,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from joblattice.llm.common import ascii_lower, broadcast_if_small, discard, documents, stored
+from joblattice.llm.common import BLANKS, ascii_lower, broadcast_if_small, discard, documents, stored
 from joblattice.llm.simhash import components
 
 MIN_CHARS = 32
@@ -42,7 +42,11 @@ CROWD = 32  # lines of an index key that are compared with every line that probe
 
 
 def normalised(line: Column) -> Column:
-    return F.trim(F.regexp_replace(ascii_lower(line), "[\\x20\\x09-\\x0D]+", " "))
+    # Most lines are ASCII and have single spaces only: neither mapped nor matched char by char.
+    plain = F.octet_length(line) == F.length(line)
+    low = F.when(plain, F.lower(line)).otherwise(ascii_lower(line))
+    odd = reduce(Column.__or__, [F.contains(line, F.lit(b)) for b in ("  ", *BLANKS[1:])])
+    return F.trim(F.when(odd, F.regexp_replace(low, "[\\x20\\x09-\\x0D]+", " ")).otherwise(low))
 
 
 def lines(docs: DataFrame) -> DataFrame:
@@ -59,29 +63,6 @@ def lines(docs: DataFrame) -> DataFrame:
 # Segments and probes
 
 
-def _segment(length: Column, i: int, edits: int) -> tuple[Column, Column]:
-    """(start, length) of segment i of a line, counted from 0."""
-
-    def edge(j: int) -> Column:
-        return F.floor(length * j / (edits + 1)).cast("int")
-
-    return edge(i), edge(i + 1) - edge(i)
-
-
-def _key(text: Column, length: Column, i: int, start: Column, size: Column, beside: Column) -> Column:
-    return F.xxhash64(beside, length, F.lit(i), F.substring(text, start + 1, size))
-
-
-def index_keys(text: Column, n: Column, edits: int, beside: Column) -> Column:
-    """array<struct<key, i, at, size>> of a line's segments; ``n`` is its length."""
-    out = []
-    for i in range(edits + 1):
-        start, size = _segment(n, i, edits)
-        key = _key(text, n, i, start, size, beside)
-        out.append(F.struct(key.alias("key"), F.lit(i).alias("i"), start.alias("at"), size.alias("size")))
-    return F.array(*out)
-
-
 def probes(edits: int) -> list[tuple[int, int, int]]:
     """(length less, segment, shift) a longer line has to look at."""
     return [
@@ -92,23 +73,26 @@ def probes(edits: int) -> list[tuple[int, int, int]]:
     ]
 
 
-def probe_keys(text: Column, n: Column, edits: int, beside: Column) -> Column:
-    """array<struct<key, i, at, size, less>> of what a line looks up, or null for it."""
-    out = []
-    for less, i, shift in probes(edits):
-        length = n - less
-        start, size = _segment(length, i, edits)
-        at = start + shift
-        fits = (length >= 0) & (at >= 0) & (at + size <= n)
-        found = F.struct(
-            _key(text, length, i, at, size, beside).alias("key"),
-            F.lit(i).alias("i"),
-            at.alias("at"),
-            size.alias("size"),
-            F.lit(less).alias("less"),
-        )
-        out.append(F.when(fits, found))
-    return F.array(*out)
+def segments(edits: int) -> list[tuple[int, int, int]]:
+    """The same for the segments of a line itself, as the index holds them."""
+    return [(0, i, 0) for i in range(edits + 1)]
+
+
+def keyed(rows: DataFrame, text: str, wanted: list[tuple[int, int, int]], edits: int, beside: Column) -> DataFrame:
+    """``rows`` with ``key``, ``i``, ``at``, ``size`` and ``less`` of each wanted piece of ``text``.
+
+    The wanted pieces are rows and the key is one short expression over them: one for each piece
+    makes code too long for the JVM to compile.
+    """
+    list_ = F.array(*[F.struct(*[F.lit(v).alias(c) for c, v in zip(("less", "i", "shift"), w)]) for w in wanted])
+    n, i = F.length(text), F.col("w.i")
+    cut = rows.select("*", n.alias("n_"), F.explode(list_).alias("w")).withColumn("length_", F.col("n_") - F.col("w.less"))
+    start = F.floor(F.col("length_") * i / (edits + 1)).cast("int")
+    end = F.floor(F.col("length_") * (i + 1) / (edits + 1)).cast("int")
+    cut = cut.withColumns({"at": start + F.col("w.shift"), "size": end - start})
+    cut = cut.where("length_ >= 0 AND at >= 0 AND at + size <= n_")
+    key = F.xxhash64(beside, "length_", i, F.substring(text, F.col("at") + 1, F.col("size")))
+    return cut.select(*rows.columns, key.alias("key"), i.alias("i"), "at", "size", F.col("w.less").alias("less"))
 
 
 def _meet(index: DataFrame, probing: DataFrame, both_ways: bool = False) -> DataFrame:
@@ -132,15 +116,8 @@ def _rest(text: Column, edits: int) -> list[tuple[Column, int]]:
 def candidates(distinct: DataFrame, edits: int = EDITS, crowd: int = CROWD) -> DataFrame:
     """Pairs (a, b), a > b, of line hashes that may be linked; every linked pair is among them."""
     top = F.lit(0).cast("bigint")
-
-    def keyed(rows: DataFrame, keys, *more: str) -> DataFrame:
-        # The length is a column of its own: inside the keys it would be counted anew each time.
-        sized = rows.withColumn("size_", F.length("line"))
-        found = sized.select("lh", *more, F.explode(keys(F.col("line"), F.col("size_"), edits, top)).alias("k"))
-        return found.where(F.col("k").isNotNull()).select("lh", *more, "k.*")
-
-    index = keyed(distinct, index_keys).select("lh", "key")
-    probing = keyed(distinct, probe_keys).select("lh", "key", "less")
+    index = keyed(distinct, "line", segments(edits), edits, top).select("lh", "key")
+    probing = keyed(distinct, "line", probes(edits), edits, top).select("lh", "key", "less")
     crowded = index.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > crowd).select("key")
     crowded = stored(crowded, "crowded-keys")
     if crowded.isEmpty():
@@ -151,17 +128,17 @@ def candidates(distinct: DataFrame, edits: int = EDITS, crowd: int = CROWD) -> D
     members = broadcast_if_small(stored(members, "crowded-hashes"))
     members = stored(distinct.join(members, "lh", "left_semi"), "crowded-lines")
 
-    def below(keys, *more: str) -> DataFrame:
-        rows = keyed(members, keys, "line").join(crowded, "key")
+    def below(wanted, *more: str) -> DataFrame:
+        rows = keyed(members, "line", wanted(edits), edits, top).join(crowded, "key").withColumnRenamed("key", "beside")
         out = []
         for i, (rest, left) in enumerate(_rest(F.col("line"), edits)):
-            part = rows.where(F.col("i") == i).select("lh", *more, "key", rest.alias("rest"))
-            part = part.withColumn("size_", F.length("rest"))
-            made = F.explode(keys(F.col("rest"), F.col("size_"), left, F.col("key"))).alias("k")
-            out.append(part.select("lh", *more, made).where(F.col("k").isNotNull()).select("lh", *more, "k.key"))
+            part = rows.where(F.col("i") == i).select("lh", "beside", rest.alias("rest"))
+            # What the first level says of a line's length is part of its key.
+            made = keyed(part, "rest", wanted(left), left, F.col("beside"))
+            out.append(made.select("lh", *more, "key"))
         return reduce(DataFrame.unionByName, out)
 
-    index2, probing2 = below(index_keys), below(probe_keys, "less")
+    index2, probing2 = below(segments), below(probes, "less")
     # Of two lines of one length either may have the longer rest: both probe.
     return pairs.union(_meet(index2, probing2, both_ways=True)).distinct()
 
