@@ -37,7 +37,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from joblattice.llm.common import documents, kept_by_worker, ship, stored
@@ -376,8 +376,9 @@ def repeats(keyed: DataFrame, crowd: int = CROWD) -> DataFrame:
     )
     texts = stored(_texts(keyed, wanted), "run-texts")
     single = texts.where("crowd").select("ah", "sub", "did", "h", "start")
-    least = single.groupBy("ah", "sub").agg(F.min(rank).alias("first"), F.count("*").alias("c")).where("c > 1")
-    dealt = single.join(least.drop("c"), ["ah", "sub"]).where(rank != F.col("first"))
+    # Sorted by rank within a string all but its first start go; nothing is joined or kept in memory.
+    nth = F.rank().over(Window.partitionBy("ah", "sub").orderBy("did", "h", "start"))
+    dealt = single.withColumn("nth", nth).where("nth > 1")
     dealt = dealt.select("did", "h", "start", (F.col("start") + LENGTH).alias("end"))
     return later.unionByName(dealt).unionByName(_sorted_repeats(texts))
 
