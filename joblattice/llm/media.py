@@ -19,6 +19,7 @@ a row without media, with bytes that are no GIF or a cut one, or with a picture
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import struct
 from collections.abc import Iterator
@@ -124,26 +125,34 @@ class Frame:
     samples: np.ndarray  # height x width
 
 
+@functools.cache
+def _after_clear(least: int) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """(entries, widths of the codes, their ends) behind a clear code, up to a full table and on."""
+    clear, end = 1 << least, (1 << least) + 1
+    entries = [bytes([i]) for i in range(clear)] + [b"", b""]
+    first = np.concatenate([[0], np.arange(4096 - end)])
+    widths = np.clip(np.frexp(end + 1 + first)[1], least + 1, 12).astype(np.int64)
+    return entries, widths, np.cumsum(widths)
+
+
 def _lzw(data: bytes, least: int, expected: int) -> bytes:
     """Samples of a code stream. Reads past a missing end code; stops at ``expected``."""
     clear, end = 1 << least, (1 << least) + 1
-    base = [bytes([i]) for i in range(clear)] + [b"", b""]
-    bits = np.unpackbits(np.frombuffer(data, dtype=np.uint8), bitorder="little")
-    # Places and widths of the codes that follow a clear code, up to a full table and on.
-    first = np.concatenate([[0], np.arange(4096 - end)])
-    widths = np.clip(np.frexp(end + 1 + first)[1], least + 1, 12)
-    weights = 1 << np.arange(12)
+    base, growing, growing_ends = _after_clear(least)
+    # A code lies within three bytes.
+    raw = np.frombuffer(data + b"\0\0", dtype=np.uint8).astype(np.int32)
+    triples = raw[:-2] | raw[1:-1] << 8 | raw[2:] << 16
+    n_bits = 8 * len(data)
+    widths, width_ends = growing, growing_ends
     out, done, at = [], 0, 0
     table, previous = list(base), None
-    while at < len(bits) and done < expected:
-        ends = at + np.cumsum(widths)
-        n = int(np.searchsorted(ends, len(bits), side="right"))
+    while at < n_bits and done < expected:
+        n = int(np.searchsorted(width_ends, n_bits - at, side="right"))
         if n == 0:
             break
-        starts = (ends - widths)[:n]
-        place = np.minimum(starts[:, None] + np.arange(12), len(bits) - 1)
-        window = bits[place] * (np.arange(12) < widths[:n, None])
-        codes = window @ weights
+        ends = at + width_ends[:n]
+        starts = ends - widths[:n]
+        codes = triples[starts >> 3] >> (starts & 7) & (1 << widths[:n]) - 1
         stops = np.flatnonzero((codes == clear) | (codes == end))
         stop = int(stops[0]) if len(stops) else n
         for code in codes[:stop].tolist():
@@ -163,10 +172,11 @@ def _lzw(data: bytes, least: int, expected: int) -> bytes:
             if codes[stop] == end:
                 break
             at, table, previous = int(ends[stop]), list(base), None
-            widths = np.clip(np.frexp(end + 1 + first)[1], least + 1, 12)
+            widths, width_ends = growing, growing_ends
         else:
             at = int(ends[n - 1])
             widths = np.full(4096, 12)  # a full table without a clear code
+            width_ends = np.cumsum(widths)
     return b"".join(out)[:expected]
 
 
