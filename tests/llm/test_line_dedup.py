@@ -1,6 +1,7 @@
 """Edit joins of lines against all pairs."""
 
 import random
+import re
 
 import duckdb
 import pytest
@@ -96,3 +97,25 @@ def test_classes_query_equals_its_sql(spark, sf):
     found = line_dedup.op3_line_classes(spark, sf)
     assert found.columns == expected.columns
     assert sorted(map(tuple, found.collect())) == sorted(expected.fetchall())
+
+
+def test_keys_are_one_expression_and_cut_the_pieces(spark):
+    df = spark.createDataFrame([("abcdefghij",), ("é" * 7 + "xyz",), ("ab",)], "line string")
+    found = line_dedup.keyed(df, "line", line_dedup.probes(2), 2, F.lit(0))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("xxhash64") == 1
+    expected = set()
+    for (line,) in map(tuple, df.collect()):
+        for less, i, shift in line_dedup.probes(2):
+            n = len(line) - less
+            start, end = n * i // 3, n * (i + 1) // 3
+            if n >= 0 and start + shift >= 0 and end + shift <= len(line):
+                expected.add((line, less, i, start + shift, end - start))
+    assert {(r.line, r.less, r.i, r.at, r["size"]) for r in found.collect()} == expected
+
+
+def test_lines_are_normalised_alike_by_both_ways(spark):
+    texts = ["A b C", " A  b\tc ", "É A  İ b", "İA b", "\x0b\x0cA\r", "", "\xa0A\x1fb"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", line_dedup.normalised(F.col("t")).alias("n"))
+    for r in rows.collect():
+        low = "".join(c.lower() if "A" <= c <= "Z" else c for c in r.t)
+        assert r.n == re.sub("[ \t-\r]+", " ", low).strip(" ")

@@ -138,3 +138,9 @@ def test_bad_files_do_not_stop_a_table(spark):
     found = media.read(spark.createDataFrame(rows, "doc_id bigint, n_bytes bigint, media binary")).orderBy("doc_id").collect()
     assert found[0].error is None and bytes(found[0].payload).startswith(b"some text")
     assert all(r.error and r.payload is None and r.frames is None and r.width is None for r in found[1:])
+
+
+def test_a_wrong_code_size_is_a_bad_file():
+    # Its entries would not fit any table; the reader must say so rather than fail otherwise.
+    with pytest.raises(ValueError):
+        media.read_gif(hand_made([4, 0, 5], 1, 1, least=200))

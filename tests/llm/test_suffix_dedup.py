@@ -94,3 +94,9 @@ def test_rows_without_id_and_repeated_ids_are_told_apart(spark):
         # 64 hex digits three times over: the second and third copy of the unit repeat it
         assert lost[(given, one)] == len(one)
         assert lost[(given, other)] == lost[(1, one)] < len(other)
+
+
+def test_strings_of_a_crowd_are_not_joined(spark):
+    docs = spark.createDataFrame([(i, "same passage " * 9 + str(i)) for i in range(6)], "doc_id bigint, text string")
+    plan = suffix.repeats(suffix._keyed(docs), crowd=1)._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Join" in line and "sub#" in line]
