@@ -35,7 +35,8 @@ WINDOW = 4096
 END_TOKEN = 2
 VOCABULARY = "word_bpe_49k.json"
 BLOCK = 8192  # leftovers that are packed together
-CACHED_WORDS = 2_000_000  # of each Python worker
+CACHED_BYTES = 144 << 20  # words of each Python worker; an executor holds several beside its heap
+ENTRY_BYTES = 180  # of a word without its characters and ids: two objects, a place in the dictionary
 SCHEMA = (
     "doc_id bigint, start bigint, length bigint, doc_tokens bigint, "
     "sequence_id bigint, offset bigint, ids binary"
@@ -101,9 +102,11 @@ class WordCache:
     ids are those of its runs one after another. A new run of ASCII and Latin letters,
     digits and signs is cut into the pre-tokeniser's pieces here, and new pieces go
     through the vocabulary's merges alone; any other run goes through the tokenizer whole.
+    A piece is a run as well, and kept once. What is kept is forgotten when it would take
+    more than ``most`` bytes, checked between texts given together.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int = CACHED_BYTES):
         import json
         import os
 
@@ -121,8 +124,17 @@ class WordCache:
         signs = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         others = [b for b in range(256) if b not in signs]
         self.letters = {b: 256 + i for i, b in enumerate(others)}
+        self.most = most
+        self.forget()
+
+    def forget(self) -> None:
         self.known: dict[str, bytes] = {"": b""}
-        self.known_pieces: dict[str, bytes] = {}
+        self.odd_pieces: dict[str, bytes] = {}  # those that are no plain run
+        self.bytes = 0
+
+    def put(self, table: dict[str, bytes], text: str, ids: bytes) -> None:
+        table[text] = ids
+        self.bytes += ENTRY_BYTES + (1 if text.isascii() else 4) * len(text) + len(ids)
 
     def learn_pieces(self, pieces: list[str]) -> None:
         shown = [p if p.isascii() else p.encode().decode("latin-1").translate(self.letters) for p in pieces]
@@ -130,28 +142,32 @@ class WordCache:
         ends = np.cumsum(np.bincount(encoded.word_ids, minlength=len(pieces))).tolist()
         raw, at = np.asarray(encoded.ids, dtype="<u4").tobytes(), 0
         for piece, end in zip(pieces, ends, strict=True):
-            self.known_pieces[piece] = raw[4 * at : 4 * end]
+            plain = (piece.isascii() and piece.isalpha()) or self.plain(piece)
+            self.put(self.known if plain else self.odd_pieces, piece, raw[4 * at : 4 * end])
             at = end
 
     def learn(self, runs: list[str]) -> None:
-        plain, known = self.plain, self.known_pieces
+        plain, known, odd = self.plain, self.known, self.odd_pieces
         cut = {}
         for run in runs:
-            if plain(run):
+            if run.isascii() and run.isalpha():
+                cut[run] = [run.lower()]
+            elif plain(run):
                 cut[run] = self.pieces_of(run.lower())
             else:
                 ids = self.tokenizer.encode(run, add_special_tokens=False).ids
-                self.known[run] = np.asarray(ids, dtype="<u4").tobytes()
-        new = list({p for pieces in cut.values() for p in pieces if p not in known})
+                self.put(known, run, np.asarray(ids, dtype="<u4").tobytes())
+        new = list({p for pieces in cut.values() for p in pieces if p not in known and p not in odd})
         for i in range(0, len(new), 4096):
             self.learn_pieces(new[i : i + 4096])
         for run, pieces in cut.items():
-            self.known[run] = b"".join([known[p] for p in pieces])
+            if run not in known:
+                self.put(known, run, b"".join([known[p] if p in known else odd[p] for p in pieces]))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         split = [(t or "").replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
-        if len(self.known) + len(self.known_pieces) > CACHED_WORDS:
-            self.known, self.known_pieces = {"": b""}, {}
+        if self.bytes > self.most:
+            self.forget()
         known = self.known
         missing = {w for runs in split for w in runs if w not in known}
         if missing:

@@ -69,3 +69,20 @@ def test_best_fit_is_the_tightest(seed):
             rooms.remove(min(fitting))
         rooms.append(64 - offset[i] - lengths[i])
     assert opened == len(rooms) and len(set(place)) == opened
+
+
+def test_words_are_forgotten_beyond_their_bytes():
+    path = public_tokenizers.path(packing.VOCABULARY)
+    tokenizer, most = Tokenizer.from_file(path), 200_000
+    words = packing.WordCache(path, most)
+    rng = random.Random(4)
+    letters = "abcdefghij" * 3 + "\u00c9\u00e9\u0130\u00df.,'<|1"
+    for _ in range(40):
+        texts = [" ".join("".join(rng.choices(letters, k=rng.randint(1, 40))) for _ in range(30)) for _ in range(8)]
+        found = words.encode([*texts, "Word word WORD word, 'll", None])
+        expected = [tokenizer.encode(t, add_special_tokens=False).ids for t in [*texts, "Word word WORD word, 'll", ""]]
+        assert [np.frombuffer(f, "<u4").tolist() for f in found] == expected
+        kept = [*words.known.items(), *words.odd_pieces.items()]
+        assert sum(len(t) + len(i) + packing.ENTRY_BYTES for t, i in kept) < 2 * most
+    # A word that is one piece is kept once.
+    assert not words.known.keys() & words.odd_pieces.keys()
