@@ -30,7 +30,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from joblattice.llm.common import BLANKS, ascii_lower, broadcast_if_small, discard, documents, stored
@@ -38,6 +38,7 @@ from joblattice.llm.simhash import components
 
 MIN_CHARS = 32
 EDITS = 2
+PARTS = 12  # of a line; a pair with more than EDITS of them missing is not verified
 CROWD = 32  # lines of an index key that are compared with every line that probes it
 
 
@@ -51,12 +52,13 @@ def normalised(line: Column) -> Column:
 
 def lines(docs: DataFrame) -> DataFrame:
     """(id, h, place, lh, line) of every line that is long enough."""
+    # Normalised within the generator, thus once; no line gets longer by it.
+    whole = F.split(F.col("text").cast("string"), "\n")
     cut = docs.select(
         F.col("doc_id").cast("bigint").alias("id"),
         F.xxhash64("text").alias("h"),
-        F.posexplode(F.split(F.col("text").cast("string"), "\n")).alias("place", "line"),
+        F.posexplode(F.transform(whole, lambda t: F.when(F.length(t) >= MIN_CHARS, normalised(t)))).alias("place", "line"),
     )
-    cut = cut.where(F.length("line") >= MIN_CHARS).withColumn("line", normalised(F.col("line")))
     return cut.where(F.length("line") >= MIN_CHARS).withColumn("lh", F.xxhash64("line"))
 
 
@@ -79,7 +81,9 @@ def segments(edits: int) -> list[tuple[int, int, int]]:
 
 
 def keyed(rows: DataFrame, text: str, wanted: list[tuple[int, int, int]], edits: int, beside: Column) -> DataFrame:
-    """``rows`` with ``key``, ``i``, ``at``, ``size`` and ``less`` of each wanted piece of ``text``.
+    """``rows`` with ``key``, ``i``, ``at``, ``size``, ``less`` and ``own`` of each wanted piece of ``text``.
+
+    ``own`` pieces are segments of the text itself, as the index holds them.
 
     The wanted pieces are rows and the key is one short expression over them: one for each piece
     makes code too long for the JVM to compile.
@@ -92,7 +96,8 @@ def keyed(rows: DataFrame, text: str, wanted: list[tuple[int, int, int]], edits:
     cut = cut.withColumns({"at": start + F.col("w.shift"), "size": end - start})
     cut = cut.where("length_ >= 0 AND at >= 0 AND at + size <= n_")
     key = F.xxhash64(beside, "length_", i, F.substring(text, F.col("at") + 1, F.col("size")))
-    return cut.select(*rows.columns, key.alias("key"), i.alias("i"), "at", "size", F.col("w.less").alias("less"))
+    own = (F.col("w.less") == 0) & (F.col("w.shift") == 0)
+    return cut.select(*rows.columns, key.alias("key"), i.alias("i"), "at", "size", F.col("w.less").alias("less"), own.alias("own"))
 
 
 def _meet(index: DataFrame, probing: DataFrame, both_ways: bool = False) -> DataFrame:
@@ -116,16 +121,29 @@ def _rest(text: Column, edits: int) -> list[tuple[Column, int]]:
 def candidates(distinct: DataFrame, edits: int = EDITS, crowd: int = CROWD) -> DataFrame:
     """Pairs (a, b), a > b, of line hashes that may be linked; every linked pair is among them."""
     top = F.lit(0).cast("bigint")
-    index = keyed(distinct, "line", segments(edits), edits, top).select("lh", "key")
-    probing = keyed(distinct, "line", probes(edits), edits, top).select("lh", "key", "less")
+    index = keyed(distinct, "line", segments(edits), edits, top).select("key")
     crowded = index.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > crowd).select("key")
     crowded = stored(crowded, "crowded-keys")
+    named = broadcast_if_small(crowded).withColumn("crowded", F.lit(True))
+    # A line's own segments are among its probes. Most keys belong to one line alone: a
+    # window leaves them out, so that the rows meet and go further as a small table.
+    probing = keyed(distinct, "line", probes(edits), edits, top).select("lh", "key", "less", "own")
+    probing = probing.join(named, "key", "left").withColumn("crowded", F.coalesce("crowded", F.lit(False)))
+    # Crowded keys are only passed on: dealt over many groups.
+    group = Window.partitionBy("key", F.when(F.col("crowded"), F.pmod("lh", F.lit(4096))).otherwise(-1))
+    facts = {
+        "n_own": F.count(F.when(F.col("own"), 1)).over(group),
+        "low": F.min("lh").over(group),
+        "high": F.max("lh").over(group),
+    }
+    shared = probing.withColumns(facts).where("crowded OR (n_own > 0 AND low < high)")
+    shared = stored(shared.select("lh", "key", "less", "own", "crowded"), "shared-keys")
+    few = shared.where("NOT crowded")
+    pairs = _meet(few.where("own"), few)
     if crowded.isEmpty():
-        return _meet(index, probing).distinct()
-    pairs = _meet(index.join(crowded, "key", "left_anti"), probing.join(crowded, "key", "left_anti"))
+        return pairs.distinct()
     # Only lines of crowded keys are taken further with their texts.
-    members = index.join(crowded, "key").select("lh").union(probing.join(crowded, "key").select("lh")).distinct()
-    members = broadcast_if_small(stored(members, "crowded-hashes"))
+    members = broadcast_if_small(stored(shared.where("crowded").select("lh").distinct(), "crowded-hashes"))
     members = stored(distinct.join(members, "lh", "left_semi"), "crowded-lines")
 
     def below(wanted, *more: str) -> DataFrame:
@@ -149,6 +167,9 @@ def banded_distance(a: Column, b: Column, most: int = EDITS) -> Column:
     Bit 2 * most of a number is the lowest row of the band, bit 0 its highest. The text's
     characters are folded over one by one; vp and vn are the rows where the distance
     grows or falls by one from the row above. Needs lengths above ``most``.
+
+    Down the diagonal the distance never falls, and each of the most + m - n steps along the
+    last row lowers it by one at best: beyond that the other characters are passed over.
     """
     band = 2 * most + 1
     full = (1 << band) - 1
@@ -196,7 +217,8 @@ def banded_distance(a: Column, b: Column, most: int = EDITS) -> Column:
         F.lit(0).cast("bigint").alias("vn"),
         F.lit(most).alias("d"),
     )
-    distance = F.aggregate(t, start, step, lambda s: s["d"])
+    known = lambda s: s["d"] > m - n + 2 * most
+    distance = F.aggregate(t, start, lambda s, c: F.when(known(s), s).otherwise(step(s, c)), lambda s: s["d"])
     return F.when(F.abs(n - m) > most, F.lit(most + 1)).otherwise(F.least(distance, F.lit(most + 1)))
 
 
@@ -235,6 +257,26 @@ def trimmed(a: Column, b: Column, keep: int = 4) -> Column:
     return F.transform(F.array(_common_start(a, b, n)), ends)[0]
 
 
+def _found_parts(a: Column, b: Column, first: int, parts: int, most: int) -> Column:
+    """Whether at most ``most`` of the parts of ``a``, less ``first`` characters at both ends, are missing in ``b``."""
+    n = F.greatest(F.length(a) - 2 * first, F.lit(0))
+    cuts = [F.floor(n * k / parts).cast("int") for k in range(parts + 1)]
+    found = [F.contains(b, F.substring(a, lo + (first + 1), hi - lo)) for lo, hi in zip(cuts, cuts[1:])]
+    return reduce(Column.__add__, [F.when(f, 0).otherwise(1) for f in found]) <= most
+
+
+def whole_parts(a: Column, b: Column, edits: int) -> Column:
+    """True for all texts within the edits: an edit breaks one part of a text, others stand in the other."""
+    return _found_parts(a, b, 0, PARTS, edits)
+
+
+def whole_middle(a: Column, b: Column, edits: int, keep: int) -> Column:
+    """The same for ``trimmed`` texts. They differ at both ends (but for what is kept), which
+    takes two edits; the others cannot break all of ``edits`` - 1 parts of what lies between."""
+    parts = max(edits - 1, 1)
+    return _found_parts(a, b, keep + 1, parts, parts - 1)
+
+
 def links(found: DataFrame, edits: int = EDITS, crowd: int = CROWD) -> DataFrame:
     """Linked pairs (a, b), a > b, of distinct lines given as (lh, line); stored."""
     # Read several times below: the distinct lines are cut, shuffled and stored once.
@@ -246,11 +288,15 @@ def links(found: DataFrame, edits: int = EDITS, crowd: int = CROWD) -> DataFrame
     right = texts.select(F.col("lh").alias("b"), F.col("line").alias("line_b"))
     met = pairs.join(left, "a").join(right, "b")
     # As a generator the trimming is a step of its own, not copied into the distance.
+    # Of lines of one template most pairs have more edits: cheap conditions go first.
+    met = met.where(whole_parts(F.col("line_a"), F.col("line_b"), edits))
     met = met.select("a", "b", F.explode(F.array(trimmed(F.col("line_a"), F.col("line_b"), edits + 2))).alias("t"))
+    met = met.where(whole_middle(F.col("t.a"), F.col("t.b"), edits, edits + 2))
     # Pairs are few bytes and much work: dealt out evenly, as merging partitions goes by bytes.
+    # As a generator the distance stays behind that; a plain condition is moved before it.
     met = met.repartition(4 * distinct.sparkSession.sparkContext.defaultParallelism)
-    linked = met.where(banded_distance(F.col("t.a"), F.col("t.b"), edits) <= edits).select("a", "b")
-    linked = stored(linked, "line-links")
+    met = met.select("a", "b", F.explode(F.array(banded_distance(F.col("t.a"), F.col("t.b"), edits))).alias("d"))
+    linked = stored(met.where(F.col("d") <= edits).select("a", "b"), "line-links")
     discard(distinct, pairs, wanted, texts)
     return linked
 
@@ -273,13 +319,11 @@ def classed(docs: DataFrame, edits: int = EDITS) -> DataFrame:
     degree = (
         edges.select(F.explode(F.array("a", "b")).alias("lh")).groupBy("lh").agg(F.count("*").alias("n_links"))
     )
-    per_line = places.groupBy("lh").agg(F.min(_rank()).alias("first"))
-    rooted = per_line.join(roots, per_line["lh"] == roots["node"], "left").select(
-        "lh", "first", F.coalesce("root", "lh").alias("root")
+    rooted = places.join(roots, places["lh"] == roots["node"], "left").join(degree, "lh", "left").select(
+        *places.columns, "n_links", F.coalesce("root", "lh").alias("root")
     )
-    firsts = rooted.groupBy("root").agg(F.min("first").alias("first"))
-    of_line = rooted.drop("first").join(firsts, "root").join(degree, "lh", "left")
-    return places.join(of_line, "lh").select(
+    firsts = rooted.groupBy("root").agg(F.min(_rank()).alias("first"))
+    return rooted.join(firsts, "root").select(
         "id", "h", "place", "lh", F.coalesce("n_links", F.lit(0)).alias("n_links"), "first"
     )
 
@@ -287,7 +331,7 @@ def classed(docs: DataFrame, edits: int = EDITS) -> DataFrame:
 def removals(docs: DataFrame, edits: int = EDITS) -> DataFrame:
     """Per document (id, h): n_lines, n_links, and ``removed`` places, sorted."""
     return classed(docs, edits).groupBy("id", "h").agg(
-        F.count_distinct("place").alias("n_lines"),
+        F.size(F.collect_set("place")).cast("bigint").alias("n_lines"),
         F.sum("n_links").alias("n_links"),
         F.array_sort(F.collect_set(F.when(_rank() != F.col("first"), F.col("place")))).alias("removed"),
     )

@@ -119,3 +119,43 @@ def test_lines_are_normalised_alike_by_both_ways(spark):
     for r in rows.collect():
         low = "".join(c.lower() if "A" <= c <= "Z" else c for c in r.t)
         assert r.n == re.sub("[ \t-\r]+", " ", low).strip(" ")
+
+
+def test_cheap_conditions_hold_for_all_texts_within_the_edits(spark):
+    rng = random.Random(11)
+    texts = made(5, 60) + ["x" * 40, "ab" * 20, "x" * 33]
+    pairs = [(t, changed(rng, t, k)) for t in texts for k in (0, 1, 2, 3)] + [(t, "y" * 50) for t in texts]
+    df = spark.createDataFrame(pairs, "a string, b string")
+    for most in (1, 2, 3):
+        t = line_dedup.trimmed(F.col("a"), F.col("b"), most + 2)
+        rows = df.withColumn("t", t).select(
+            (F.levenshtein("a", "b") <= most).alias("near"),
+            line_dedup.whole_parts(F.col("a"), F.col("b"), most).alias("parts"),
+            line_dedup.whole_middle(F.col("t.a"), F.col("t.b"), most, most + 2).alias("middle"),
+        ).collect()
+        assert all(r.parts and r.middle for r in rows if r.near)
+        assert not any(r.parts and r.middle for r in rows[-len(texts) :])
+
+
+def test_distance_passes_over_what_cannot_change_it(spark):
+    # Far texts: the fold's steps end where the band is left, so long ones take no longer.
+    df = spark.createDataFrame([("ab" * 5000, "cd" * 5000), ("ab" * 20, "ab" * 19 + "cc")], "a string, b string")
+    found = df.select(line_dedup.banded_distance(F.col("a"), F.col("b"), 2).alias("d")).collect()
+    assert [r.d for r in found] == [3, 2]
+
+
+def test_keys_of_one_line_alone_do_not_meet_and_crowded_ones_do(spark):
+    rng = random.Random(12)
+    texts = {"".join(rng.choice("abcdefgh") for _ in range(48)) for _ in range(40)}
+    stem = "the same beginning of many lines "
+    texts |= {stem + "".join(rng.choice("ab") for _ in range(6)) for _ in range(60)}
+    df = spark.createDataFrame([(t,) for t in texts], "line string").withColumn("lh", F.xxhash64("line")).cache()
+    a, b = df.alias("a"), df.alias("b")
+    plain = a.join(b, F.col("a.lh") > F.col("b.lh")).where(F.levenshtein("a.line", "b.line") <= 2)
+    expected = {(r[0], r[1]) for r in plain.select("a.lh", "b.lh").collect()}
+    for crowd in (1, 4, 1000):
+        found = line_dedup.candidates(df, crowd=crowd).collect()
+        assert len(found) == len(set(found)) and expected <= {(r.a, r.b) for r in found}
+        # Random lines share no segment with any other.
+        alone = {r.lh for r in df.where(~F.col("line").startswith(stem)).collect()}
+        assert not alone & {x for r in found for x in (r.a, r.b)}
