@@ -352,9 +352,8 @@ def result_documents(spark, sf):
 
 @query
 def alerts_new(spark, sf):
-    # A third of the listings are the new pull; what was toggled stands for what was sent.
-    new = b.listings(spark, sf).where(F.col("id_num") % 3 == 0)
-    high = matching.class_matches_at_least(new, b.profiles(spark, sf), fixed.SCORE_HIGH)
+    # All listings are the new pull; what was toggled stands for what was sent.
+    high = matching.class_matches_at_least(b.listings(spark, sf), b.profiles(spark, sf), fixed.SCORE_HIGH)
     return alerts.not_sent(high, b.toggles(spark, sf)).select("user_id", "id_num", "score")
 
 
@@ -366,7 +365,8 @@ def saved_search_hits(spark, sf):
 
 @query
 def alerts_by_class(spark, sf):
-    """``alerts_new`` from stored classes, expanded for all buckets of users."""
+    """Alerts as in ``alerts_new``, on a third of the listings, from stored classes expanded for
+    all buckets of users."""
     path = _shared_path(spark, "class-alerts")
     new = b.listings(spark, sf).where(F.col("id_num") % 3 == 0)
     found = matching.class_matches_at_least(new, b.profiles(spark, sf), fixed.SCORE_HIGH)
